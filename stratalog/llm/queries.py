@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat, sharding, url_filter
+from stratalog.llm import chat, near_dup, sharding, url_filter
 from stratalog.llm.url_seeds import labelled_urls
 
 
@@ -15,6 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles are similar to 0.8 or more."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    params = near_dup.NearDupParams(words=4)
+    return near_dup.near_duplicate_classes(docs, params=params).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 URL_RULES = (
     url_filter.Rule("net", "/", "block"),
     url_filter.Rule("example.net", "/en/", "allow"),
@@ -76,6 +83,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dup": op1_minhash_near_dup,
     "op2_url_filter": op2_url_filter,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op8_chat_format": op8_chat_format,
