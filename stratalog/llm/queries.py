@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat, mixing, near_dup, packing, sharding, url_filter
+from stratalog.llm import chat, mixing, near_dup, packing, rules, sharding, substring, url_filter
 from stratalog.llm.url_seeds import labelled_urls
 
 
@@ -94,6 +94,18 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether it passes the base rules and the line-frequency rule."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return rules.judge_documents(docs)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that documents with smaller ids have, and where these were."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.drop_repeated_passages(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dup": op1_minhash_near_dup,
     "op2_url_filter": op2_url_filter,
@@ -101,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_weighted_mix": op4_weighted_mix,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_chat_format": op8_chat_format,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
