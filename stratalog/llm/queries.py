@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat, mixing, near_dup, packing, rules, sharding, substring, url_filter
+from stratalog.llm import chat, mixing, near_dup, packing, quality, rules, sharding, substring, url_filter
 from stratalog.llm.url_seeds import labelled_urls
 
 
@@ -61,6 +61,14 @@ def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, by a model that has seen no label of a held-out row."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~quality.is_held_out())
+    model = quality.fit_quality(docs, labels)
+    return quality.score_quality(docs, model).select("doc_id", quality.is_held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -111,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_weighted_mix": op4_weighted_mix,
+    "op6_quality_nbsvm": op6_quality_nbsvm,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
