@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat, mixing, near_dup, packing, quality, rules, sharding, substring, url_filter
+from stratalog.llm import chat, mixing, near_dup, packing, quality, rules, sharding, substring, topk, url_filter
 from stratalog.llm.url_seeds import labelled_urls
 
 
@@ -61,6 +61,12 @@ def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every vector whose id is divisible by 20, against all others."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_inner_products(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, by a model that has seen no label of a held-out row."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_weighted_mix": op4_weighted_mix,
+    "op5_kd_topk": op5_kd_topk,
     "op6_quality_nbsvm": op6_quality_nbsvm,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_chat_format": op8_chat_format,
@@ -127,6 +134,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_kd_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op8_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
