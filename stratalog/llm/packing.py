@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalog.llm.common import written
 from stratalog.llm.tokens import PieceEncoder, tokenizer_path
@@ -174,5 +175,4 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
             columns = [*batch.columns[:-1], pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return ranked.mapInArrow(run, schema + ", sequence_id long, offset long")
+    return ranked.mapInArrow(run, T.StructType([*pieces.schema, *T.StructType.fromDDL("sequence_id long, offset long")]))

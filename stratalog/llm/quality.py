@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -203,8 +204,8 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "score", "predicted"])
 
     rows = docs.select(*kept, F.encode(F.col(text_col), "UTF-8").alias("text as bytes"))
-    schema = ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in docs.select(*kept).dtypes)
-    return rows.mapInArrow(run, schema + ", score double, predicted int")
+    made = T.StructType.fromDDL("score double, predicted int")
+    return rows.mapInArrow(run, T.StructType([*rows.schema[:-1], *made]))
 
 
 def is_held_out(id_col: str = "doc_id"):
