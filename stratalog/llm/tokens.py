@@ -26,6 +26,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Words of letters only that are encoded as one text.
+_TOGETHER = 256
+
+
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -35,43 +39,48 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Words of letters are one split each, so in a joint text each ends at the next token that ends a word."""
+        texts = {w: w.decode() for w in words}
+        joint = [w for w, t in texts.items() if t.isalpha()]
+        groups = [joint[i : i + _TOGETHER] for i in range(0, len(joint), _TOGETHER)]
+        found, alone = {}, [w for w, t in texts.items() if not t.isalpha()]
+        for group, ids in zip(groups, self._encode([" ".join(map(texts.__getitem__, g)) for g in groups]), strict=True):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(group) or stops[-1] != len(ids):
+                alone += group
+                continue
+            data, to = ids.tobytes(), (4 * stops).tolist()
+            found.update(zip(group, map(data.__getitem__, map(slice, [0, *to[:-1]], to)), strict=True))
+        found.update(zip(alone, (x.tobytes() for x in self._encode([texts[w] for w in alone])), strict=True))
+        return found
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words not known yet: each is a stem and a tail of ASCII punctuation, which never share a token."""
         parts = {w: (m.groups() if (m := _TAIL.fullmatch(w)) else (w,)) for w in words}
-        new = list({p for ps in parts.values() for p in ps if p not in self.known})
-        found = dict(zip(new, self._encode([p.decode() for p in new]), strict=True))
+        found = self._encode_words(list({p for ps in parts.values() for p in ps if p not in self.known}))
         get = lambda p: found[p] if p in found else self.known[p]
-        found |= {w: b"".join(map(get, ps)) for w, ps in parts.items()}
+        found |= {w: b"".join(map(get, ps)) for w, ps in parts.items() if len(ps) > 1}
         if len(self.known) + len(found) <= REMEMBERED_PIECES:
             self.known |= found
         return found
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         words = [t.lower().split() if t and _CONTROL not in t else [] for t in texts]
-        known = self.known
-        unknown = set().union(*words).difference(known) if words else set()
-        look = known
+        ids = [list(map(self.known.get, ws)) for ws in words]
+        unknown = {w for ws, xs in zip(words, ids, strict=True) if None in xs for w, x in zip(ws, xs, strict=True) if x is None}
         if unknown:
             found = self._learn(unknown)
-            if not known.keys() >= unknown:
-                look = _Both(found, known)
-        out = [b"".join(map(look.__getitem__, ws)) for ws in words]
+            ids = [[found[w] if x is None else x for w, x in zip(ws, xs, strict=True)] if None in xs else xs for ws, xs in zip(words, ids, strict=True)]
+        out = [b"".join(xs) for xs in ids]
         for i, t in enumerate(texts):
             if t and _CONTROL in t:
-                out[i] = self._encode([t.decode()])[0]
+                out[i] = self._encode([t.decode()])[0].tobytes()
         return out
-
-
-class _Both(dict):
-    """Ids just found, then ids remembered."""
-
-    def __init__(self, found: dict[bytes, bytes], known: dict[bytes, bytes]) -> None:
-        super().__init__(found)
-        self.known = known
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.known[word]
