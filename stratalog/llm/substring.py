@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalog.llm.common import forget, written
 from stratalog.llm.shingles import odd_numbers
@@ -68,82 +69,88 @@ def word_places(data: bytes) -> np.ndarray:
     return np.cumsum((raw & 0xC0) != 0x80, dtype=np.int64)[starts] - 1
 
 
+def _chunk_digests(data: bytes, table: np.ndarray, mean_bytes: int) -> tuple[list[int], np.ndarray, list[bytes]]:
+    """Digest of each chunk as signed 64-bit numbers, the number of its first word, and the words."""
+    own = data.split()
+    if not own:
+        return [], np.empty(0, np.int64), own
+    at = cut_chunks(own, table, mean_bytes)
+    to = [*at[1:].tolist(), len(own)]
+    hashed = [xxhash.xxh3_64_intdigest(b" ".join(own[a:b])) for a, b in zip(at.tolist(), to, strict=True)]
+    return np.array(hashed, np.uint64).view(np.int64).tolist(), at, own
+
+
 def _chunks(docs: DataFrame, id_col: str, text_col: str, p: SubstringParams) -> DataFrame:
-    """Per row with words: id, hash of the text, and digest, first character and words of each chunk."""
+    """Per row with words: id, hash of the text, and the distinct digests of its chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = gear_table(p.seed)
         for batch in batches:
-            keep, digests, places, words = [], [], [], []
-            for i, data in enumerate(batch.column(2).to_pylist()):
-                own = data.split() if data else []
-                if not own:
-                    continue
-                at = cut_chunks(own, table, p.mean_bytes)
-                to = [*at[1:].tolist(), len(own)]
-                keep.append(i)
-                hashed = [xxhash.xxh3_64_intdigest(b" ".join(own[a:b])) for a, b in zip(at.tolist(), to, strict=True)]
-                digests.append(np.array(hashed, np.uint64).view(np.int64))
-                place = word_places(data)[at]
-                place[0] = 0
-                places.append(place.astype(np.int32))
-                words.append(np.diff(np.append(at, len(own))).astype(np.int32))
-            rows = pa.array(keep, pa.int32())
+            digests = [list(set(_chunk_digests(data, table, p.mean_bytes)[0])) if data else [] for data in batch.column(2).to_pylist()]
+            rows = pa.array([i for i, d in enumerate(digests) if d], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(rows),
-                    batch.column(1).take(rows),
-                    pa.array(digests, pa.list_(pa.int64())),
-                    pa.array(places, pa.list_(pa.int32())),
-                    pa.array(words, pa.list_(pa.int32())),
-                ],
-                names=["doc", "text_hash", "digests", "places", "words"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([d for d in digests if d], pa.list_(pa.int64()))],
+                names=["doc", "text_hash", "digests"],
             )
 
     text = F.col(text_col)
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), F.encode(text, "UTF-8").alias("text"))
     kind = dict(texts.dtypes)["doc"]
-    return texts.mapInArrow(run, f"doc {kind}, text_hash long, digests array<long>, places array<int>, words array<int>")
+    return texts.mapInArrow(run, f"doc {kind}, text_hash long, digests array<long>")
 
 
-def _runs(marked: DataFrame, p: SubstringParams) -> DataFrame:
-    """Runs of duplicate chunks with enough words: per row id, text_hash, n_chunks, dup_chunks, removed_words, spans, first_docs."""
+def passages(digests: list[int], sizes: list[int], first_of: dict, min_words: int) -> list[tuple[int, int]]:
+    """Runs (first chunk, end) of duplicate chunks that are long enough; ``first_of`` has the first document of each.
+
+    Repeated chunks count once, and half of the words must come from one document: common short chunks that
+    happen to follow each other are no passage.
+    """
+    dup = np.array([d in first_of for d in digests], np.int8)
+    out = []
+    for a, b in np.flatnonzero(np.diff(dup, prepend=0, append=0)).reshape(-1, 2).tolist():
+        of_doc = Counter()
+        for d, n in dict(zip(digests[a:b], sizes[a:b], strict=True)).items():
+            of_doc[first_of[d]] += n
+        n = sum(of_doc.values())
+        if n >= min_words and 2 * max(of_doc.values()) >= n:
+            out.append((a, b))
+    return out
+
+
+def _cut(rows: DataFrame, p: SubstringParams) -> DataFrame:
+    """(rest, text, known, firsts) -> (rest, text, dup_chunks, removed_words, spans, first_docs), passages cut out."""
+    kind = dict(rows.dtypes)["firsts"]
+
+    def cut(data: bytes, first_of: dict, table: np.ndarray) -> tuple:
+        digests, at, own = _chunk_digests(data, table, p.mean_bytes)
+        sizes = np.diff(np.append(at, len(own))).tolist()
+        found = passages(digests, sizes, first_of, p.min_words)
+        places = word_places(data)[at]
+        places[:1] = 0
+        spans = [(int(places[a]), int(places[b]) if b < len(places) else -1) for a, b in found]
+        docs = sorted({first_of[d] for a, b in found for d in digests[a:b]})
+        return sum(d in first_of for d in digests), sum(sum(sizes[a:b]) for a, b in found), spans, docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = gear_table(p.seed)
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(2, 7)]
-            out = []
-            for digests, places, words, known, firsts in zip(*columns, strict=True):
-                first_of = dict(zip(known, firsts, strict=True))
-                dup = np.array([d in first_of for d in digests])
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], dup.view(np.int8), [0]])))
-                total, spans, docs = 0, [], set()
-                for a, b in edges.reshape(-1, 2).tolist():
-                    # Repeated chunks count once, and half of the words must come from one document: common short
-                    # chunks that happen to follow each other are no passage.
-                    size_of = dict(zip(digests[a:b], words[a:b], strict=True))
-                    of_doc = Counter()
-                    for d, n in size_of.items():
-                        of_doc[first_of[d]] += n
-                    n = sum(size_of.values())
-                    if n >= p.min_words and 2 * max(of_doc.values()) >= n:
-                        total += sum(words[a:b])
-                        spans.append({"start": places[a], "end": places[b] if b < len(places) else -1})
-                        docs.update(first_of[d] for d in digests[a:b])
-                out.append((len(digests), int(dup.sum()), total, spans, sorted(docs)))
-            kind = batch.schema.field(0).type
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(kind)]
-            made = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *made],
-                names=["doc", "text_hash", "n_chunks", "dup_chunks", "removed_words", "spans", "first_docs"],
-            )
-
-    kind = dict(marked.dtypes)["doc"]
-    return marked.select("doc", "text_hash", "digests", "places", "words", "known", "firsts").mapInArrow(
-        run,
-        f"doc {kind}, text_hash long, n_chunks long, dup_chunks long, removed_words long, spans array<struct<start:int,end:int>>, first_docs array<{kind}>",
-    )
+            texts, known, firsts = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            done = [cut(t.encode(), dict(zip(k, f, strict=True)), table) if k else (0, 0, None, None) for t, k, f in zip(texts, known, firsts, strict=True)]
+            for i, (_, _, spans, _) in enumerate(done):
+                if spans:
+                    text, at, left = texts[i], 0, []
+                    for start, end in spans:
+                        left.append(text[at:start])
+                        at = end if end >= 0 else len(text)
+                    texts[i] = "".join([*left, text[at:]])
+            spans = [d[2] and [{"start": a, "end": b} for a, b in d[2]] for d in done]
+            made = [pa.array(texts, pa.string()), *[pa.array([d[k] for d in done], pa.int64()) for k in (0, 1)]]
+            made.append(pa.array([x or None for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+            made.append(pa.array([d[3] or None for d in done], batch.schema.field(3).type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["rest", "text", "dup_chunks", "removed_words", "spans", "first_docs"])
+
+    made = T.StructType.fromDDL(f"text string, dup_chunks long, removed_words long, spans array<struct<start:int,end:int>>, first_docs {kind}")
+    return rows.select("rest", "text", "known", "firsts").mapInArrow(run, T.StructType([rows.schema["rest"], *made]))
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SubstringParams | None = None) -> DataFrame:
@@ -151,47 +158,33 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     A chunk is a duplicate in a document if a document with a smaller id has it too. Runs of duplicate chunks with
     at least ``min_words`` words in distinct chunks, half of them first seen in one document, are cut out; other runs
-    stay, so common phrases and lines do. ``spans``
-    are the cut places (start and end in code points of the old text), ``first_docs`` the documents that keep the
-    chunks of these runs. A passage of over 50 words loses a chunk or so at either end to its neighbours, which stays.
+    stay, so common phrases and lines do. ``spans`` are the cut places (start and end in code points of the old text;
+    the end of the text is -1), ``first_docs`` the documents that first have the chunks of these runs; both are null
+    where nothing is cut. A passage of over 50 words loses a chunk or so at either end to its neighbours, which stays.
 
     A null text stays null; a text without words is left alone. Rows with a null id never count as first, but lose what
     a row with an id has. Rows with equal ids are one document: they aren't duplicates of each other. Input columns
     named like the added ones are replaced. An empty table gives an empty table.
+
+    Digests are counted with map-side combining, so a chunk of every document is a row a task, and only shared ones
+    are joined back. Texts are shuffled once, to meet their shared chunks, and cut into chunks again there.
     """
     p = params or SubstringParams()
     added = ("dup_chunks", "removed_words", "spans", "first_docs")
-    chunks = written(_chunks(docs, id_col, text_col, p), "chunks")
-    each = chunks.select("doc", "text_hash", F.explode(F.array_distinct("digests")).alias("digest"))
-    # Combined before the shuffle: a chunk of every document is one row a task.
-    held = each.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.col("doc").isNull()).alias("null_too"))
-    shared = held.where("first < last OR (null_too AND first IS NOT NULL)").select("digest", "first")
-    later = each.join(shared, "digest").where("doc IS NULL OR first < doc")
-    known = later.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("digest", "first")).alias("x"))
-    known = known.select("doc", "text_hash", F.col("x.digest").alias("known"), F.col("x.first").alias("firsts"))
-    once = chunks.dropDuplicates(["doc", "text_hash"]).alias("c")
-    marked = once.join(known.alias("k"), F.expr("c.doc <=> k.doc AND c.text_hash = k.text_hash")).select("c.*", "known", "firsts")
-    runs = written(_runs(marked, p).where("removed_words > 0"), "runs")
+    chunks = written(_chunks(docs, id_col, text_col, p).withColumn("row", F.monotonically_increasing_id()), "chunks")
+    held = chunks.select("doc", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
+    shared = held.where("n > 1 AND first IS NOT NULL").select("digest", "first")
+    found = chunks.select("row", F.explode("digests").alias("digest")).join(shared, "digest")
+    found = found.groupBy("row").agg(F.collect_list(F.struct("digest", "first")).alias("x"))
+    known = chunks.select("row", "doc", "text_hash").join(found, "row")
+    known = known.withColumn("x", F.filter("x", lambda d: F.col("doc").isNull() | (d.first < F.col("doc")))).where(F.size("x") > 0)
+    known = known.dropDuplicates(["doc", "text_hash"]).select("doc", "text_hash", F.col("x.digest").alias("known"), F.col("x.first").alias("firsts"))
+    known = written(known, "known")
     forget(chunks)
 
     kept = [c for c in docs.columns if c not in added]
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"))
-    both = rows.alias("d").join(runs.alias("r"), F.expr("d.doc <=> r.doc AND d.text_hash = r.text_hash"), "left")
-    spans, whole = F.col("r.spans"), F.col("row")[text_col]
-    # What stays is between the end of one span and the start of the next; -1 is the end of the text.
-    borders = F.concat(F.array(F.lit(0)), F.flatten(F.transform(spans, lambda s: F.array(s.start, s.end))), F.array(F.length(whole)))
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.size(spans)),
-        lambda i: F.when(
-            F.get(borders, 2 * i) >= 0,
-            F.substr(whole, F.get(borders, 2 * i) + 1, F.greatest(F.get(borders, 2 * i + 1) - F.get(borders, 2 * i), F.lit(0))),
-        ).otherwise(F.lit("")),
-    )
-    text = F.when(spans.isNull(), whole).otherwise(F.array_join(pieces, ""))
-    return both.select(
-        *[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept],
-        F.coalesce("r.dup_chunks", F.lit(0)).alias("dup_chunks"),
-        F.coalesce("r.removed_words", F.lit(0)).alias("removed_words"),
-        "spans",
-        "first_docs",
-    )
+    rest = F.struct(*[F.col(c) for c in kept if c != text_col], F.lit(0).alias("and no text"))
+    rows = docs.select(rest.alias("rest"), F.col(text_col).alias("text"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash")).alias("d")
+    both = rows.join(known.alias("k"), F.expr("d.doc <=> k.doc AND d.text_hash = k.text_hash"), "left").select("rest", "text", "known", "firsts")
+    out = _cut(both, p)
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in kept], *added)
