@@ -169,22 +169,16 @@ def top_inner_products(vectors: DataFrame, is_query, id_col: str = "vec_id", vec
     forest = rows.select(deal(trees).alias("shard"), "id", filled).groupBy("shard").applyInArrow(plant, "shard int, tree binary")
     asking = rows.where("q").select(deal(blocks).alias("block"), "id", filled).groupBy("block").applyInArrow(block, "block int, ids binary, v binary")
     forest = written(forest, "trees").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # Blocks start at different trees, in the order of the trees from there.
-    turn = F.pmod(F.col("shard") + F.col("block"), F.lit(trees))
-    meetings = forest.join(asking, "block").withColumn("turn", turn).repartition("block").sortWithinPartitions("block", "turn")
+    meetings = forest.join(asking, "block").select("block", "tree", "ids", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, search = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column(0)[i].as_py() != at:
-                    if search:
-                        yield search.results()
-                    at = batch.column(0)[i].as_py()
-                    ids = np.frombuffer(batch.column(2)[i].as_py(), np.int64)
-                    search = Search(ids, np.frombuffer(batch.column(3)[i].as_py(), np.int64).reshape(len(ids), -1), p.k)
-                search.visit(Tree.load(batch.column(1)[i].as_py()))
-        if search:
-            yield search.results()
-
-    return meetings.select("block", "tree", "ids", "v").mapInArrow(run, "query_id long, rank int, vec_id long, score long")
+        search = None
+        for batch in batches:  # of one block, tree after tree
+            for _, tree, ids, v in zip(*batch.columns, strict=True):
+                if search is None:
+                    own = np.frombuffer(ids.as_py(), np.int64)
+                    search = Search(own, np.frombuffer(v.as_py(), np.int64).reshape(len(own), -1), p.k)
+                search.visit(Tree.load(tree.as_py()))
+        yield search.results()
+
+    return meetings.groupBy("block").applyInArrow(run, "query_id long, rank int, vec_id long, score long")
