@@ -71,17 +71,6 @@ def summary_line(summary: Column, role: Column, tags: Column) -> Column:
     return F.concat(head, F.coalesce(summary, F.lit("")), tail)
 
 
-def shannon_entropy(text: Column) -> Column:
-    """Bits per character; 0 for an empty text. One pass over a histogram of the characters."""
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    # Lengths of the runs of equal characters in the sorted array: distinct characters and their first positions.
-    n = F.size(chars)
-    edges = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(chars, i) != F.get(chars, i - 1)))
-    counts = F.transform(edges, lambda e, k: e - F.when(k == 0, F.lit(0)).otherwise(F.get(edges, F.greatest(k - 1, F.lit(0)))))
-    bits = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc - (c / n) * F.log2(c / n))
-    return F.when(F.length(text) > 0, bits).otherwise(F.lit(0.0))
-
-
 def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 

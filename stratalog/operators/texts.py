@@ -69,6 +69,15 @@ def apply_rules(rows: DataFrame, rules: DataFrame, id_col: str, text: str) -> Da
     )
 
 
+def shannon_entropy(rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Bits per character of each text; 0 for an empty or null one. Characters are counted before they are shuffled."""
+    chars = rows.select(id_col, F.explode(F.split(text, "")).alias("c")).where("c <> ''")
+    counts = chars.groupBy(id_col, "c").agg(F.count("*").alias("k"))
+    sums = counts.groupBy(id_col).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log2("k")).alias("s"))
+    bits = sums.select(id_col, (F.log2("n") - F.col("s") / F.col("n")).alias("entropy"))
+    return rows.select(id_col).join(bits, id_col, "left").fillna(0.0, ["entropy"])
+
+
 def code_chunks(rows: DataFrame, id_col: str, body: str, lines: int = 50, overlap: int = 5) -> DataFrame:
     """Windows of ``lines`` lines that overlap by ``overlap``: chunk number, first line (from 1), text."""
     split = F.split(F.col(body), "\n")

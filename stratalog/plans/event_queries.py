@@ -104,9 +104,9 @@ def last_failure_per_entity(spark, sf_dir):
 
 
 def stale_runs(spark, sf_dir):
-    """Users whose last event lies more than ten days before the end of January."""
+    """Users whose last event lies more than a day before the end of January."""
     last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_seen"))
-    return last.where(F.col("last_seen") < F.lit(NOW - dt.timedelta(days=10)).cast("timestamp_ntz"))
+    return last.where(F.col("last_seen") < F.lit(NOW - dt.timedelta(days=1)).cast("timestamp_ntz"))
 
 
 def resumable_runs(spark, sf_dir):
@@ -213,7 +213,7 @@ ORACLE_SQL = {
         SELECT event_type, day, count(*) AS n FROM e GROUP BY GROUPING SETS ((event_type), (day))""",
     "last_failure_per_entity": """SELECT DISTINCT ON (user_id) user_id, event_id, ts, props FROM events
         WHERE event_type = 'error' ORDER BY user_id, ts DESC, event_id DESC""",
-    "stale_runs": "SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-21'",
+    "stale_runs": "SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30'",
     "resumable_runs": f"""WITH {USAGE_SQL}
         SELECT * FROM (SELECT DISTINCT ON (user_id, cmd) user_id, cmd, event_id, ts FROM usage ORDER BY user_id, cmd, ts DESC, event_id DESC)
         WHERE ts >= TIMESTAMP '2024-01-26'""",
