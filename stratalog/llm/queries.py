@@ -146,6 +146,42 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op9_quality_rules": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
+        ), m AS (
+            SELECT *, regexp_extract_all(text, '[^ \t\n\x0b\x0c\r]+') AS ws, string_split(text, chr(10)) AS lines FROM d
+        ), w AS (
+            SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM m
+        ), windows AS (
+            SELECT r, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS five
+            FROM w WINDOW o AS (PARTITION BY r ORDER BY i)
+        ), twice AS (
+            SELECT r, i FROM windows WHERE five IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, five) > 1
+        ), covered AS (
+            SELECT r, count(DISTINCT i + k) AS n FROM twice, range(0, 5) AS t(k) GROUP BY r
+        ), l AS (
+            SELECT r, source, text, unnest(lines) AS line FROM m
+        ), lw AS (
+            SELECT r, source, text, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0b\x0c\r]+') AS ws FROM l
+        ), worded AS (
+            SELECT r, source, text, line, array_to_string(ws, ' ') AS normal, len(ws) AS n FROM lw WHERE len(ws) > 0
+        ), repeats AS (
+            SELECT r, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY r
+        ), common AS (
+            SELECT c.source, normal FROM (SELECT source, normal, count(DISTINCT text) AS n FROM worded GROUP BY 1, 2) c
+            JOIN (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY 1) h ON h.source IS NOT DISTINCT FROM c.source
+            WHERE n > 20 AND n > 0.02 * docs
+        ), removed AS (
+            SELECT r, CAST(sum(n) AS BIGINT) AS n FROM worded x JOIN common c ON c.source IS NOT DISTINCT FROM x.source AND c.normal = x.normal GROUP BY r
+        ), counts AS (
+            SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(p.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(x.n, 0) AS removed_words
+            FROM m LEFT JOIN repeats p ON p.r = m.r LEFT JOIN covered c ON c.r = m.r LEFT JOIN removed x ON x.r = m.r)
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - removed_words) >= 30 * n_words AS kept
+        FROM counts""",
     "op8_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
