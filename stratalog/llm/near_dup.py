@@ -24,6 +24,10 @@ from stratalog.llm.components import connected_components
 from stratalog.llm.shingles import MinHash, WordHashes, odd_numbers, shingle_set
 
 
+#: Turns in which members of a bucket meet two others, before the exact comparison of what is left.
+TURNS = 1
+
+
 @dataclass(frozen=True)
 class NearDupParams:
     words: int = 5  # words of a shingle
@@ -81,7 +85,7 @@ def _full_sets(texts: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame, p: NearDupParams) -> DataFrame:
-    """(bucket, node, centre, before): members of table keys that at least two sets share.
+    """(bucket, node): members of table keys that at least two sets share.
 
     A half-key that only one set has can't be part of a shared table key, so it is dropped before the two
     collections are multiplied: only sets that share half-keys on both sides get table keys at all.
@@ -101,18 +105,55 @@ def _buckets(nodes: DataFrame, p: NearDupParams) -> DataFrame:
     keys = sides.select(
         "node", F.explode(F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b))))).alias("bucket")
     )
-    of_bucket = Window.partitionBy("bucket").orderBy("node")
-    return (
-        keys.select(
-            "bucket",
-            "node",
-            F.first("node").over(of_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("centre"),
-            F.lag("node").over(of_bucket).alias("before"),
-            F.lead("node").over(of_bucket).alias("after"),
-        )
-        .where("before IS NOT NULL OR after IS NOT NULL")
-        .drop("after")
+    others = Window.partitionBy("bucket").orderBy("node")
+    near = F.lag("node").over(others).isNotNull() | F.lead("node").over(others).isNotNull()
+    return keys.withColumn("shared", near).where("shared").select("bucket", "node")
+
+
+def _meetings(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of different components: each member of a bucket with its first member and with the one before.
+
+    The order within a bucket is another one each turn. The pairs are twice as many as the members at most.
+    """
+    of_bucket = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
+    own = F.struct("node", "component")
+    seen = members.select(
+        "node",
+        "component",
+        F.array(F.first(own).over(of_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lag(own).over(of_bucket)).alias("met"),
     )
+    met = seen.select("node", "component", F.explode(F.array_distinct("met")).alias("m")).where("m IS NOT NULL AND m.component <> component")
+    return met.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+
+
+def _by_rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share one of their rarest shingles; sets are (node, component, shingles).
+
+    Two sets of Jaccard similarity t or more share a shingle among the rarest n - ceil(t * n) + 1 of each, in any common
+    order of shingles; and from the first one they share, enough of both must follow for the overlap that t asks for. So
+    no link is lost, and what large groups have in common is not looked at. The members of a shingle's largest component
+    aren't compared with each other at all.
+    """
+    tokens = sets.select("node", F.explode("shingles").alias("shingle"))
+    order = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # A shingle that only one set has is rarest of all, and no other set can share it: it only takes up a place.
+    ranked = tokens.join(order, "shingle").select("node", F.struct("df", "shingle").alias("t"))
+    shared = ranked.groupBy("node").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    n, alone = F.size("shingles"), F.size("shingles") - F.size("ts")
+    places = n - F.expr(f"(size(shingles) * {percent} + 99) div 100") + 1 - alone
+    some = sets.join(shared, "node").where(places > 0)
+    prefix = some.select("node", "component", n.alias("n"), alone.alias("alone"), F.posexplode(F.slice("ts", 1, places.cast("int"))).alias("i", "t"))
+    # rest: shingles from this one on
+    prefix = written(prefix.select("node", "component", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "t.shingle"), "rare")
+    counts = prefix.groupBy("shingle", "component").agg(F.count("*").alias("m"))
+    major = counts.groupBy("shingle").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
+    rows = prefix.join(major.select("shingle", "major"), "shingle")
+    x, y = rows.where("component <> major").alias("x"), rows.alias("y")
+    # A pair of which neither is in the largest component comes twice; one of the two is enough.
+    once = F.expr("x.component <> y.component AND (y.component = y.major OR x.node < y.node)")
+    enough = F.expr(f"{100 + percent} * least(x.rest, y.rest) >= {percent} * (x.n + y.n)")
+    both = x.join(y, F.expr("x.shingle = y.shingle") & once & enough)
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _agreeing(a: Column, b: Column) -> Column:
@@ -137,6 +178,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame
     return both.select("a", "b", "s_a", "s_b", common.alias("common")).where(100 * F.col("common") >= p.percent * union).select("a", "b")
 
 
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after links between components; only nodes that have a link are listed."""
+    old = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
+    edges = links.join(old("a"), "a", "left").join(old("b"), "b", "left")
+    edges = edges.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    joined = written(connected_components(edges), "joined")
+    moved = parts.alias("p").join(joined.alias("j"), F.expr("p.component = j.node"), "left")
+    moved = moved.select("p.node", F.coalesce("j.component", "p.component").alias("component"))
+    return written(moved.unionByName(joined.join(parts.select("node"), "node", "left_anti")), "parts")
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearDupParams | None = None) -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, component_id (smallest id reachable over links), kept, class, text_hash.
 
@@ -148,11 +200,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     table gives an empty table.
 
     Equal sets are collapsed first (with map-side combining), so a group of exact copies is one node. Buckets are
-    never expanded into all pairs: each member meets the bucket's first member and its predecessor, which makes
-    large groups fall into one component; afterwards only members of different components meet, and only if
-    neither is so far from the first member that the triangle inequality of the Jaccard distance excludes a link.
+    never expanded into all pairs: for a few turns each member meets its bucket's first member and its predecessor,
+    in an order that changes, which makes large groups fall into one component. What is then still apart within
+    a bucket is compared where sets of different components share one of their rarest shingles, which loses no link.
     """
-    p = params or NearDupParams()
+    p, spark = params or NearDupParams(), docs.sparkSession
     rows = written(_sketches(docs, id_col, text_col, p), "sketches")
     distinct = rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
@@ -168,43 +220,31 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sets = written(sets, "sets")
 
     slim = nodes.select("node", "n_shingles", "sketch")
-    to_centre = live.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    to_before = live.where("before IS NOT NULL").select(F.col("before").alias("a"), F.col("node").alias("b"))
-    met = written(_sized(to_centre.unionByName(to_before).distinct(), slim, p), "met")
     # Similarity 0.8 makes sketches agree in 0.8 of the minhashes, give or take 0.05: half of them is beyond doubt.
     least = p.minhashes * p.percent // 160
-    links = written(_confirmed(met.where(F.col("agree") >= least), sets, p).distinct(), "links")
-    parts = written(connected_components(links), "parts")
-
-    # What is left: bucket members in different components. "star" is linked with the centre; "far" has a distance
-    # of over 0.4 from it (sketches agree in 0.36 or less), so it can't be linked with anything in the star.
-    far = p.minhashes * 36 // 100
-    verdict = met.select(F.col("a").alias("centre"), F.col("b").alias("node"), "agree").join(
-        links.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("linked")), ["centre", "node"], "left"
-    )
-    state = F.when(F.col("node") == F.col("centre"), "star").when(F.col("linked"), "star").when(F.col("agree") <= far, "far").otherwise("near")
-    members = (
-        live.join(verdict, ["centre", "node"], "left")
-        .join(parts, "node", "left")
-        .select("bucket", "node", "centre", F.coalesce("component", "node").alias("component"), state.alias("state"))
-    )
-    open_buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    members = written(members.join(open_buckets.where("n > 2 AND lo <> hi").select("bucket"), "bucket", "left_semi"), "open")
-    x, y = members.where("state <> 'star'").alias("x"), members.where("node <> centre").alias("y")
-    across = x.join(y, F.expr("x.bucket = y.bucket AND x.component <> y.component AND NOT (x.state = 'far' AND y.state = 'star')"))
-    pairs = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    pairs = pairs.join(met, ["a", "b"], "left_anti")
-    more = _confirmed(_sized(pairs, slim, p).where(F.col("agree") >= least), sets, p)
-    more = written(more.distinct(), "links")
-    if more.isEmpty():
-        final = parts
-    else:
-        final = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-        final = final.unionByName(parts.where("node = component").join(final.select("node"), "node", "left_anti"))
-        final = written(final, "parts")
-    forget(sets), forget(members), forget(met), forget(live)
-
-    placed = nodes.join(final, "node", "left").select("digest", "first_doc", F.coalesce("component", "node").alias("class"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        likely = written(_sized(pairs, slim, p).where(F.col("agree") >= least), "likely")
+        return written(_confirmed(likely, sets, p).distinct(), "links")
+
+    parts = spark.createDataFrame([], "node long, component long")
+    members = live.withColumn("component", F.col("node"))
+    for turn in range(TURNS):
+        links = confirm(_meetings(members, turn))
+        if links.isEmpty():
+            break
+        parts = _merged(parts, links)
+        members = live.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        # In a turn, buckets of three or fewer members are compared in full; so are buckets in one component.
+        mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        members = written(members.join(mixed.where("n > 3 AND lo <> hi").select("bucket"), "bucket", "left_semi"), "open")
+    left = members.select("node", "component").distinct()
+    links = confirm(_by_rare_shingles(sets.join(left, "node"), p.percent))
+    if not links.isEmpty():
+        parts = _merged(parts, links)
+    forget(sets), forget(live)
+
+    placed = nodes.join(parts, "node", "left").select("digest", "first_doc", F.coalesce("component", "node").alias("class"))
     heads = placed.groupBy("class").agg(F.min("first_doc").alias("component_id"))
     classes = placed.join(heads, "class").select("digest", "class", "component_id")
     out = rows.select("doc", "text_hash", "n_shingles", "digest").join(classes, "digest", "left")
