@@ -98,3 +98,26 @@ def multiset_similarity(a: DataFrame, b: DataFrame, group: str, token: str) -> D
     count = lambda df, n: df.groupBy(group, token).agg(F.count("*").alias(n))
     both = count(a, "n_a").join(count(b, "n_b"), [group, token], "full_outer").fillna(0, ["n_a", "n_b"])
     return both.groupBy(group).agg((F.sum(F.least("n_a", "n_b")) / F.sum(F.greatest("n_a", "n_b"))).alias("similarity"))
+
+
+def markdown_sections(rows: DataFrame, id_col: str, body: str, levels: int = 6) -> DataFrame:
+    """Sections of a Markdown body: number, heading path (``A > B``), text below the heading.
+
+    A heading ends all sections of its level and below. The stack of open headings is a running last value per level,
+    so no row of Python is needed; lines before the first heading have an empty path.
+    """
+    lines = rows.select(id_col, F.posexplode(F.split(F.col(body), "\n")).alias("i", "line"))
+    level = F.length(F.regexp_extract("line", "^(#{1,6}) ", 1))
+    lines = lines.withColumn("level", F.when(level > 0, level)).withColumn("title", F.trim(F.regexp_replace("line", "^#{1,6} ", "")))
+    w = Window.partitionBy(id_col).orderBy("i")
+    opened = {f"at{k}": F.last(F.when(F.col("level") == k, F.col("i")), ignorenulls=True).over(w) for k in range(1, levels + 1)}
+    titles = {f"title{k}": F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(w) for k in range(1, levels + 1)}
+    lines = lines.withColumns({**opened, **titles, "section": F.count("level").over(w)})
+    parts = []
+    for k in range(1, levels + 1):
+        above = F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(f"at{j}", F.lit(-1)) for j in range(1, k)])
+        parts.append(F.when(F.col(f"at{k}") > above, F.col(f"title{k}")))
+    path = F.concat_ws(" > ", *parts)
+    text = F.when(F.col("level").isNull(), F.struct("i", "line"))
+    grouped = lines.withColumn("path", path).groupBy(id_col, "section").agg(F.first("path").alias("path"), F.sort_array(F.collect_list(text)).alias("ls"))
+    return grouped.select(id_col, F.col("section").cast("int").alias("section"), "path", F.array_join(F.col("ls.line"), "\n").alias("text"))

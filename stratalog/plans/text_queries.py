@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import score as S
 from stratalog.functions import text as X
+from stratalog.functions.canonical import canonical_hash
 from stratalog.operators import changes, graph, keys, matching, search, texts
 from stratalog.plans.tables import MODULES_SQL, modules, table
 
@@ -253,6 +254,19 @@ def dependency_resolution(spark, sf_dir):
     return graph.resolve_names(edges, nations, "grp", "n_name", "n_nationkey").select("c_custkey", "to_id")
 
 
+def canonical_groups(spark, sf_dir):
+    """Bodies that are equal in canonical form, with the number of their different texts."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", canonical_hash(F.col("text")).alias("hash"), F.xxhash64("text").alias("body"))
+    groups = rows.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.countDistinct("body").alias("texts"))
+    return groups.where("n > 1").select("first_id", "n", "texts")
+
+
+def sections(spark, sf_dir):
+    """Sections of every document read as Markdown."""
+    found = texts.markdown_sections(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "section", "path", F.length("text").alias("chars"))
+
+
 def summary_lines(spark, sf_dir):
     rows = modules(spark, sf_dir)
     name = X.display_name(F.substring("body_sha256", 1, 8), F.concat(F.lit("module of "), "app"))
@@ -266,7 +280,7 @@ QUERIES = {
         group_by_origin, domain_type_counts, endpoint_dedup, low_signal_urls, host_match, inverted_index,
         version_posture_range_join, outdated_by, alias_merge, topic_derive, component_rules, bucket_classify, vendored_flag,
         triage, symbol_extract, entropy, threat_score, typosquat, multiset_jaccard, hamming_severity, css_last_wins,
-        registry_materialize, code_chunks, hierarchy_depth, dependency_resolution, summary_lines,
+        registry_materialize, code_chunks, hierarchy_depth, dependency_resolution, summary_lines, canonical_groups, sections,
     )
 }
 
@@ -391,6 +405,12 @@ ORACLE_SQL = {
                (SELECT min(m.n_nationkey) FROM nation m WHERE m.n_name = n.n_name AND m.n_regionkey = n.n_regionkey + 1)
                ELSE (SELECT min(m.n_nationkey) FROM nation m WHERE m.n_name = n.n_name AND m.n_regionkey = n.n_regionkey) END AS to_id
         FROM customer JOIN nation n ON n.n_nationkey = c_nationkey""",
+    "sections": r"""WITH l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+        ), h AS (SELECT *, regexp_matches(line, '^#{1,6} ') AS heading FROM l
+        ), s AS (SELECT *, CAST(count(*) FILTER (WHERE heading) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS section FROM h)
+        SELECT doc_id, section, '' AS path, CAST(coalesce(length(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT heading)), 0) AS INTEGER) AS chars
+        FROM s GROUP BY doc_id, section""",
     "summary_lines": f"""WITH {MODULES_SQL}
         SELECT id, coalesce(CASE WHEN lang <> '' THEN '[' || lang || '] ' END, '') || 'module of ' || app || CASE WHEN toxic = 1 THEN ' {{toxic}}' ELSE '' END AS line FROM modules""",
 }

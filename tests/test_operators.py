@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from stratalog.functions import score as S
 from stratalog.functions import text as X
+from stratalog.functions.canonical import canonical_hash
 from stratalog.operators import changes, events, graph, keys, matching, search, texts
 from stratalog.sources import files
 from stratalog.sources.kvlog import KeyValueLog
@@ -161,6 +162,25 @@ def test_entropy_and_chunks(spark):
     assert [(c.first_line, c.text.split("\n")[0], len(c.text.split("\n"))) for c in chunks] == [(1, "0", 50), (46, "45", 50), (91, "90", 30)]
 
 
+def test_two_minifications_have_one_hash(spark):
+    a = "function add(first, second) { // sum\n  return first + second.len; }\nlet s = 'x';"
+    b = 'function q(a,b){return a+b.len;}let z="x";'
+    c = 'function q(a,b){return b+a.len;}let z="x";'
+    rows = spark.createDataFrame([(1, a), (2, b), (3, c), (4, None), (5, "")], "id int, t string")
+    got = {r.id: r.h for r in rows.select("id", canonical_hash(F.col("t")).alias("h")).collect()}
+    assert got[1] == got[2] != got[3] and got[4] is None and got[5] is not None
+
+
+def test_markdown_sections(spark):
+    body = "intro\n# A\ntext\n## B\nb1\nb2\n### C\n## D\nd\n# E\n#no heading"
+    rows = spark.createDataFrame([(1, body), (2, "plain")], "id int, t string")
+    got = [tuple(r) for r in texts.markdown_sections(rows, "id", "t").orderBy("id", "section").collect()]
+    assert got == [
+        (1, 0, "", "intro"), (1, 1, "A", "text"), (1, 2, "A > B", "b1\nb2"), (1, 3, "A > B > C", ""), (1, 4, "A > D", "d"),
+        (1, 5, "E", "#no heading"), (2, 0, "", "plain"),
+    ]
+
+
 def test_levels_with_a_cycle(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "x"), ("z", "x")], "src string, dst string")
