@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,11 @@ _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, or one of our own where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="stratalog-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stratalog-"))
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
@@ -44,6 +47,13 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; other letters keep their case."""
     return F.translate(text, _ASCII_UPPER, _ASCII_UPPER.lower())
