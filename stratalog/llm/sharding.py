@@ -114,7 +114,8 @@ def hilbert_shards(
         for i, d in enumerate(dims)
     ]
     key = ["cell", *ties]
-    along = rows.withColumn("cell", hilbert_index(cells, bits)).select(*dict.fromkeys([*keep, *key]))
+    # Written before the sort, as drawing range bounds reads its input once more: texts behind it are read once.
+    along = written(rows.withColumn("cell", hilbert_index(cells, bits)).select(*dict.fromkeys([*keep, *key])), "cells")
     place = F.monotonically_increasing_id()
     laid = written(along.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("place", place), "hilbert")
     part, within = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
