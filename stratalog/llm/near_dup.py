@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import forget, written
+from stratalog.llm.common import forget, small_batches, written
 from stratalog.llm.components import connected_components
 from stratalog.llm.shingles import MinHash, WordHashes, odd_numbers, shingle_set
 
@@ -46,7 +46,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors, minhash = WordHashes(), odd_numbers(p.seed, p.words), MinHash(p.minhashes, p.seed + 7)
-        for batch in batches:
+        for batch in small_batches(batches):
             digests, sizes, sketches = [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, p.words, factors, hashes)
@@ -69,7 +69,7 @@ def _full_sets(texts: DataFrame, p: NearDupParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors = WordHashes(), odd_numbers(p.seed, p.words)
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [shingle_set(text, p.words, factors, hashes) for text in batch.column(0).to_pylist()]
             lengths = np.cumsum([0] + [len(s) for s in sets])
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)

@@ -8,7 +8,7 @@ import xxhash
 _MASK = (1 << 64) - 1
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Words whose hash a worker remembers; the memory is emptied when it is full.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 200_000
 
 
 def odd_numbers(seed: int, n: int) -> np.ndarray:
