@@ -55,6 +55,12 @@ def overlay(static: DataFrame, live: DataFrame, keys: Sequence[str], value: str)
     return both.select(*keys, F.coalesce("live_value", "static_value").alias("value"), source.alias("provenance"))
 
 
+def first_of_group(rows: DataFrame, group: Sequence[str], order: Sequence, most: int) -> DataFrame:
+    """The first ``most`` rows of each group; Spark drops rows of higher ranks before the shuffle already."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
 def running_budget(rows: DataFrame, group: str, order: Sequence, cost: str, budget: int) -> DataFrame:
     """Rows of each group, in order, up to the first one whose running cost exceeds the budget."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -33,6 +33,57 @@ def search(rows: DataFrame, query: str, id_col: str, name: str, summary: str, fi
     return ranked.orderBy(F.desc("relevance"), id_col).limit(clamp_limit(limit))
 
 
+def optional(column: Column, value) -> Column:
+    """``column = value``, or no condition where no value is given."""
+    return F.lit(True) if value is None else column == F.lit(value)
+
+
+def overlaps(tags: Column, wanted: Sequence[str] | None) -> Column:
+    """Whether an array shares an element with ``wanted``; no condition where none is given. Null arrays share nothing."""
+    if wanted is None:
+        return F.lit(True)
+    return F.coalesce(F.arrays_overlap(tags, F.array(*[F.lit(t) for t in wanted])), F.lit(False))
+
+
+def ranked_search(
+    modules: DataFrame,
+    refs: DataFrame,
+    sources: DataFrame,
+    apps: DataFrame,
+    components: DataFrame,
+    enrichment: DataFrame,
+    query: str,
+    app: str | int | None = None,
+    component: str | None = None,
+    since=None,
+    after: tuple | None = None,
+    limit: int = 50,
+    least: float = 0.3,
+) -> DataFrame:
+    """Modules that contain the query or are similar to it, with every snapshot and application that refers to them.
+
+    Tables: modules (module_id, name, search_text, body), refs (body, source_id), sources (source_id, kb_id, captured_at),
+    apps (kb_id, display_name), components (module_id, component), enrichment (module_id, role). The text filter runs
+    before any join. Order: similarity, then newest snapshot, then id; ``after`` is the last row of the page before.
+    """
+    similar = X.trigram_similarity(F.col("search_text"), F.lit(query))
+    hits = modules.withColumn("sim", similar).where((F.col("sim") >= least) | X.contains_ci(F.col("search_text"), query))
+    found = hits.join(refs, "body").join(sources, "source_id").join(apps, "kb_id")
+    found = found.join(components, "module_id", "left").join(enrichment, "module_id", "left")
+    found = found.where(optional(F.col("kb_id"), app) & optional(F.col("component"), component))
+    if since is not None:
+        found = found.where(F.col("captured_at") >= F.lit(since).cast(sources.schema["captured_at"].dataType))
+    if after is not None:
+        sim, at, last = F.lit(after[0]), F.lit(after[1]).cast(sources.schema["captured_at"].dataType), F.lit(after[2])
+        tied = (F.col("sim") == sim) & ((F.col("captured_at") < at) | ((F.col("captured_at") == at) & (F.col("module_id") > last)))
+        found = found.where((F.col("sim") < sim) | tied)
+    named = found.select(
+        "module_id", "name", "sim", "kb_id", "display_name", "captured_at", "source_id",
+        F.coalesce("component", F.lit("other")).alias("component"), F.coalesce("role", F.lit("")).alias("role"),
+    )
+    return named.orderBy(F.desc("sim"), F.desc("captured_at"), "module_id").limit(clamp_limit(limit))
+
+
 def similar_page(rows: DataFrame, query: str, text: str, at: str, id_col: str, limit: int, after: tuple | None = None, least: float = 0.3) -> DataFrame:
     """A page of rows similar to the query, by (similarity desc, at desc, id asc), from behind ``after``."""
     scored = rows.withColumn("similarity", X.trigram_similarity(F.col(text), F.lit(query))).where(F.col("similarity") >= least)
