@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def representatives(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row of each key in the given order, which must be total."""
-    first = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    """The first row of each key in the given order (ascending, nulls first), which must be total.
+
+    An aggregate that combines before the shuffle, so no task sorts the rows of a key.
+    """
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("best"))
+    return best.select("best.*")
 
 
 def propagate(rows: DataFrame, key: str, order: str, column: str) -> DataFrame:
@@ -61,17 +64,18 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def upsert_protected(old: DataFrame, new: DataFrame, keys: Sequence[str], owner: str, protected: str) -> DataFrame:
-    """New rows replace old ones, but for old rows whose ``owner`` is ``protected``."""
-    kept = old.where(F.col(owner) == protected)
+    """New rows replace old ones, but for old rows whose ``owner`` is ``protected``; a null owner protects nothing."""
+    own = F.col(owner).eqNullSafe(F.lit(protected))
+    kept = old.where(own)
     fresh = new.join(kept, list(keys), "left_anti")
-    return kept.unionByName(old.where(F.col(owner) != protected).join(fresh, list(keys), "left_anti")).unionByName(fresh)
+    return kept.unionByName(old.where(~own).join(fresh, list(keys), "left_anti")).unionByName(fresh)
 
 
 def upsert_keep_known(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """New values win unless they are null or empty."""
+    """New values win unless they are null or empty; null keys are equal."""
     values = [c for c in old.columns if c not in keys]
     n, o = new.alias("n"), old.alias("o")
-    on = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in keys]
+    on = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
     both = n.join(o, on, "full_outer")
     known = lambda c: F.when(F.col(f"n.{c}").cast("string") != "", F.col(f"n.{c}"))
     return both.select(*[F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in keys], *[F.coalesce(known(c), F.col(f"o.{c}")).alias(c) for c in values])
@@ -85,3 +89,38 @@ def add_totals(old: DataFrame, new: DataFrame, keys: Sequence[str], totals: Sequ
 def replace_children(old: DataFrame, new: DataFrame, parent: Sequence[str]) -> DataFrame:
     """All children of the parents that ``new`` has are replaced by those in ``new``."""
     return old.join(new.select(*parent).distinct(), list(parent), "left_anti").unionByName(new)
+
+
+def merge_preferring(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows of ``first``, and those of ``second`` whose key ``first`` doesn't have."""
+    return first.unionByName(second.join(first.select(*keys).distinct(), list(keys), "left_anti"))
+
+
+def prune_absent(old: DataFrame, kept: DataFrame, scope: str, key: str) -> DataFrame:
+    """``old`` without the rows of a scope that ``kept`` has rows of, unless their key is among these."""
+    scopes = kept.select(scope).distinct()
+    swept = old.join(scopes, scope, "left_semi").join(kept.select(scope, key).distinct(), [scope, key], "left_semi")
+    return swept.unionByName(old.join(scopes, scope, "left_anti"))
+
+
+def already_there(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``new`` with ``known``: whether ``old`` has the key, so that its ingestion can be left out."""
+    seen = old.select(*keys).distinct().withColumn("known", F.lit(True))
+    return new.join(seen, list(keys), "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def next_number(parents: DataFrame, children: DataFrame, key: str, number: str) -> DataFrame:
+    """For each parent the number after the largest of its children's, 1 without any."""
+    largest = children.groupBy(key).agg(F.max(number).alias("largest"))
+    return parents.select(key).join(largest, key, "left").select(key, (F.coalesce("largest", F.lit(0)) + 1).alias("next"))
+
+
+def once_per_content(rows: DataFrame, sha: str, id_col: str) -> DataFrame:
+    """The row with the smallest id of each content hash; rows without a hash stand for themselves.
+
+    The keys are prefixed, so an id never meets a hash.
+    """
+    own = F.coalesce(F.col(sha), F.lit("")) == ""
+    key = F.when(own, F.concat(F.lit("id:"), F.col(id_col))).otherwise(F.concat(F.lit("sha:"), F.col(sha)))
+    best = rows.groupBy(key.alias("content key")).agg(F.min_by(F.struct(*rows.columns), id_col).alias("best"))
+    return best.select("best.*")

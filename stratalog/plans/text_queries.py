@@ -220,7 +220,7 @@ def hamming_severity(spark, sf_dir):
 def css_last_wins(spark, sf_dir):
     """The last of equal turns of a conversation."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("chars"))
-    return keys.representatives(rows, ["conv_id", "role"], [F.desc("turn")])
+    return keys.representatives(rows, ["conv_id", "role"], [(-F.col("turn")).alias("turn")])
 
 
 def registry_materialize(spark, sf_dir):
