@@ -71,7 +71,7 @@ def outdated_by(declared: Column, latest: Column) -> Column:
 
 
 def cvss3_base_score(vector: Column) -> Column:
-    """Base score of a CVSS v3 vector by the published formula; null if a metric is missing."""
+    """Base score of a CVSS v3 vector by the published formula; an unknown or missing metric weighs 0. Null for null."""
     m = F.str_to_map(vector, F.lit("/"), F.lit(":"))
 
     def metric(name: str, values: dict[str, float]) -> Column:
@@ -79,10 +79,11 @@ def cvss3_base_score(vector: Column) -> Column:
         for key, value in values.items():
             hit = m[name] == key
             out = F.when(hit, value) if out is None else out.when(hit, value)
-        return out
+        return out.otherwise(0.0)
 
+    # Weights and formula of the published standard.
     impact3 = {"H": 0.56, "L": 0.22, "N": 0.0}
-    wide = m["S"] == "C"
+    wide = F.coalesce(m["S"] == "C", F.lit(False))
     c, i, a = (metric(x, impact3) for x in "CIA")
     iss = 1 - (1 - c) * (1 - i) * (1 - a)
     impact = F.when(wide, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, 15)).otherwise(6.42 * iss)
@@ -90,7 +91,7 @@ def cvss3_base_score(vector: Column) -> Column:
     reach = metric("AV", {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.2})
     ease = 8.22 * reach * metric("AC", {"L": 0.77, "H": 0.44}) * rights * metric("UI", {"N": 0.85, "R": 0.62})
     total = F.when(wide, 1.08 * (impact + ease)).otherwise(impact + ease)
-    return F.when(impact <= 0, 0.0).otherwise(F.ceil(F.round(F.least(total, F.lit(10.0)) * 10, 6)) / 10)
+    return F.when(vector.isNull(), None).when(impact <= 0, 0.0).otherwise(F.ceil(F.round(F.least(total, F.lit(10.0)) * 10, 6)) / 10)
 
 
 def cvss_level(score: Column) -> Column:

@@ -19,11 +19,37 @@ def fact_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], value: s
 
 
 def consecutive_diff(facts: DataFrame, group: str, epoch: str, keys: Sequence[str], value: str) -> DataFrame:
-    """``fact_diff`` of each epoch of each group with the epoch before, in one pass; ``epoch`` is the later one."""
-    before = facts.withColumn(epoch, F.col(epoch) + 1)
+    """``fact_diff`` of each epoch of each group with the epoch before; ``epoch`` is the later one.
+
+    Every fact counts once as new in its epoch and once as old in the next one, so one aggregation makes all diffs. The
+    last epoch of a group has no next one: that is a second, small aggregation.
+    """
     last = facts.groupBy(group).agg(F.max(epoch).alias("last_epoch"))
-    before = before.join(last, group).where(F.col(epoch) <= F.col("last_epoch")).drop("last_epoch")
-    return fact_diff(before, facts.where(F.col(epoch) > 1), [group, epoch, *keys], value)
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("age"), F.col(epoch).alias("to")), F.struct(F.lit(1).alias("age"), (F.col(epoch) + 1).alias("to"))))
+    both = facts.select(group, *keys, F.col(value).alias("value"), sides.alias("s")).where("s.to > 1")
+    pick = lambda age: F.max(F.when(F.col("s.age") == age, F.struct("value")))
+    folded = both.groupBy(group, F.col("s.to").alias(epoch), *keys).agg(pick(1).alias("old"), pick(0).alias("new"))
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
+    folded = folded.withColumn("change_type", kind).where((F.col("change_type") != "modified") | ~F.col("old.value").eqNullSafe(F.col("new.value")))
+    found = folded.join(last, group).where(F.col(epoch) <= F.col("last_epoch"))
+    return found.select(group, epoch, *keys, F.col("old.value").alias("old_value"), F.col("new.value").alias("new_value"), "change_type")
+
+
+def tree_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], tag: str) -> DataFrame:
+    """Paths (the keys) that were added, removed, or are there with another tag (moved)."""
+    diff = fact_diff(before, after, keys, tag)
+    return diff.withColumn("change_type", F.when(F.col("change_type") == "modified", "moved").otherwise(F.col("change_type")))
+
+
+def layout_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], least: float = 4.0, share: float = 0.10) -> DataFrame:
+    """Elements (x, y, w, h) in both that moved by ``least`` or more, or changed a side by more than ``share`` of the old one."""
+    side = lambda df, n: df.select(*keys, *[F.col(c).alias(f"{c}_{n}") for c in "xywh"])
+    both = side(before, 0).join(side(after, 1), list(keys))
+    d = {f"d{c}": F.col(f"{c}_1") - F.col(f"{c}_0") for c in "xywh"}
+    grown = lambda c: F.when(F.col(f"{c}_0") > 0, F.abs(d[f"d{c}"]) / F.col(f"{c}_0")).otherwise(F.lit(0.0)) > share
+    moved, resized = (F.abs(d["dx"]) >= least) | (F.abs(d["dy"]) >= least), grown("w") | grown("h")
+    out = both.select(*keys, *[v.alias(k) for k, v in d.items()], moved.alias("moved"), resized.alias("resized"))
+    return out.where("moved OR resized")
 
 
 def set_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -62,6 +88,15 @@ def first_of_group(rows: DataFrame, group: Sequence[str], order: Sequence, most:
 
 
 def running_budget(rows: DataFrame, group: str, order: Sequence, cost: str, budget: int) -> DataFrame:
-    """Rows of each group, in order, up to the first one whose running cost exceeds the budget."""
+    """Rows of each group, in order, up to the first one whose running cost exceeds the budget.
+
+    Costs are not negative, and the first column of ``order`` is a number. Its values are cut into powers of two; cells
+    that begin beyond the budget are dropped by their sums before any group is sorted, so a task sorts about a budget.
+    """
+    placed = rows.withColumn("cell", F.floor(F.log2(F.greatest(F.col(order[0]).cast("double"), F.lit(0.0)) + 1)))
+    sums = placed.groupBy(group, "cell").agg(F.sum(cost).alias("cell cost"))
+    before = F.sum("cell cost").over(Window.partitionBy(group).orderBy("cell")) - F.col("cell cost")
+    live = sums.select(F.col(group).alias("live group"), F.col("cell").alias("live cell"), before.alias("before")).where(F.col("before") <= budget)
+    near = placed.join(live, F.col(group).eqNullSafe(F.col("live group")) & (F.col("cell") == F.col("live cell")), "left_semi").drop("cell")
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("running", F.sum(cost).over(w)).where(F.col("running") <= budget)
+    return near.withColumn("running", F.sum(cost).over(w)).where(F.col("running") <= budget)

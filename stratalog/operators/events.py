@@ -19,11 +19,18 @@ def rollup(events: DataFrame, group: Sequence[str], kind: str, kinds: dict[str,
 def index_quantiles(values: DataFrame, column: str, quantiles: dict[str, float], cells: int = 4096) -> DataFrame:
     """Quantiles by index (no interpolation) of a whole column, without collecting it into one row.
 
-    Counts of distinct values are combined first, so what is ordered is one row per distinct value.
+    Counts of distinct values are combined first, and cut into ``cells`` ranges of equal width: running counts of the
+    ranges say which values of a range to add, so no task orders more than one range.
     """
     counts = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    w = Window.orderBy(column)
-    ranked = counts.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    ends = counts.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"), F.sum("n").alias("total"))
+    width = F.greatest((F.col("hi") - F.col("lo")) / cells, F.lit(1e-300))
+    cell = F.least(F.floor((F.col(column).cast("double") - F.col("lo")) / width), F.lit(cells - 1))
+    placed = counts.join(F.broadcast(ends)).withColumn("cell", cell)
+    before = placed.groupBy("cell").agg(F.sum("n").alias("m"))
+    before = before.select("cell", (F.sum("m").over(Window.orderBy("cell")) - F.col("m")).alias("before"))
+    w = Window.partitionBy("cell").orderBy(column)
+    ranked = placed.join(F.broadcast(before), "cell").withColumn("upto", F.col("before") + F.sum("n").over(w))
     at = lambda q: F.least(F.floor(F.col("total") * q), F.col("total") - 1)
     return ranked.agg(*[F.min(F.when(F.col("upto") > at(q), F.col(column))).alias(name) for name, q in quantiles.items()], F.max(column).alias("max"))
 
@@ -37,10 +44,13 @@ def sessions(events: DataFrame, group: str, ts: str, order: str, gap_seconds: in
     return numbered.groupBy(group, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n_events"))
 
 
-def failure_guard(events: DataFrame, group: str, ts: str, failed: Column, seconds: int, least: int) -> DataFrame:
-    """Failed events with at least ``least`` failures of the group in the ``seconds`` up to and with them."""
-    moment = events.where(failed).withColumn("moment", F.unix_seconds(F.col(ts).cast("timestamp")))
-    w = Window.partitionBy(group).orderBy("moment").rangeBetween(-seconds, 0)
+def failure_guard(events: DataFrame, group: str, ts: str, failed: Column, seconds: int, least: int = 3) -> DataFrame:
+    """Failed events with at least ``least`` failures of the group in the ``seconds`` up to and with them.
+
+    A failure as long ago as ``seconds`` to the microsecond is out.
+    """
+    moment = events.where(failed).withColumn("moment", F.unix_micros(F.col(ts).cast("timestamp")))
+    w = Window.partitionBy(group).orderBy("moment").rangeBetween(1 - seconds * 1_000_000, 0)
     return moment.withColumn("failures", F.count("*").over(w)).where(F.col("failures") >= least).drop("moment")
 
 

@@ -124,3 +124,15 @@ def once_per_content(rows: DataFrame, sha: str, id_col: str) -> DataFrame:
     key = F.when(own, F.concat(F.lit("id:"), F.col(id_col))).otherwise(F.concat(F.lit("sha:"), F.col(sha)))
     best = rows.groupBy(key.alias("content key")).agg(F.min_by(F.struct(*rows.columns), id_col).alias("best"))
     return best.select("best.*")
+
+
+def not_in(rows: DataFrame, known: DataFrame, column: str, other: str) -> DataFrame:
+    """``rows`` whose ``column`` is NOT IN ``known``, as SQL has it: a null in ``known`` lets no row through, and a null in
+    ``column`` only if ``known`` is empty.
+
+    A hashed anti join and two facts about ``known``, of one row; Spark's own null-aware join would be a nested loop.
+    """
+    facts = known.agg(F.count("*").alias("known rows"), F.count_if(F.col(other).isNull()).alias("known nulls"))
+    left = rows.join(known.select(F.col(other).alias(column)), column, "left_anti").join(F.broadcast(facts))
+    fits = (F.col("known nulls") == 0) & (F.col(column).isNotNull() | (F.col("known rows") == 0))
+    return left.where(fits).select(*rows.columns)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalog.functions import shapes as S
 from stratalog.functions import text as X
 
-# Keywords of topics, marks of third-party code, roles.
+# Keywords of topics.
 TOPICS = {
     "sendmessage": "messaging", "message": "messaging", "chat": "messaging", "send": "messaging", "receive": "messaging",
     "msg": "messaging", "encrypt": "crypto", "decrypt": "crypto", "crypto": "crypto", "cipher": "crypto", "key": "crypto",
@@ -21,61 +25,137 @@ TOPICS = {
     "oauth": "auth", "react": "ui", "render": "ui", "component": "ui", "view": "ui", "dom": "ui", "window": "ui",
     "voip": "call", "ring": "call",
 }
-VENDORED_MARKS = ("node_modules/", "/*!", "@license", '"tokenColors"', "clerk.com", "Clerk: ", "@clerk/", "mermaid")
-VENDORED_STRIPPED = ("(function(global,factory)", 'typeofexports==="object"&&typeofmodule!=="undefined"', "typeofexports==='object'&&typeofmodule!=='undefined'")
-LICENCE_MARKS = ("Licensed under", "is licensed under", "Released under the")
+# Topics of known roles; others have none.
+ROLES = {
+    "send": "messaging", "receive": "messaging", "auth": "auth", "pair": "auth", "storage": "storage", "sync": "storage",
+    "protocol": "messaging", "crypto": "crypto", "media": "media", "presence": "presence", "call": "call", "ui": "ui",
+    "telemetry": "telemetry",
+}
+# What bundled third-party code carries, one tuple for each rule.
+VENDORED_PATHS = ("node_modules/",)
+VENDORED_BANNERS = ("/*!", "@license")
+VENDORED_WRAPPERS = ("(function(global,factory)", 'typeofexports==="object"&&typeofmodule!=="undefined"', "typeofexports==='object'&&typeofmodule!=='undefined'")
+VENDORED_THEMES = ('"tokenColors"',)
+VENDORED_LIBRARIES = ("clerk.com", "Clerk: ", "@clerk/", "mermaid")
+# Names of libraries that chunks are called by, alone or before a hyphen or a dot.
+VENDORED_NAMES = (
+    "react", "react-dom", "react-dom-client", "scheduler", "cytoscape", "d3", "rxjs", "mobx", "immer", "redux", "zod",
+    "axios", "apollo", "graphql", "lodash", "moment", "dayjs", "tslib", "core-js", "regenerator-runtime", "bluebird",
+    "firebase", "firebase-app", "firebase-auth", "firebase-storage", "firebase-firestore", "pdfjs", "pdf.js", "pdf.worker",
+    "cff_parser", "monaco", "codemirror", "prismjs", "katex", "mermaid", "streamdown", "shiki", "vscode-oniguruma", "vscode-textmate",
+)
+#: Bytes below which a body says nothing.
+LEAST_BODY = 256
+
+
+def is_vendored_name(name: Column) -> Column:
+    """A library's name, or one that goes on behind a hyphen or a dot; false for null."""
+    known = "|".join(n.replace(".", r"\.") for n in VENDORED_NAMES)
+    return F.coalesce(F.lower(F.trim(name)).rlike(f"^(?:{known})(?:[-.]|$)"), F.lit(False))
+
+
+def is_vendored(body: Column, name: Column | None = None) -> Column:
+    """Marks of bundled third-party code anywhere in the body, or its name; white space is ignored in module wrappers.
+
+    White space is only taken out of bodies that hold a word of a wrapper.
+    """
+    plain = VENDORED_PATHS + VENDORED_BANNERS + VENDORED_THEMES + VENDORED_LIBRARIES
+    wrapped = (body.contains("factory") | body.contains("exports")) & S.contains_any(S.squeezed(body), VENDORED_WRAPPERS)
+    grammar = body.contains('"scopeName"') & (body.contains('"patterns"') | body.contains('"repository"'))
+    scoped = body.contains("@") & body.rlike(S.SCOPED_IMPORT)
+    found = S.contains_any(body, plain) | grammar | scoped | wrapped
+    return found if name is None else is_vendored_name(name) | found
 
 
-def any_of(text: Column, marks: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for m in marks:
-        out = out | text.contains(m)
-    return out
+def topic(role: Column, tags: Column, summary: Column, deps: Column | None = None) -> Column:
+    """The topic of the first keyword in tags, summary and dependencies, else that of a known role, else other."""
+    parts = [F.coalesce(c, F.lit("")) for c in (tags, summary, deps) if c is not None]
+    roles = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    return X.first_keyword(F.concat_ws(" ", *parts), TOPICS, F.coalesce(F.try_element_at(roles, F.lower(F.trim(role))), F.lit("other")))
 
 
-def is_vendored(body: Column) -> Column:
-    """Marks of bundled third-party code anywhere in the body; white space is ignored for module wrappers."""
-    stripped = F.translate(body, " \t\n\r\f\x0b", "")
-    grammar = body.contains('"scopeName"') & (body.contains('"patterns"') | body.contains('"repository"'))
-    return any_of(body, VENDORED_MARKS + LICENCE_MARKS) | any_of(stripped, VENDORED_STRIPPED) | grammar
+def triage(body: Column, name: Column | None = None, least: int = LEAST_BODY) -> Column:
+    """SKIP for short, third-party or re-exporting bodies, STATIC_OK for icons, lazy bindings and fragments, else ENRICH."""
+    skip = (F.octet_length(body) < least) | is_vendored(body, name) | S.is_reexport(body)
+    static = S.is_icon(body) | S.is_lazy_binding(body) | S.is_fragment(body)
+    return F.when(skip, "SKIP").when(static, "STATIC_OK").otherwise("ENRICH")
+
+
+@dataclass(frozen=True)
+class ComponentRule:
+    """Fits where all given parts fit: patterns of path and name, and a keyword of the lower-cased text."""
+
+    component: str
+    confidence: float
+    priority: int
+    keyword: str | None = None
+    path: str | None = None
+    name: str | None = None
+    suppress: bool = False
 
+    def fits(self, text: Column, path: Column | None, name: Column | None) -> Column:
+        parts = [text.contains(self.keyword)] if self.keyword is not None else []
+        parts += [path.rlike(self.path)] if self.path is not None else []
+        parts += [name.rlike(self.name)] if self.name is not None else []
+        return functools.reduce(operator.and_, parts)
 
-def topic(role: Column, tags: Column, summary: Column) -> Column:
-    return X.first_keyword(F.concat_ws(" ", tags, summary), TOPICS, F.coalesce(role, F.lit("other")))
 
+def best_component(rules: Sequence[ComponentRule], text: Column, path: Column | None = None, name: Column | None = None) -> Column:
+    """(component, confidence) of the best rule that fits.
 
-def triage(body: Column, least: int) -> Column:
-    """SKIP for short or third-party bodies, STATIC_OK for minified ones without sentences, else ENRICH."""
-    return (
-        F.when(F.length(body) < least, "SKIP").when(is_vendored(body), "SKIP").when(X.looks_minified(body, 400), "STATIC_OK").otherwise("ENRICH")
+    A suppressing rule that fits removes its component; of the rest the highest confidence wins, then the lowest
+    priority number; equal best components are ambiguous and give ``other``. A rule set is code: every rule is an
+    expression of the row, so there is no join and no shuffle.
+    """
+    low = F.lower(text)
+    kind = "array<struct<rank:double,priority:int,component:string,confidence:double>>"
+    hit = lambda r: F.struct(F.lit(-r.confidence).alias("rank"), F.lit(r.priority).alias("priority"), F.lit(r.component).alias("component"), F.lit(r.confidence).alias("confidence"))
+    fits = [F.when(F.coalesce(r.fits(low, path, name), F.lit(False)), hit(r)) for r in rules if not r.suppress]
+    gone = [F.when(F.coalesce(r.fits(low, path, name), F.lit(False)), F.lit(r.component)) for r in rules if r.suppress]
+    found = F.filter(F.array(*fits), lambda x: x.isNotNull()).cast(kind)
+    gone = F.array(*gone) if gone else F.array().cast("array<string>")
+    found = F.array_sort(F.filter(found, lambda x: ~F.coalesce(F.array_contains(F.array_compact(gone), x.component), F.lit(False))))
+    # The best confidence and priority of a component decide, whichever of its rules they come from.
+    per = F.transform(
+        F.array_distinct(F.transform(found, lambda x: x.component)),
+        lambda c: F.struct(
+            F.array_min(F.transform(F.filter(found, lambda x: x.component == c), lambda x: x["rank"])).alias("rank"),
+            F.array_min(F.transform(F.filter(found, lambda x: x.component == c), lambda x: x.priority)).alias("priority"),
+            c.alias("component"),
+        ),
     )
+    best = F.array_min(per)
+    tied = F.size(F.filter(per, lambda x: (x["rank"] == best["rank"]) & (x.priority == best.priority)))
+    named = F.when(tied == 1, best.component).otherwise("other")
+    return F.struct(named.alias("component"), F.coalesce(-best["rank"], F.lit(0.0)).alias("confidence"))
+
+
+#: A rule table is read up to this number of rules.
+MOST_RULES = 2000
 
 
 def apply_rules(rows: DataFrame, rules: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Best component by rules (component, pattern, confidence, priority, suppress).
+    """``best_component`` by a table of rules (component, pattern, confidence, priority, suppress); other without any fit.
 
-    A suppressing rule that matches removes its component; of the rest the highest confidence wins, then the lowest
-    priority number; equal best components are ambiguous and give ``other``. The rule table is the small side.
+    The rules are read by the driver, MOST_RULES of them at most, and become expressions.
     """
-    hits = rows.select(id_col, F.lower(F.col(text)).alias("low")).join(F.broadcast(rules), F.expr("contains(low, pattern)")).drop("low")
-    per = hits.groupBy(id_col, "component").agg(F.max("confidence").alias("confidence"), F.min("priority").alias("priority"), F.bool_or("suppress").alias("suppressed"))
-    ranked = per.where("NOT suppressed").withColumn(
-        "place", F.rank().over(Window.partitionBy(id_col).orderBy(F.desc("confidence"), "priority"))
-    )
-    best = ranked.where("place = 1").groupBy(id_col).agg(F.count("*").alias("n"), F.min("component").alias("component"), F.max("confidence").alias("confidence"))
-    named = F.when(F.col("n") == 1, F.col("component")).otherwise("other")
-    return rows.select(id_col).join(best.select(id_col, named.alias("component"), "confidence"), id_col, "left").select(
-        id_col, F.coalesce("component", F.lit("other")).alias("component"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")
-    )
+    read = rules.select("component", "pattern", "confidence", "priority", "suppress").limit(MOST_RULES + 1).collect()
+    if len(read) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    made = [ComponentRule(r.component, float(r.confidence), r.priority, keyword=r.pattern, suppress=r.suppress) for r in read]
+    best = rows.select(id_col, best_component(made, F.col(text)).alias("b"))
+    return best.select(id_col, F.coalesce("b.component", F.lit("other")).alias("component"), "b.confidence")
 
 
 def shannon_entropy(rows: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Bits per character of each text; 0 for an empty or null one. Characters are counted before they are shuffled."""
-    chars = rows.select(id_col, F.explode(F.split(text, "")).alias("c")).where("c <> ''")
-    counts = chars.groupBy(id_col, "c").agg(F.count("*").alias("k"))
-    sums = counts.groupBy(id_col).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log2("k")).alias("s"))
-    bits = sums.select(id_col, (F.log2("n") - F.col("s") / F.col("n")).alias("entropy"))
-    return rows.select(id_col).join(bits, id_col, "left").fillna(0.0, ["entropy"])
+    """Bits per character of each text; 0 for an empty or null one. Characters are counted within the row."""
+    return rows.select(id_col, S.entropy(F.col(text)).alias("entropy"))
+
+
+def postings(rows: DataFrame, key: str, value: str, block: int, name: str) -> DataFrame:
+    """The values of each key in ascending order, as text in blocks of ``block`` possible numbers: no list grows with the key."""
+    blocks = rows.groupBy(key, F.expr(f"{value} div {block}").alias("block")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(value)).alias("values"))
+    return blocks.select(key, "block", "n", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias(name))
 
 
 def code_chunks(rows: DataFrame, id_col: str, body: str, lines: int = 50, overlap: int = 5) -> DataFrame:

@@ -116,9 +116,9 @@ def resumable_runs(spark, sf_dir):
 
 
 def sliding_failure_guard(spark, sf_dir):
-    """Failures that are at least the third of their user within a day."""
+    """Failures that are at least the third of their user within three days."""
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    return events.failure_guard(rows, "user_id", "ts", F.col("event_type") == "error", 86_400, 2).select("event_id", "user_id", "failures")
+    return events.failure_guard(rows, "user_id", "ts", F.col("event_type") == "error", 3 * 86_400).select("event_id", "user_id", "failures")
 
 
 def session_timeout(spark, sf_dir):
@@ -218,10 +218,10 @@ ORACLE_SQL = {
         SELECT * FROM (SELECT DISTINCT ON (user_id, cmd) user_id, cmd, event_id, ts FROM usage ORDER BY user_id, cmd, ts DESC, event_id DESC)
         WHERE ts >= TIMESTAMP '2024-01-26'""",
     "sliding_failure_guard": """WITH f AS (
-            SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(date_trunc('second', ts)) // 1000000
-                                     RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS failures
-            FROM events WHERE event_type = 'error')
-        SELECT event_id, user_id, failures FROM f WHERE failures >= 2""",
+            SELECT a.event_id, a.user_id, count(*) AS failures FROM events a JOIN events b
+              ON a.user_id = b.user_id AND b.ts > a.ts - INTERVAL 3 DAY AND b.ts <= a.ts
+            WHERE a.event_type = 'error' AND b.event_type = 'error' GROUP BY 1, 2)
+        SELECT event_id, user_id, failures FROM f WHERE failures >= 3""",
     "session_timeout": """WITH g AS (
             SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 86400000000 THEN 1 ELSE 0 END AS new
             FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)

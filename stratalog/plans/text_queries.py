@@ -63,9 +63,10 @@ def endpoint_set_diff(spark, sf_dir):
 
 
 def group_by_origin(spark, sf_dir):
-    """Pages of each origin; no origin is 'unknown'."""
+    """Pages of each origin, in blocks of ids; no origin is 'unknown'."""
     origin = F.coalesce(F.nullif(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1), F.lit("")), F.lit("unknown"))
-    return table(spark, sf_dir, "pages").groupBy(origin.alias("origin")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("page_id")), lambda x: x.cast("string")), ",").alias("pages"))
+    rows = table(spark, sf_dir, "pages").select(origin.alias("origin"), "page_id")
+    return texts.postings(rows, "origin", "page_id", 1000, "pages")
 
 
 def domain_type_counts(spark, sf_dir):
@@ -101,10 +102,9 @@ def host_match(spark, sf_dir):
 
 
 def inverted_index(spark, sf_dir):
-    """Suppliers of every part."""
-    return table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().groupBy("l_partkey").agg(
-        F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("l_suppkey")), lambda x: x.cast("string")), ",").alias("suppliers")
-    )
+    """Suppliers of every part, in blocks of ids."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    return texts.postings(rows, "l_partkey", "l_suppkey", 50, "suppliers")
 
 
 def version_posture_range_join(spark, sf_dir):
@@ -132,7 +132,9 @@ def alias_merge(spark, sf_dir):
 
 
 def topic_derive(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(texts.topic(F.col("source"), F.col("lang"), F.col("text")).alias("topic"))
+    """Topics of turns, of which the role of every third is known, counted."""
+    role = F.when(F.col("turn") % 3 == 0, "Pair").when(F.col("turn") % 3 == 1, F.col("role"))
+    rows = table(spark, sf_dir, "conversations").select(texts.topic(role, F.col("role"), F.substring("text", 1, 60)).alias("topic"))
     return rows.groupBy("topic").agg(F.count("*").alias("n"))
 
 
@@ -143,9 +145,10 @@ _RULES = (
 
 
 def component_rules(spark, sf_dir):
-    values = ", ".join(f"('{c}', '{p}', {conf}D, {prio}, {str(s).lower()})" for c, p, conf, prio, s in _RULES)
-    rules = spark.sql(f"SELECT * FROM VALUES {values} AS t(component, pattern, confidence, priority, suppress)")
-    return texts.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), rules, "doc_id", "text")
+    rules = [texts.ComponentRule(c, conf, prio, keyword=p, suppress=gone) for c, p, conf, prio, gone in _RULES]
+    rules.append(texts.ComponentRule("site", 0.95, 1, keyword="released", path="^src1", name="^(en|de)$"))
+    best = texts.best_component(rules, F.col("text"), F.col("source"), F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", best.alias("b")).select("doc_id", F.coalesce("b.component", F.lit("other")).alias("component"), "b.confidence")
 
 
 _BUCKETS = (("^https?://(www|blog|m)\\.", "site"), ("/(en|de)/", "germanic"), ("/(fr|es)/", "romance"))
@@ -161,7 +164,7 @@ def vendored_flag(spark, sf_dir):
 
 
 def triage(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", texts.triage(F.col("text"), 200).alias("class"))
+    return table(spark, sf_dir, "documents").select("doc_id", texts.triage(F.col("text")).alias("class"))
 
 
 def symbol_extract(spark, sf_dir):
@@ -208,11 +211,11 @@ def multiset_jaccard(spark, sf_dir):
 
 
 def hamming_severity(spark, sf_dir):
-    """Distance of the sign bits of each vector from those of the vector before, and its severity."""
-    bits = F.aggregate(F.slice("embedding", 1, 62), F.lit(0).cast("long"), lambda acc, x: acc * 2 + (x > 0).cast("long"))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("bits"))
-    before = rows.select((F.col("vec_id") + 1).alias("vec_id"), F.col("bits").alias("old"))
-    distance = F.bit_count(F.col("bits").bitwiseXOR(F.col("old"))).cast("int")
+    """Distance of the sign bits of each vector from those of the vector before, and its severity; 64 bits in two words."""
+    word = lambda k: F.aggregate(F.slice("embedding", 32 * k + 1, 32), F.lit(0).cast("long"), lambda acc, x: acc * 2 + (x > 0).cast("long"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", word(0).alias("a"), word(1).alias("b"))
+    before = rows.select((F.col("vec_id") + 1).alias("vec_id"), F.col("a").alias("old_a"), F.col("b").alias("old_b"))
+    distance = (F.bit_count(F.col("a").bitwiseXOR(F.col("old_a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("old_b")))).cast("int")
     both = rows.join(before, "vec_id").select("vec_id", distance.alias("distance"))
     return both.select("vec_id", "distance", S.hamming_severity(F.col("distance"), 24, 32).alias("severity"))
 
@@ -242,8 +245,7 @@ def hierarchy_depth(spark, sf_dir):
     regions = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("child"), F.lit("root").alias("parent"))
     nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
     root = spark.sql("SELECT 'root' AS child, CAST(NULL AS STRING) AS parent")
-    regions.unionByName(nations).unionByName(root).createOrReplaceTempView("stratalog_edges")
-    return spark.sql(graph.depth_sql("stratalog_edges", "parent IS NULL"))
+    return spark.sql(graph.depth_sql("{edges}", "parent IS NULL"), edges=regions.unionByName(nations).unionByName(root))
 
 
 def dependency_resolution(spark, sf_dir):
@@ -297,12 +299,28 @@ def _similar(a: str, b: str) -> str:
 
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
 _PATH = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
-_TOPIC = " ".join(f"WHEN contains(low, '{w}') THEN '{texts.TOPICS[w]}'" for w in sorted(texts.TOPICS))
-_MARKS = " OR ".join(f"contains(body, '{m}')" for m in texts.VENDORED_MARKS + texts.LICENCE_MARKS)
-_STRIPPED = " OR ".join("contains(stripped, '{}')".format(m.replace("'", "''")) for m in texts.VENDORED_STRIPPED)
-_VENDORED = f"""vend AS (
-            SELECT *, {_MARKS} OR {_STRIPPED} OR (contains(body, '"scopeName"') AND (contains(body, '"patterns"') OR contains(body, '"repository"'))) AS vendored
-            FROM (SELECT doc_id, source AS app, text AS body, regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g') AS stripped FROM documents))"""
+# The rules once more, written out for SQL.
+_VENDORED = r"""vend AS (
+            SELECT *, contains(body, 'node_modules/') OR contains(body, '/*!') OR contains(body, '@license') OR contains(body, '"tokenColors"')
+                   OR contains(body, 'clerk.com') OR contains(body, 'Clerk: ') OR contains(body, '@clerk/') OR contains(body, 'mermaid')
+                   OR contains(stripped, '(function(global,factory)') OR contains(stripped, 'typeofexports==="object"&&typeofmodule!=="undefined"')
+                   OR contains(replace(stripped, chr(39), '`'), 'typeofexports===`object`&&typeofmodule!==`undefined`')
+                   OR regexp_matches(body, '(?:from|require\(|import)\s*\(?\s*["'']@[a-z0-9][\w.-]*/[\w.-]+')
+                   OR (contains(body, '"scopeName"') AND (contains(body, '"patterns"') OR contains(body, '"repository"'))) AS vendored
+            FROM (SELECT doc_id, source AS app, text AS body, regexp_replace(text, '[ \t\n\r\f\v]', '', 'g') AS stripped FROM documents))"""
+_TOPIC = " ".join(
+    "WHEN contains(low, '{}') THEN '{}'".format(*pair.split(":"))
+    for pair in sorted(
+        (
+            "analytics:telemetry audio:media auth:auth blob:storage cache:storage chat:messaging cipher:crypto component:ui credential:auth "
+            "crypto:crypto db:storage decrypt:crypto dom:ui encrypt:crypto image:media indexeddb:storage key:crypto log:telemetry logger:telemetry "
+            "login:auth media:media message:messaging metric:telemetry msg:messaging oauth:auth online:presence persist:storage presence:presence "
+            "react:ui receive:messaging render:ui ring:call send:messaging sendmessage:messaging session:auth signal:crypto storage:storage "
+            "stream:media telemetry:telemetry thumbnail:media token:auth tracking:telemetry typing:presence video:media view:ui voip:call window:ui"
+        ).split(),
+        key=lambda pair: pair.split(":")[0],
+    )
+)
 
 ORACLE_SQL = {
     "search_ilike_ranked": f"""WITH h AS (
@@ -322,8 +340,8 @@ ORACLE_SQL = {
         SELECT l.doc_id, CAST(line AS INTEGER) AS line, text, quality FROM l LEFT JOIN labels b ON b.doc_id = l.doc_id WHERE text ILIKE '%licensed under%'""",
     "endpoint_set_diff": f"""WITH e AS (SELECT page_id % 2 AS side, {_HOST} || {_PATH} AS endpoint FROM pages)
         SELECT endpoint, CASE WHEN max(side) = 0 THEN 'removed' ELSE 'added' END AS change FROM e GROUP BY 1 HAVING count(DISTINCT side) = 1""",
-    "group_by_origin": """SELECT coalesce(nullif(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), ''), 'unknown') AS origin, count(*) AS n,
-               string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS pages FROM pages GROUP BY 1""",
+    "group_by_origin": """SELECT coalesce(nullif(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), ''), 'unknown') AS origin, page_id // 1000 AS block, count(*) AS n,
+               string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS pages FROM pages GROUP BY 1, 2""",
     "domain_type_counts": rf"""WITH p AS (
             SELECT regexp_extract({_HOST}, '([^.]+\.[^.]+)$', 1) AS domain,
                    CASE WHEN suffix({_PATH}, '.html') THEN 'html' WHEN suffix({_PATH}, '/') THEN 'folder' ELSE 'other' END AS kind FROM pages)
@@ -336,8 +354,8 @@ ORACLE_SQL = {
         ), m AS (SELECT page_id, host, arg_max(known, length(known)) AS known FROM p LEFT JOIN k
                  ON host = known OR suffix(host, '.' || known) GROUP BY 1, 2)
         SELECT page_id, known, CASE WHEN known IS NULL THEN 'none' WHEN known = host THEN 'exact' ELSE 'suffix' END AS match FROM m""",
-    "inverted_index": """SELECT l_partkey, count(*) AS n, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) AS suppliers
-        FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY 1""",
+    "inverted_index": """SELECT l_partkey, l_suppkey // 50 AS block, count(*) AS n, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) AS suppliers
+        FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY 1, 2""",
     "version_posture_range_join": """SELECT DISTINCT p_partkey, p_size, vuln_id FROM part
         JOIN (VALUES ('V1', 0, 10), ('V1', 5, 12), ('V2', 20, 31), ('V3', 45, NULL)) t(vuln_id, introduced, fixed)
           ON p_size >= introduced AND (fixed IS NULL OR p_size < fixed)""",
@@ -348,23 +366,24 @@ ORACLE_SQL = {
                CASE WHEN x + y + z > 0 THEN CASE WHEN x > 0 OR y > 0 THEN 0 ELSE z END END AS patch FROM d""",
     "alias_merge": """SELECT c_custkey, coalesce(string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority), '') AS priorities
         FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""",
-    "topic_derive": f"""SELECT CASE {_TOPIC} ELSE source END AS topic, count(*) AS n
-        FROM (SELECT source, lower(lang || ' ' || text) AS low FROM documents) GROUP BY 1""",
-    "component_rules": """WITH r AS (SELECT * FROM (VALUES {}) t(component, pattern, confidence, priority, suppress)), p AS (
-            SELECT doc_id, component, max(confidence) AS confidence, min(priority) AS priority FROM documents JOIN r ON contains(lower(text), pattern)
-            GROUP BY 1, 2 HAVING NOT bool_or(suppress)
+    "topic_derive": f"""SELECT CASE {_TOPIC} WHEN turn % 3 = 0 THEN 'auth' ELSE 'other' END AS topic, count(*) AS n
+        FROM (SELECT turn, lower(coalesce(role, '') || ' ' || coalesce(substr(text, 1, 60), '')) AS low FROM conversations) GROUP BY 1""",
+    "component_rules": """WITH r AS (SELECT * FROM (VALUES ('licence', 'licensed under', 0.9, 1, false), ('licence', 'released under', 0.8, 2, false), ('prose', 'the', 0.5, 5, false),
+            ('prose', '###', 0.5, 5, true), ('french', 'eau', 0.6, 3, false), ('spanish', 'ción', 0.6, 3, false), ('german', 'keit', 0.6, 3, false)) t(component, pattern, confidence, priority, suppress)
+        ), m AS (SELECT doc_id, component, confidence, priority, suppress FROM documents JOIN r ON contains(lower(text), pattern)
+            UNION ALL SELECT doc_id, 'site', 0.95, 1, false FROM documents WHERE contains(lower(text), 'released') AND source LIKE 'src1%' AND lang IN ('en', 'de')
+        ), p AS (SELECT doc_id, component, max(confidence) AS confidence, min(priority) AS priority FROM m GROUP BY 1, 2 HAVING NOT bool_or(suppress)
         ), k AS (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY confidence DESC, priority) AS place FROM p), b AS (
             SELECT doc_id, CASE WHEN count(*) = 1 THEN min(component) ELSE 'other' END AS component, max(confidence) AS confidence
             FROM k WHERE place = 1 GROUP BY 1)
         SELECT d.doc_id, coalesce(component, 'other') AS component, coalesce(CAST(confidence AS DOUBLE), 0.0) AS confidence
-        FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id""".format(", ".join(str(r).replace("True", "true").replace("False", "false") for r in _RULES)),
+        FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id""",
     "bucket_classify": """SELECT page_id, CASE {} ELSE 'unknown' END AS bucket FROM pages""".format(
         " ".join(f"WHEN regexp_matches(url, '{p}') THEN '{b}'" for p, b in _BUCKETS)
     ),
     "vendored_flag": f"WITH {_VENDORED} SELECT app, count(*) AS modules, count(*) FILTER (WHERE vendored) AS vendored FROM vend GROUP BY app",
     "triage": f"""WITH {_VENDORED}
-        SELECT doc_id, CASE WHEN length(body) < 200 OR vendored THEN 'SKIP'
-               WHEN length(body) / (length(body) - length(replace(body, chr(10), '')) + 1) > 400 THEN 'STATIC_OK' ELSE 'ENRICH' END AS class FROM vend""",
+        SELECT doc_id, CASE WHEN strlen(body) < 256 OR vendored THEN 'SKIP' ELSE 'ENRICH' END AS class FROM vend""",
     "symbol_extract": """WITH f AS (SELECT doc_id, unnest([1, 2]) AS kind, unnest([regexp_extract_all(text, '[A-Z][a-z]+'), regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9.]+')]) AS l FROM documents
         ), w AS (SELECT doc_id, kind, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM f
         ), d AS (SELECT doc_id, kind, w, min(i) AS i FROM w GROUP BY 1, 2, 3
@@ -388,8 +407,8 @@ ORACLE_SQL = {
             SELECT lang, token, count(*) FILTER (WHERE source = 'src1') AS a, count(*) FILTER (WHERE source = 'src2') AS b
             FROM w WHERE source IN ('src1', 'src2') GROUP BY 1, 2)
         SELECT lang, sum(least(a, b)) / sum(greatest(a, b)) AS similarity FROM c GROUP BY 1""",
-    "hamming_severity": """WITH b AS (SELECT vec_id, list_transform(embedding[1:62], lambda x: x > 0) AS bits FROM embeddings), d AS (
-            SELECT a.vec_id, CAST(len(list_filter(range(1, 63), lambda i: a.bits[i] <> b.bits[i])) AS INTEGER) AS distance FROM b a JOIN b b ON a.vec_id = b.vec_id + 1)
+    "hamming_severity": """WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings), d AS (
+            SELECT a.vec_id, CAST(len(list_filter(range(1, 65), lambda i: a.bits[i] <> b.bits[i])) AS INTEGER) AS distance FROM b a JOIN b b ON a.vec_id = b.vec_id + 1)
         SELECT *, CASE WHEN distance <= 24 THEN 'PASS' WHEN distance <= 32 THEN 'FLAG' ELSE 'BLOCK' END AS severity FROM d""",
     "css_last_wins": """SELECT DISTINCT ON (conv_id, role) conv_id, turn, role, length(text) AS chars FROM conversations ORDER BY conv_id, role, turn DESC""",
     "registry_materialize": """WITH c AS (SELECT 'auth' AS category, [0, 1] AS regions UNION ALL SELECT 'crypto', [0, 2, 3] UNION ALL SELECT 'ui', NULL), e AS (
