@@ -100,3 +100,36 @@ def cvss_level(score: Column) -> Column:
 
 def hamming_severity(distance: Column, passes: int = 5, flags: int = 12) -> Column:
     return F.when(distance <= passes, "PASS").when(distance <= flags, "FLAG").otherwise("BLOCK")
+
+
+def coverage(probes: Sequence[tuple[str, Column]]) -> tuple[Column, Column]:
+    """Names of the probes that hold and of those that don't, in their order; null doesn't hold."""
+    held = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in probes]))
+    gone = F.array_compact(F.array(*[F.when(F.coalesce(~hit, F.lit(True)), F.lit(name)) for name, hit in probes]))
+    return held, gone
+
+
+# Keywords, which are no names of functions or classes, and what a class of characters looks like.
+KEYWORDS = (
+    "return", "switch", "if", "for", "while", "catch", "throw", "var", "let", "const", "function", "class", "import",
+    "export", "default", "new", "delete", "typeof", "instanceof", "void", "break", "continue", "case", "else", "try", "do",
+    "in", "of", "yield", "async", "await", "func", "package", "type", "struct", "interface", "map", "chan", "go", "defer",
+    "select", "range",
+)
+CHARACTER_CLASS = r"^\[[\^]?[A-Za-z0-9\\.\-_^$|?*+(){}\[\]]{1,20}\]$"
+NAME_KINDS = ("methods", "functions", "classes", "types")
+
+
+def is_noise(symbols: Column) -> Column:
+    """Whether a JSON object of lists of symbols says nothing: no JSON, all lists empty, a keyword for a name, or a
+    class of characters (``[a-z]``) in any list."""
+    lists = F.from_json(symbols, "map<string,array<string>>")
+    bad = lambda k, xs: F.exists(F.coalesce(xs, F.array().cast("array<string>")), lambda x: x.rlike(CHARACTER_CLASS) | (k.isin(*NAME_KINDS) & F.lower(x).isin(*KEYWORDS)))
+    entries = F.map_entries(lists)
+    noisy = F.exists(entries, lambda e: bad(e["key"], e["value"])) | F.forall(entries, lambda e: F.coalesce(F.size(e["value"]) == 0, F.lit(False)))
+    return F.coalesce(noisy, F.lit(True))
+
+
+def diff_identifier(category: Column, name: Column) -> Column:
+    """What identifies a change of a category: digests are cut to sixteen characters, a risk has one name."""
+    return F.when(category == "risk", "risk-score").when(category.isin("cert", "module", "file"), F.substring(name, 1, 16)).otherwise(name)

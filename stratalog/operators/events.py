@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,3 +70,32 @@ def split_with_remainder(rows: DataFrame, group: str, order: Sequence[str], tota
     share = F.floor(F.col(total) / n).cast("long")
     last = F.row_number().over(w.orderBy(*order)) == n
     return rows.withColumn("share", share + F.when(last, F.col(total) - share * n).otherwise(F.lit(0)))
+
+
+def file_category(kind: Column) -> Column:
+    """Kinds of changes of files; others are null and are to be dropped."""
+    return F.when(kind.contains("urgent"), "create").when(kind.contains("high"), "modify").when(kind.contains("low"), "delete")
+
+
+def merged(streams: Sequence[DataFrame], ts: str, ties: Sequence[str]) -> DataFrame:
+    """Several streams as one, with ``day`` and ``number``: the place within the day, by time and then ``ties``.
+
+    A number within the day and not over all time, so that no task orders more than a day.
+    """
+    both = functools.reduce(DataFrame.unionByName, streams).withColumn("day", F.to_date(ts))
+    return both.withColumn("number", F.row_number().over(Window.partitionBy("day").orderBy(ts, *ties)))
+
+
+def changes_of_all(events: DataFrame, ts: str, order: str, value: str) -> DataFrame:
+    """Events whose value differs from the one before, in one order of all events; the first is a change.
+
+    Each day is ordered on its own. The first event of a day meets the last value of the day before that has events: a
+    table with a row a day.
+    """
+    rows = events.withColumn("day", F.to_date(ts))
+    last = rows.groupBy("day").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(ts, order)).alias("last"))
+    last = last.select("day", F.lag("last").over(Window.orderBy("day")).alias("before day"))
+    w = Window.partitionBy("day").orderBy(ts, order)
+    before = F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(w), F.col("before day"))
+    both = rows.join(F.broadcast(last), "day").withColumn("before", before)
+    return both.where(F.col("before").isNull() | ~F.col("before.v").eqNullSafe(F.col(value))).select(*events.columns)

@@ -136,3 +136,10 @@ def not_in(rows: DataFrame, known: DataFrame, column: str, other: str) -> DataFr
     left = rows.join(known.select(F.col(other).alias(column)), column, "left_anti").join(F.broadcast(facts))
     fits = (F.col("known nulls") == 0) & (F.col(column).isNotNull() | (F.col("known rows") == 0))
     return left.where(fits).select(*rows.columns)
+
+
+def count_by_allowed(rows: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:
+    """(value, n) by a column that a caller names; only those in ``allowed`` may be named."""
+    if column not in allowed:
+        raise ValueError(f"{column!r} is not one of {', '.join(allowed)}")
+    return rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.plans import catalog_queries, event_queries, json_queries, search_queries, text_queries
+from stratalog.plans import catalog_queries, event_queries, ingest_queries, json_queries, search_queries, shape_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (catalog_queries, event_queries, text_queries, json_queries, search_queries):
+for _module in (catalog_queries, event_queries, text_queries, json_queries, search_queries, shape_queries, ingest_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
