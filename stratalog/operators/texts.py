@@ -168,6 +168,14 @@ def code_chunks(rows: DataFrame, id_col: str, body: str, lines: int = 50, overla
     )
 
 
+def source_chunks(rows: DataFrame, id_col: str, body: str, most: int = 4096, lines: int = 50, overlap: int = 5) -> DataFrame:
+    """Chunks with titles: a body of at most ``most`` bytes whole as ``Source``, others as windows ``Lines a-b``."""
+    small = rows.where(F.octet_length(F.col(body)) <= most).select(id_col, F.lit(0).alias("chunk"), F.lit("Source").alias("title"), F.col(body).alias("text"))
+    large = code_chunks(rows.where(F.octet_length(F.col(body)) > most), id_col, body, lines, overlap)
+    to = F.col("first_line") + F.size(F.split("text", "\n")) - 1
+    return small.unionByName(large.select(id_col, "chunk", F.concat(F.lit("Lines "), "first_line", F.lit("-"), to).alias("title"), "text"))
+
+
 def paragraphs(rows: DataFrame, id_col: str, body: str) -> DataFrame:
     """The lines of a body that have text, numbered from 0 among all lines."""
     return rows.select(id_col, F.posexplode(F.split(F.col(body), "\n")).alias("line", "text")).where(F.trim("text") != "")

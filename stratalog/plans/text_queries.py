@@ -264,9 +264,19 @@ def canonical_groups(spark, sf_dir):
 
 
 def sections(spark, sf_dir):
-    """Sections of every document read as Markdown."""
-    found = texts.markdown_sections(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return found.select("doc_id", "section", "path", F.length("text").alias("chars"))
+    """Sections of the Markdown reports that orders stand for: a line of text, a heading, a heading below it for each line."""
+    line = F.concat(F.lit("## Line "), "l_linenumber", F.lit("\npart "), "l_partkey", F.lit("\n\nqty "), F.col("l_quantity").cast("int"))
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("t"))))
+    reports = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("ls"))
+    text = F.concat(F.lit("intro\n# Order "), "l_orderkey", F.lit("\n"), F.array_join(F.transform("ls", lambda x: x.t), "\n"))
+    found = texts.markdown_sections(reports.select("l_orderkey", text.alias("report")), "l_orderkey", "report")
+    return found.select("l_orderkey", "section", "path", "text")
+
+
+def source_chunks(spark, sf_dir):
+    """Documents whole up to 4096 bytes, larger ones in windows of eight lines."""
+    chunks = texts.source_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 4096, 8, 2)
+    return chunks.select("doc_id", "chunk", "title", F.length("text").alias("chars"))
 
 
 def summary_lines(spark, sf_dir):
@@ -282,7 +292,7 @@ QUERIES = {
         group_by_origin, domain_type_counts, endpoint_dedup, low_signal_urls, host_match, inverted_index,
         version_posture_range_join, outdated_by, alias_merge, topic_derive, component_rules, bucket_classify, vendored_flag,
         triage, symbol_extract, entropy, threat_score, typosquat, multiset_jaccard, hamming_severity, css_last_wins,
-        registry_materialize, code_chunks, hierarchy_depth, dependency_resolution, summary_lines, canonical_groups, sections,
+        registry_materialize, code_chunks, hierarchy_depth, dependency_resolution, summary_lines, canonical_groups, sections, source_chunks,
     )
 }
 
@@ -424,12 +434,14 @@ ORACLE_SQL = {
                (SELECT min(m.n_nationkey) FROM nation m WHERE m.n_name = n.n_name AND m.n_regionkey = n.n_regionkey + 1)
                ELSE (SELECT min(m.n_nationkey) FROM nation m WHERE m.n_name = n.n_name AND m.n_regionkey = n.n_regionkey) END AS to_id
         FROM customer JOIN nation n ON n.n_nationkey = c_nationkey""",
-    "sections": r"""WITH l AS (
-            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
-        ), h AS (SELECT *, regexp_matches(line, '^#{1,6} ') AS heading FROM l
-        ), s AS (SELECT *, CAST(count(*) FILTER (WHERE heading) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS section FROM h)
-        SELECT doc_id, section, '' AS path, CAST(coalesce(length(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT heading)), 0) AS INTEGER) AS chars
-        FROM s GROUP BY doc_id, section""",
+    "sections": """WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_partkey AS p, CAST(l_quantity AS INTEGER) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS i FROM lineitem)
+        SELECT l_orderkey, CAST(i + 1 AS INTEGER) AS section, 'Order ' || l_orderkey || ' > Line ' || n AS path, 'part ' || p || chr(10) || chr(10) || 'qty ' || q AS text FROM l
+        UNION ALL SELECT DISTINCT l_orderkey, 1, 'Order ' || l_orderkey, '' FROM l UNION ALL SELECT DISTINCT l_orderkey, 0, '', 'intro' FROM l""",
+    "source_chunks": """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE strlen(text) > 4096), c AS (
+            SELECT doc_id, l, unnest(range(0, greatest(0, len(l) - 3) + 1, 6)) AS start FROM s)
+        SELECT doc_id, CAST(start // 6 AS INTEGER) AS chunk, 'Lines ' || (start + 1) || '-' || least(start + 8, len(l)) AS title,
+               CAST(length(array_to_string(l[start + 1 : start + 8], chr(10))) AS INTEGER) AS chars FROM c
+        UNION ALL SELECT doc_id, 0, 'Source', CAST(length(text) AS INTEGER) FROM documents WHERE strlen(text) <= 4096""",
     "summary_lines": f"""WITH {MODULES_SQL}
         SELECT id, coalesce(CASE WHEN lang <> '' THEN '[' || lang || '] ' END, '') || 'module of ' || app || CASE WHEN toxic = 1 THEN ' {{toxic}}' ELSE '' END AS line FROM modules""",
 }
