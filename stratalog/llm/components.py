@@ -8,33 +8,37 @@ from pyspark.sql import functions as F
 from stratalog.llm.common import forget, written
 
 
-def _to_smallest(edges: DataFrame) -> DataFrame:
-    """Each node with the smallest of itself and its neighbours; a hub is aggregated before it is shuffled."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _smallest(edges: DataFrame) -> DataFrame:
+    """Of each node u the smallest of itself and its neighbours, m; combined before the shuffle.
+
+    It is written, so that the join with it has a shuffle of its own on both sides: Spark then splits the edges of a hub.
+    """
+    return written(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "smallest")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one edge, and no v is a u."""
+    twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    both = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u").distinct(), "u", "left_semi")
+    return twice.unionByName(both).isEmpty()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); the component is its smallest node.
 
-    Alternates the large-star and small-star steps, which halve the depth of the trees, until an edge set repeats.
-    Every step is two aggregated shuffles; its result is written, which cuts the lineage.
+    Alternates the large-star and small-star steps, which halve the depth of the trees, until only stars are left.
+    Both steps join edges with one aggregated row per node. What a step gives is written, which cuts the lineage.
     """
-    edges = written(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
-    )
-    seen = None
-    while True:
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_to_smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small = large.join(_to_smallest(large), "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        around = _smallest(both)
+        large = both.join(around, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.where("u <> v").distinct(), "edges")
+        below = _smallest(large)
+        small = large.join(below, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         after = written(small.where("u <> v").distinct(), "edges")
-        forget(edges)
+        forget(edges, around, large, below)
         edges = after
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -5,27 +5,31 @@ a pair (i, j), and its key joins half-key i of the first collection with half-ke
 ``halves**2`` tables of ``2 * rows`` minhashes each cost only ``2 * halves * rows`` minhashes, about the square root
 of what independent tables cost. Two sets collide in some table exactly if they share a half-key in both
 collections. For sets of Jaccard similarity s that happens with probability (1 - (1 - s**rows)**halves)**2, which is
-0.9996 at s = 0.8 with the defaults and nearer to 1 above.
+0.9996 at s = 0.8 with the defaults and nearer to 1 above. Pairs whose sketches agree in too few minhashes are left
+out before the full sets are compared; a pair at the limit is lost by that with a probability below 1e-9.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import forget, small_batches, written
+from stratalog.llm.common import forget, in_small_batches, packed, small_batches, written
 from stratalog.llm.components import connected_components
 from stratalog.llm.shingles import MinHash, WordHashes, odd_numbers, shingle_set
 
 
 #: Turns in which members of a bucket meet two others, before the exact comparison of what is left.
 TURNS = 1
+#: Pairs that share a shingle and are made in one task, at most.
+PAIRS_A_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -40,48 +44,57 @@ class NearDupParams:
     def minhashes(self) -> int:
         return 2 * self.halves * self.rows
 
+    @property
+    def least_agreeing(self) -> int:
+        """The largest k such that two sets at the limit agree in fewer than k minhashes with a probability below 1e-9."""
+        n, s, tail = self.minhashes, self.percent / 100, 0.0
+        for k in range(n + 1):
+            tail += math.comb(n, k) * s**k * (1 - s) ** (n - k)
+            if tail >= 1e-9:
+                return k
+        return n
+
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams) -> DataFrame:
-    """Per row: id, hash of the text, digest of the shingle set (null for an empty set), its size and its minhashes."""
+    """Per row: id, two hashes, digest of the shingle set (null for an empty set), its size and its minhashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors, minhash = WordHashes(), odd_numbers(p.seed, p.words), MinHash(p.minhashes, p.seed + 7)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 3):
             digests, sizes, sketches = [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 s = shingle_set(text, p.words, factors, hashes)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sketches.append(minhash(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))],
-                names=["doc", "text_hash", "digest", "n_shingles", "sketch"],
+                [*batch.columns[:3], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))],
+                names=["doc", "text_hash", "at", "digest", "n_shingles", "sketch"],
             )
 
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), F.encode(text, "UTF-8").alias("text"))
-    kind = dict(rows.dtypes)["doc"]
-    return rows.mapInArrow(run, f"doc {kind}, text_hash long, digest binary, n_shingles long, sketch array<int>")
+    rows = docs.select(F.col(id_col).alias("doc"), *_place(id_col, text_col), F.encode(text_col, "UTF-8").alias("text"))
+    return rows.mapInArrow(run, f"doc {rows.schema[0].dataType.simpleString()}, text_hash long, at long, digest binary, n_shingles long, sketch array<int>")
+
+
+def _place(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes that rows share only if they have the same id and text."""
+    return [F.xxhash64(text_col).alias("text_hash"), F.xxhash64(F.lit(1), id_col, text_col).alias("at")]
 
 
 def _full_sets(texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """digest and the shingles of each text."""
+    """(node, text) -> node and the shingles of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors = WordHashes(), odd_numbers(p.seed, p.words)
-        for batch in small_batches(batches):
-            sets = [shingle_set(text, p.words, factors, hashes) for text in batch.column(0).to_pylist()]
+        for batch in small_batches(batches, 1):
+            sets = [shingle_set(text, p.words, factors, hashes) for text in batch.column(1).to_pylist()]
             lengths = np.cumsum([0] + [len(s) for s in sets])
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat)),
-                ],
-                names=["digest", "shingles"],
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))], names=["node", "shingles"]
             )
 
-    return texts.mapInArrow(run, "digest binary, shingles array<long>")
+    return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
 def _buckets(nodes: DataFrame, p: NearDupParams) -> DataFrame:
@@ -96,33 +109,30 @@ def _buckets(nodes: DataFrame, p: NearDupParams) -> DataFrame:
         lambda i: F.struct((i < p.halves).alias("left"), F.xxhash64(i, *[F.get(first, i * p.rows + r) for r in range(p.rows)]).alias("key")),
     )
     halves = nodes.select("node", F.explode(half).alias("h")).select("node", "h.left", "h.key")
-    same = Window.partitionBy("key").orderBy("node")
-    near = F.lag("node").over(same).isNotNull() | F.lead("node").over(same).isNotNull()
-    shared = halves.withColumn("shared", near).where("shared")
-    sides = shared.groupBy("node").agg(
+    often = written(halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "halves")
+    sides = halves.join(often, "key", "left_semi").groupBy("node").agg(
         F.collect_list(F.when(F.col("left"), F.col("key"))).alias("a"), F.collect_list(F.when(~F.col("left"), F.col("key"))).alias("b")
     )
     keys = sides.select(
         "node", F.explode(F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b))))).alias("bucket")
     )
-    others = Window.partitionBy("bucket").orderBy("node")
-    near = F.lag("node").over(others).isNotNull() | F.lead("node").over(others).isNotNull()
-    return keys.withColumn("shared", near).where("shared").select("bucket", "node")
+    keys = written(keys, "keys")
+    shared = written(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
+    live = written(keys.join(shared, "bucket", "left_semi"), "buckets")
+    forget(often, keys, shared)
+    return live
 
 
 def _meetings(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of different components: each member of a bucket with its first member and with the one before.
+    """Pairs (a, b) of different components: each member of a bucket with the bucket's first and last member.
 
-    The order within a bucket is another one each turn. The pairs are twice as many as the members at most.
+    The order within a bucket is another one each turn. First and last are aggregates, so no task sees a whole bucket.
+    The pairs are twice as many as the members at most; in buckets of three members they are all pairs.
     """
-    of_bucket = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
-    own = F.struct("node", "component")
-    seen = members.select(
-        "node",
-        "component",
-        F.array(F.first(own).over(of_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lag(own).over(of_bucket)).alias("met"),
-    )
-    met = seen.select("node", "component", F.explode(F.array_distinct("met")).alias("m")).where("m IS NOT NULL AND m.component <> component")
+    own = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "component")
+    ends = members.groupBy("bucket").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+    ends = written(ends.select("bucket", F.array("lo", "hi").alias("ends")), "ends")
+    met = members.join(ends, "bucket").select("node", "component", F.explode("ends").alias("m")).where("m.component <> component")
     return met.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
 
 
@@ -132,27 +142,32 @@ def _by_rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     Two sets of Jaccard similarity t or more share a shingle among the rarest n - ceil(t * n) + 1 of each, in any common
     order of shingles; and from the first one they share, enough of both must follow for the overlap that t asks for. So
     no link is lost, and what large groups have in common is not looked at. The members of a shingle's largest component
-    aren't compared with each other at all.
+    aren't compared with each other at all. The pairs of a shingle that many sets have are dealt over several tasks.
     """
     tokens = sets.select("node", F.explode("shingles").alias("shingle"))
-    order = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    order = written(tokens.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "order")
     # A shingle that only one set has is rarest of all, and no other set can share it: it only takes up a place.
-    ranked = tokens.join(order, "shingle").select("node", F.struct("df", "shingle").alias("t"))
+    ranked = tokens.join(order, "shingle").select("node", F.struct("n", "shingle").alias("t"))
     shared = ranked.groupBy("node").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     n, alone = F.size("shingles"), F.size("shingles") - F.size("ts")
     places = n - F.expr(f"(size(shingles) * {percent} + 99) div 100") + 1 - alone
     some = sets.join(shared, "node").where(places > 0)
     prefix = some.select("node", "component", n.alias("n"), alone.alias("alone"), F.posexplode(F.slice("ts", 1, places.cast("int"))).alias("i", "t"))
     # rest: shingles from this one on
-    prefix = written(prefix.select("node", "component", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "t.shingle"), "rare")
+    prefix = written(prefix.select("node", "component", F.col("n").alias("of"), (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "t.shingle"), "rare")
     counts = prefix.groupBy("shingle", "component").agg(F.count("*").alias("m"))
-    major = counts.groupBy("shingle").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
-    rows = prefix.join(major.select("shingle", "major"), "shingle")
-    x, y = rows.where("component <> major").alias("x"), rows.alias("y")
+    major = counts.groupBy("shingle").agg(
+        F.max_by("component", F.struct("m", "component")).alias("major"), F.count("*").alias("parts"), F.sum("m").alias("n"), F.max("m").alias("m")
+    )
+    tasks = F.ceil(F.col("n") * (F.col("n") - F.col("m")) / PAIRS_A_TASK).cast("int").alias("tasks")
+    major = written(major.where("parts > 1").select("shingle", "major", tasks), "major")
+    rows = written(prefix.join(major, "shingle"), "rows")
+    x = rows.where("component <> major").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).alias("x")
+    y = rows.withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int")).alias("y")
     # A pair of which neither is in the largest component comes twice; one of the two is enough.
     once = F.expr("x.component <> y.component AND (y.component = y.major OR x.node < y.node)")
-    enough = F.expr(f"{100 + percent} * least(x.rest, y.rest) >= {percent} * (x.n + y.n)")
-    both = x.join(y, F.expr("x.shingle = y.shingle") & once & enough)
+    enough = F.expr(f"{100 + percent} * least(x.rest, y.rest) >= {percent} * (x.of + y.of)")
+    both = x.join(y, F.expr("x.shingle = y.shingle AND x.task = y.task") & once & enough)
     return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -161,34 +176,77 @@ def _agreeing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
-def _sized(pairs: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
-    """Add ``agree`` to pairs (a, b) of distinct nodes: agreeing minhashes, 0 where the set sizes rule a link out."""
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    possible = 100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")
-    return both.select("a", "b", F.when(possible, _agreeing(F.col("s_a"), F.col("s_b"))).otherwise(F.lit(0)).alias("agree"))
+def _attached(pairs: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:
+    """Pairs (a, b) with the columns of ``nodes`` for both, named a_column and b_column."""
+    for end in ("a", "b"):
+        side = nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in nodes.columns if c != "node"])
+        pairs = pairs.join(side, end, how)
+    return pairs
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s_{k}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    union = F.size("s_a") + F.size("s_b") - F.col("common")
-    return both.select("a", "b", "s_a", "s_b", common.alias("common")).where(100 * F.col("common") >= p.percent * union).select("a", "b")
+def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
+    """The distinct pairs (a, b) that are links: sizes and sketches allow it, and the full sets are similar enough.
 
-
-def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    Nothing above these joins asks for their partitioning, so that Spark may split the pairs of a hub.
+    """
+    pairs = written(pairs, "pairs")
+    sized = _attached(pairs, nodes)
+    possible = 100 * F.least("a_n_shingles", "b_n_shingles") >= p.percent * F.greatest("a_n_shingles", "b_n_shingles")
+    likely = sized.where(possible).where(_agreeing(F.col("a_sketch"), F.col("b_sketch")) >= p.least_agreeing)
+    likely = written(likely.select("a", "b"), "likely")
+    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    union = F.size("a_shingles") + F.size("b_shingles") - F.col("common")
+    both = _attached(likely, sets).withColumn("common", common)
+    links = written(both.where(100 * F.col("common") >= p.percent * union).select("a", "b"), "links")
+    forget(pairs, likely)
+    return links
+
+
+def _merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, component) after links between components; only nodes that have a link are listed."""
-    old = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
-    edges = links.join(old("a"), "a", "left").join(old("b"), "b", "left")
-    edges = edges.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    joined = written(connected_components(edges), "joined")
-    moved = parts.alias("p").join(joined.alias("j"), F.expr("p.component = j.node"), "left")
-    moved = moved.select("p.node", F.coalesce("j.component", "p.component").alias("component"))
+    if parts is None:
+        return written(connected_components(links), "parts")
+    edges = _attached(links, parts, "left")
+    edges = edges.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+    joined = connected_components(edges)
+    renamed = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    moved = parts.join(renamed, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     return written(moved.unionByName(joined.join(parts.select("node"), "node", "left_anti")), "parts")
 
 
+def _linked(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: NearDupParams) -> DataFrame:
+    """(node, component) of the nodes that have a link."""
+    spark = docs.sparkSession
+    live = _buckets(nodes, p)
+    # The full sets of all nodes in a bucket, once, each from one of its texts; the join deals texts out by their place.
+    needed = nodes.join(live.select("node").distinct(), "node", "left_semi").select("node", "text_hash", "at")
+    texts = docs.select(*_place(id_col, text_col), F.encode(text_col, "UTF-8").alias("text")).join(needed, ["at", "text_hash"])
+    texts = texts.groupBy("at", "text_hash").agg(F.first("node").alias("node"), F.first("text").alias("text"))  # rows can be repeated
+    sets = written(_full_sets(texts.select("node", "text"), p), "sets")
+    slim = nodes.select("node", "n_shingles", "sketch")
+
+    parts = None
+    members = live.withColumn("component", F.col("node"))
+    for turn in range(TURNS):
+        links = _confirmed(_meetings(members, turn), slim, sets, p)
+        if links.isEmpty():
+            break
+        parts = _merged(parts, links)
+        members = live.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        # In a turn, buckets of three or fewer members are compared in full; so are buckets in one component.
+        mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        mixed = written(mixed.where("n > 3 AND lo <> hi").select("bucket"), "mixed")
+        members = written(members.join(mixed, "bucket", "left_semi"), "open")
+        if members.isEmpty():
+            break
+    left = members.select("node", "component").distinct()
+    links = _confirmed(_by_rare_shingles(sets.join(left, "node"), p.percent), slim, sets, p)
+    if not links.isEmpty():
+        parts = _merged(parts, links)
+    forget(sets, live)
+    return spark.createDataFrame([], "node long, component long") if parts is None else parts
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearDupParams | None = None) -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, component_id (smallest id reachable over links), kept, class, text_hash.
 
@@ -196,61 +254,43 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     ``words`` words, or its whole sequence where it has fewer. A text that is null or has no words has an empty
     set, is linked with nothing, and is its own component. Rows with equal sets are always linked. A component
     whose ids are all null has a null component_id. ``kept`` says that the id is the component's (nulls are equal
-    here); ``class`` is one number per component, null for empty sets; ``text_hash`` is xxhash64 of the text. Repeated rows get equal results. An empty
-    table gives an empty table.
+    here); ``class`` is one number per component, null for empty sets; ``text_hash`` is xxhash64 of the text. Repeated
+    rows get equal results. Texts of any length are taken whole. Other columns are ignored, whatever their names. An
+    empty table gives an empty table.
 
     Equal sets are collapsed first (with map-side combining), so a group of exact copies is one node. Buckets are
-    never expanded into all pairs: for a few turns each member meets its bucket's first member and its predecessor,
-    in an order that changes, which makes large groups fall into one component. What is then still apart within
-    a bucket is compared where sets of different components share one of their rarest shingles, which loses no link.
+    never expanded into all pairs: for a few turns each member meets its bucket's first and last member, in an order
+    that changes, which makes large groups fall into one component. What is then still apart within a bucket is
+    compared where sets of different components share one of their rarest shingles, which loses no link. Where many
+    rows may share a key, the other side of the join is an aggregated table that is written first, and nothing above
+    the join depends on its partitioning: adaptive execution then splits the rows of such a key over several tasks.
     """
     p, spark = params or NearDupParams(), docs.sparkSession
+    in_small_batches(spark)
     rows = written(_sketches(docs, id_col, text_col, p), "sketches")
     distinct = rows.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+        F.min("doc").alias("first_doc"),
+        F.min(F.struct("at", "text_hash")).alias("place"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.first("sketch").alias("sketch"),
     )
+    distinct = distinct.select("digest", "first_doc", "place.at", "place.text_hash", "n_shingles", "sketch")
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    live = written(_buckets(nodes, p), "buckets")
-
-    # The full sets of all nodes in a bucket, once, from the texts of their first documents.
-    needed = nodes.join(live.select("node").distinct(), "node", "left_semi").select("node", "digest", "first_doc")
-    ids = needed.select("first_doc").distinct()
-    texts = docs.join(ids, docs[id_col].eqNullSafe(ids["first_doc"]), "left_semi").select(F.encode(docs[text_col], "UTF-8").alias("text"))
-    sets = _full_sets(texts, p).join(needed.select("digest", "node"), "digest").select("node", "shingles")
-    sets = written(sets, "sets")
-
-    slim = nodes.select("node", "n_shingles", "sketch")
-    # Similarity 0.8 makes sketches agree in 0.8 of the minhashes, give or take 0.05: half of them is beyond doubt.
-    least = p.minhashes * p.percent // 160
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        likely = written(_sized(pairs, slim, p).where(F.col("agree") >= least), "likely")
-        return written(_confirmed(likely, sets, p).distinct(), "links")
-
-    parts = spark.createDataFrame([], "node long, component long")
-    members = live.withColumn("component", F.col("node"))
-    for turn in range(TURNS):
-        links = confirm(_meetings(members, turn))
-        if links.isEmpty():
-            break
-        parts = _merged(parts, links)
-        members = live.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        # In a turn, buckets of three or fewer members are compared in full; so are buckets in one component.
-        mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        members = written(members.join(mixed.where("n > 3 AND lo <> hi").select("bucket"), "bucket", "left_semi"), "open")
-    left = members.select("node", "component").distinct()
-    links = confirm(_by_rare_shingles(sets.join(left, "node"), p.percent))
-    if not links.isEmpty():
-        parts = _merged(parts, links)
-    forget(sets), forget(live)
+    parts = _linked(nodes, docs, id_col, text_col, p)
 
     placed = nodes.join(parts, "node", "left").select("digest", "first_doc", F.coalesce("component", "node").alias("class"))
-    heads = placed.groupBy("class").agg(F.min("first_doc").alias("component_id"))
+    heads = written(placed.groupBy("class").agg(F.min("first_doc").alias("component_id")), "heads")
     classes = placed.join(heads, "class").select("digest", "class", "component_id")
-    out = rows.select("doc", "text_hash", "n_shingles", "digest").join(classes, "digest", "left")
-    own = F.when(F.col("digest").isNull(), F.col("doc")).otherwise(F.col("component_id"))
-    return out.select(
-        F.col("doc").alias(id_col), "n_shingles", own.alias("component_id"), F.col("doc").eqNullSafe(own).alias("kept"), "class", "text_hash"
+    slim = rows.select("doc", "text_hash", "n_shingles", "digest")
+    full = slim.where("digest IS NOT NULL").join(classes, "digest")
+    empty = slim.where("digest IS NULL").withColumns({"class": F.lit(None).cast("long"), "component_id": F.col("doc")})
+    return full.unionByName(empty).select(
+        F.col("doc").alias(id_col),
+        "n_shingles",
+        "component_id",
+        F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"),
+        "class",
+        "text_hash",
     )
 
 
@@ -258,15 +298,24 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` with one document of each near-duplicate group: the one with the smallest id.
 
     Documents without words are groups of their own. Rows of one group with equal ids are one document, and so are
-    the rows of a group whose ids are all null: one of them stays.
+    the rows of a group whose ids are all null: one of them stays. All columns are kept, whatever their names. An
+    empty table gives an empty table.
+
+    Which rows stay is decided on ids and hashes; then texts are joined once. Only rows that are repeated as a whole
+    are looked at again.
     """
-    classes = near_duplicate_classes(docs, id_col, text_col, params).where("kept")
-    own = F.coalesce("class", F.xxhash64(F.col(id_col), F.col("text_hash")))
-    kept = classes.select(F.col(id_col).alias("kept_id"), F.col("text_hash").alias("kept_hash"), own.alias("kept_class")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("kept_id")) & (F.xxhash64(docs[text_col]) == F.col("kept_hash"))
-    # Only rows whose id occurs more than once can be repeated; the others need no look at their group.
-    often = docs.groupBy(F.col(id_col).alias("often_id")).count().where("count > 1").select("often_id")
-    repeated = docs[id_col].eqNullSafe(F.col("often_id"))
-    single = docs.join(often, repeated, "left_anti").join(kept, same, "left_semi")
-    again = docs.join(often, repeated, "left_semi").join(kept, same).dropDuplicates([id_col, "kept_class"])
-    return single.unionByName(again.select(*docs.columns))
+    classes = near_duplicate_classes(docs, id_col, text_col, params).where("kept").select(F.col(id_col).alias("id"), "class", "text_hash")
+    # Of the texts of one id in one class the one with the smallest hash stays; without words, each text stays.
+    own = F.coalesce("class", "text_hash")
+    kept = classes.groupBy("id", F.col("class").isNull().alias("empty"), own.alias("own")).agg(
+        F.min("text_hash").alias("text_hash"), F.count("*").alias("n")
+    )
+    kept = written(kept.select("id", "text_hash", "n").groupBy("id", "text_hash").agg(F.max("n").alias("n")), "kept")
+    rows = docs.select(packed(docs).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")).alias("d")
+    same = F.expr("d.id <=> k.id AND d.text_hash = k.text_hash")
+    out = rows.join(kept.where("n = 1").alias("k"), same, "left_semi").select("row")
+    often = kept.where("n > 1")
+    if not often.isEmpty():
+        again = rows.join(often.alias("k"), same, "left_semi").dropDuplicates(["id", "text_hash"])
+        out = out.unionByName(again.select("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
