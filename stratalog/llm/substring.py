@@ -13,11 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from stratalog.llm.common import forget, written
+from stratalog.llm.common import forget, in_small_batches, packed, small_batches, written
 from stratalog.llm.shingles import odd_numbers
 
 #: Bytes that the rolling hash is computed over at a time.
@@ -69,34 +68,38 @@ def word_places(data: bytes) -> np.ndarray:
     return np.cumsum((raw & 0xC0) != 0x80, dtype=np.int64)[starts] - 1
 
 
-def _chunk_digests(data: bytes, table: np.ndarray, mean_bytes: int) -> tuple[list[int], np.ndarray, list[bytes]]:
-    """Digest of each chunk as signed 64-bit numbers, the number of its first word, and the words."""
+def _chunk_table(data: bytes, table: np.ndarray, mean_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each chunk of a text: its digest as a signed 64-bit number, its words, and where it begins in code points."""
     own = data.split()
     if not own:
-        return [], np.empty(0, np.int64), own
+        return (np.empty(0, np.int64),) * 3
     at = cut_chunks(own, table, mean_bytes)
     to = [*at[1:].tolist(), len(own)]
     hashed = [xxhash.xxh3_64_intdigest(b" ".join(own[a:b])) for a, b in zip(at.tolist(), to, strict=True)]
-    return np.array(hashed, np.uint64).view(np.int64).tolist(), at, own
+    places = word_places(data)[at]
+    places[:1] = 0
+    return np.array(hashed, np.uint64).view(np.int64), np.diff([*at, len(own)]), places
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, p: SubstringParams) -> DataFrame:
-    """Per row with words: id, hash of the text, and the distinct digests of its chunks."""
+    """Per row: id, hash of the text, and digests, words and places of its chunks, in order; rows without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = gear_table(p.seed)
-        for batch in batches:
-            digests = [list(set(_chunk_digests(data, table, p.mean_bytes)[0])) if data else [] for data in batch.column(2).to_pylist()]
-            rows = pa.array([i for i, d in enumerate(digests) if d], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([d for d in digests if d], pa.list_(pa.int64()))],
-                names=["doc", "text_hash", "digests"],
-            )
+        for batch in small_batches(batches, 2):
+            found = [_chunk_table(data, table, p.mean_bytes) if data else None for data in batch.column(2).to_pylist()]
+            rows = pa.array([i for i, x in enumerate(found) if x and len(x[0])], pa.int32())
+            found = [x for x in found if x and len(x[0])]
+            ends = pa.array(np.cumsum([0, *[len(x[0]) for x in found]]), pa.int32())
+            flat = [np.concatenate([x[k] for x in found] or [np.empty(0)]) for k in range(3)]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(t))) for x, t in zip(flat, (np.int64, np.int32, np.int32), strict=True)]
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "digests", "words", "places"])
 
     text = F.col(text_col)
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), F.encode(text, "UTF-8").alias("text"))
     kind = dict(texts.dtypes)["doc"]
-    return texts.mapInArrow(run, f"doc {kind}, text_hash long, digests array<long>")
+    return texts.mapInArrow(run, f"doc {kind}, text_hash long, digests array<long>, words array<int>, places array<int>")
 
 
 def passages(digests: list[int], sizes: list[int], first_of: dict, min_words: int) -> list[tuple[int, int]]:
@@ -117,40 +120,40 @@ def passages(digests: list[int], sizes: list[int], first_of: dict, min_words: in
     return out
 
 
-def _cut(rows: DataFrame, p: SubstringParams) -> DataFrame:
-    """(rest, text, known, firsts) -> (rest, text, dup_chunks, removed_words, spans, first_docs), passages cut out."""
-    kind = dict(rows.dtypes)["firsts"]
+def _marks(rows: DataFrame, p: SubstringParams) -> DataFrame:
+    """(doc, text_hash, digests, words, places, known, firsts) -> (doc, text_hash, dup_chunks, removed_words, spans, first_docs)."""
+    kinds = dict(rows.dtypes)
 
-    def cut(data: bytes, first_of: dict, table: np.ndarray) -> tuple:
-        digests, at, own = _chunk_digests(data, table, p.mean_bytes)
-        sizes = np.diff(np.append(at, len(own))).tolist()
-        found = passages(digests, sizes, first_of, p.min_words)
-        places = word_places(data)[at]
-        places[:1] = 0
-        spans = [(int(places[a]), int(places[b]) if b < len(places) else -1) for a, b in found]
+    def mark(digests: list[int], words: list[int], places: list[int], first_of: dict) -> tuple:
+        found = passages(digests, words, first_of, p.min_words)
+        spans = [{"start": places[a], "end": places[b] if b < len(places) else -1} for a, b in found]
         docs = sorted({first_of[d] for a, b in found for d in digests[a:b]})
-        return sum(d in first_of for d in digests), sum(sum(sizes[a:b]) for a, b in found), spans, docs
+        return sum(d in first_of for d in digests), sum(sum(words[a:b]) for a, b in found), spans or None, docs or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = gear_table(p.seed)
         for batch in batches:
-            texts, known, firsts = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            done = [cut(t.encode(), dict(zip(k, f, strict=True)), table) if k else (0, 0, None, None) for t, k, f in zip(texts, known, firsts, strict=True)]
-            for i, (_, _, spans, _) in enumerate(done):
-                if spans:
-                    text, at, left = texts[i], 0, []
-                    for start, end in spans:
-                        left.append(text[at:start])
-                        at = end if end >= 0 else len(text)
-                    texts[i] = "".join([*left, text[at:]])
-            spans = [d[2] and [{"start": a, "end": b} for a, b in d[2]] for d in done]
-            made = [pa.array(texts, pa.string()), *[pa.array([d[k] for d in done], pa.int64()) for k in (0, 1)]]
-            made.append(pa.array([x or None for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
-            made.append(pa.array([d[3] or None for d in done], batch.schema.field(3).type))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["rest", "text", "dup_chunks", "removed_words", "spans", "first_docs"])
-
-    made = T.StructType.fromDDL(f"text string, dup_chunks long, removed_words long, spans array<struct<start:int,end:int>>, first_docs {kind}")
-    return rows.select("rest", "text", "known", "firsts").mapInArrow(run, T.StructType([rows.schema["rest"], *made]))
+            d, w, at, known, firsts = (batch.column(i) for i in range(2, 7))
+            done = [mark(d[i].as_py(), w[i].as_py(), at[i].as_py(), dict(zip(known[i].as_py(), firsts[i].as_py(), strict=True))) for i in range(batch.num_rows)]
+            made = [pa.array([x[k] for x in done], pa.int64()) for k in (0, 1)]
+            made.append(pa.array([x[2] for x in done], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+            made.append(pa.array([x[3] for x in done], batch.schema.field(6).type))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc", "text_hash", "dup_chunks", "removed_words", "spans", "first_docs"])
+
+    rows = rows.select("doc", "text_hash", "digests", "words", "places", "known", "firsts")
+    made = f"dup_chunks long, removed_words long, spans array<struct<start:int,end:int>>, first_docs {kinds['firsts']}"
+    return rows.mapInArrow(run, f"doc {kinds['doc']}, text_hash long, {made}")
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """``text`` without ``spans`` (start and end in code points, in order; an end of -1 is the end of the text)."""
+    left = F.transform(
+        F.sequence(F.lit(0), F.size(spans)),
+        lambda i: F.struct(
+            F.when(i == 0, 0).otherwise(F.get(spans, i - 1).end).alias("a"), F.coalesce(F.get(spans, i).start, F.length(text)).alias("b")
+        ),
+    )
+    piece = lambda x: F.when(x.a >= 0, F.substr(text, x.a + 1, x.b - x.a)).otherwise(F.lit(""))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, F.array_join(F.transform(left, piece), "")).otherwise(text)
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SubstringParams | None = None) -> DataFrame:
@@ -163,28 +166,37 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     where nothing is cut. A passage of over 50 words loses a chunk or so at either end to its neighbours, which stays.
 
     A null text stays null; a text without words is left alone. Rows with a null id never count as first, but lose what
-    a row with an id has. Rows with equal ids are one document: they aren't duplicates of each other. Input columns
-    named like the added ones are replaced. An empty table gives an empty table.
+    a row with an id has. Rows with equal ids are one document: they aren't duplicates of each other. Texts of any length
+    are taken whole. Input columns named like the added ones are replaced, all others are kept. An empty table gives an
+    empty table.
 
-    Digests are counted with map-side combining, so a chunk of every document is a row a task, and only shared ones
-    are joined back. Texts are shuffled once, to meet their shared chunks, and cut into chunks again there.
+    Texts are read into chunks once. Digests are counted with map-side combining; only shared ones are joined back to the
+    rows that have them, by a join that adaptive execution can split. What is cut is decided on the
+    digests; texts are shuffled once, to meet their cuts, which Spark makes.
     """
     p = params or SubstringParams()
+    in_small_batches(docs.sparkSession)
     added = ("dup_chunks", "removed_words", "spans", "first_docs")
     chunks = written(_chunks(docs, id_col, text_col, p).withColumn("row", F.monotonically_increasing_id()), "chunks")
-    held = chunks.select("doc", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
-    shared = held.where("n > 1 AND first IS NOT NULL").select("digest", "first")
-    found = chunks.select("row", F.explode("digests").alias("digest")).join(shared, "digest")
+    own = chunks.select("row", "doc", F.explode(F.array_distinct("digests")).alias("digest"))
+    held = own.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    held = written(held, "held")
+    found = own.join(held.select("digest", "first"), "digest").where("doc IS NULL OR first < doc")
     found = found.groupBy("row").agg(F.collect_list(F.struct("digest", "first")).alias("x"))
-    known = chunks.select("row", "doc", "text_hash").join(found, "row")
-    known = known.withColumn("x", F.filter("x", lambda d: F.col("doc").isNull() | (d.first < F.col("doc")))).where(F.size("x") > 0)
-    known = known.dropDuplicates(["doc", "text_hash"]).select("doc", "text_hash", F.col("x.digest").alias("known"), F.col("x.first").alias("firsts"))
-    known = written(known, "known")
-    forget(chunks)
+    known = chunks.join(found, "row").select("doc", "text_hash", "digests", "words", "places", F.col("x.digest").alias("known"), F.col("x.first").alias("firsts"))
+    marks = written(_marks(known, p), "marks")
+    forget(chunks, held)
+    marks = marks.dropDuplicates(["doc", "text_hash"])  # rows can be repeated
 
     kept = [c for c in docs.columns if c not in added]
-    rest = F.struct(*[F.col(c) for c in kept if c != text_col], F.lit(0).alias("and no text"))
-    rows = docs.select(rest.alias("rest"), F.col(text_col).alias("text"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash")).alias("d")
-    both = rows.join(known.alias("k"), F.expr("d.doc <=> k.doc AND d.text_hash = k.text_hash"), "left").select("rest", "text", "known", "firsts")
-    out = _cut(both, p)
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in kept], *added)
+    rest = packed(docs, [text_col, *added]).alias("rest")
+    rows = docs.select(rest, F.col(text_col).alias("text"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash")).alias("d")
+    both = rows.join(marks.alias("k"), F.expr("d.doc <=> k.doc AND d.text_hash = k.text_hash"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return both.select(
+        *[without_spans(F.col("text"), F.col("spans")).alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in kept],
+        zero("dup_chunks"),
+        zero("removed_words"),
+        "spans",
+        "first_docs",
+    )
