@@ -14,15 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from stratalog.llm.common import written
+from stratalog.llm.common import forget, in_small_batches, packed, running, small_batches, written
 from stratalog.llm.tokens import PieceEncoder, tokenizer_path
 
-#: Cells that the pieces of one length are ranked in; the ranks of a cell follow on those of the cells before.
-RANK_CELLS = 64
 #: Texts encoded at a time.
 _BATCH = 128
 
@@ -43,27 +40,26 @@ def tokenized_pieces(
     Null ids, repeated rows and other columns are no matter: each row is a document.
     """
     path = path or tokenizer_path()
+    in_small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = PieceEncoder(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, _BATCH):
-                batch = whole.slice(at, _BATCH)
-                row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, data in enumerate(encode(batch.column(1).to_pylist())):
-                    data += end
-                    for k in range(0, len(data), 4 * capacity):
-                        part = data[k : k + 4 * capacity]
-                        row.append(i)
-                        piece.append(k // (4 * capacity))
-                        start.append(k // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        ids.append(part)
-                columns = [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32())]
-                columns += [pa.array(x, pa.int64()) for x in (start, length, crc)] + [pa.array(ids, pa.binary())] * with_ids
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+        for batch in small_batches(batches, 1, _BATCH):
+            row, piece, start, length, crc, ids = [], [], [], [], [], []
+            for i, data in enumerate(encode(batch.column(1).to_pylist())):
+                data += end
+                for k in range(0, len(data), 4 * capacity):
+                    part = data[k : k + 4 * capacity]
+                    row.append(i)
+                    piece.append(k // (4 * capacity))
+                    start.append(k // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    ids.append(part)
+            columns = [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32())]
+            columns += [pa.array(x, pa.int64()) for x in (start, length, crc)] + [pa.array(ids, pa.binary())] * with_ids
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     texts = docs.select(F.col(id_col).alias("doc"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     schema = f"doc {dict(texts.dtypes)['doc']}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
@@ -81,6 +77,24 @@ class Plan:
     sequences: int
 
 
+def _two_for(least: int, room: int, left: np.ndarray, uses: dict[int, int], lengths: np.ndarray) -> tuple[int, int]:
+    """The two unpacked lengths, other than ``least``, that fill ``room`` best together; 0, 0 if no two fit."""
+    free = left.copy()
+    for s, n in uses.items():
+        free[s] -= n
+    free[least] = 0
+    upto = np.maximum.accumulate(np.where(free > 0, lengths, 0))
+    a = np.flatnonzero(free[:room] > 0)
+    if not len(a):
+        return 0, 0
+    b = upto[np.minimum(room - a, a)]
+    once = (b == a) & (free[a] < 2)
+    b[once] = upto[a[once] - 1]
+    total = np.where(b > 0, a + b, 0)
+    best = int(np.argmax(total))
+    return (int(a[best]), int(b[best])) if total[best] else (0, 0)
+
+
 def plan_bins(counts: np.ndarray, capacity: int) -> Plan:
     """Plan all bins for ``counts[length]`` pieces of each length from 1 to ``capacity``."""
     left = counts.astype(np.int64).copy()
@@ -108,22 +122,11 @@ def plan_bins(counts: np.ndarray, capacity: int) -> Plan:
             gap -= n * size
         if gap:
             least = min(uses)
-            # Two others in its place: first ``a``, then the largest ``b`` that still fits; b <= a.
-            room = gap + least
-            a = lengths[1:room]
-            a = a[(left[a] > 0) & (a >= room - a)]
-            b = upto[np.minimum(room - a, a)] if len(a) else a
-            total = np.where(b > 0, a + b, 0)
-            for i in np.argsort(-total, kind="stable")[:8]:
-                x, y = int(a[i]), int(b[i])
-                if total[i] <= least:
-                    break
-                free = lambda s: left[s] - uses.get(s, 0) + (s == least)
-                if free(x) >= 1 + (x == y) and free(y) >= 1 + (x == y) and least not in (x, y):
-                    uses[least] -= 1
-                    for s in (x, y):
-                        uses[s] = uses.get(s, 0) + 1
-                    break
+            x, y = _two_for(least, gap + least, left, uses, lengths)
+            if x + y > least:
+                uses[least] -= 1
+                for s in (x, y):
+                    uses[s] = uses.get(s, 0) + 1
         uses = {s: n for s, n in uses.items() if n}
         times = min(int(left[s]) // n for s, n in uses.items())
         offset = 0
@@ -145,34 +148,34 @@ def plan_bins(counts: np.ndarray, capacity: int) -> Plan:
 def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces that have a ``length`` from 1 to ``capacity``.
 
-    The sequences hold the pieces without gaps from offset 0. All columns are kept. Among pieces of one length
-    ``order`` decides who goes where; rows equal in it are interchangeable. An empty table gives an empty table.
-    The driver sees the counts of the lengths (``capacity`` numbers) and the plan made of them.
+    The sequences hold the pieces without gaps from offset 0. All columns are kept, whatever their names; input columns
+    with one of the two new names are replaced. Among pieces of one length ``order`` decides who goes where; rows equal
+    in it are interchangeable, so repeated rows and nulls are no matter. An empty table gives an empty table. The
+    driver sees the counts of the lengths (``capacity`` numbers) and the plan made of them. A piece's rank among those of
+    its length comes from one range sort by length and ``order``, so a length that most pieces have is no hot spot.
     """
-    pieces = written(pieces, "pieces")
-    cell = F.pmod(F.xxhash64(*order), F.lit(RANK_CELLS))
-    cells = pieces.groupBy("length", cell.alias("cell")).agg(F.count("*").alias("n"))
-    cells = written(
-        cells.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("cell")) - F.col("n")), "cells"
-    )
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    keys = [f"key {i}" for i in range(len(order))]
+    rows = pieces.select(packed(pieces.select(*[F.col(f"`{c}`") for c in kept])).alias("row"), F.col("length").cast("long").alias("length"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)])
+    rows = written(rows, "pieces")
     counts = np.zeros(capacity + 1, np.int64)
-    for row in cells.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for row in rows.groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[row["length"]] = row["n"]
     plan = plan_bins(counts, capacity)
-
-    in_cell = Window.partitionBy("length", "cell").orderBy(*order)
-    ranked = pieces.withColumn("cell", cell).withColumn("within", F.row_number().over(in_cell) - 1)
-    ranked = ranked.join(cells.select("length", "cell", "before"), ["length", "cell"])
-    ranked = ranked.select(*pieces.columns, (F.col("length") * F.lit(1 << 40) + F.col("before") + F.col("within")).alias("at"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+    shorter = np.cumsum(counts) - counts
+    ranked = running(rows, ["length", *keys]).select("row", "length", "rank")
+    forget(rows)
+
+    def place(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for length, rank in columns:
+            n = length.to_numpy(zero_copy_only=False).astype(np.int64)
+            at = (n << 40) + rank.to_numpy(zero_copy_only=False).astype(np.int64) - shorter[n]
             i = np.searchsorted(plan.key, at, "right") - 1
             nth = at - plan.key[i]
             sequence = plan.sequence[i] + nth // plan.uses[i]
-            offset = plan.offset[i] + (nth % plan.uses[i]) * (at >> 40)
-            columns = [*batch.columns[:-1], pa.array(sequence), pa.array(offset)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "sequence_id", "offset"])
+            offset = plan.offset[i] + (nth % plan.uses[i]) * n
+            yield pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], names=["sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, T.StructType([*pieces.schema, *T.StructType.fromDDL("sequence_id long, offset long")]))
+    placed = F.arrow_udf(place, "sequence_id long, offset long").asNondeterministic()("length", "rank")  # so that it runs once
+    out = ranked.select("row", placed.alias("at"))
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], "at.sequence_id", "at.offset")
