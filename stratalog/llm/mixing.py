@@ -9,43 +9,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import word_count, written
+from stratalog.llm.common import forget, running, word_count, written
 
-#: Cells that a source's shuffled order, and the axis of finish times, are cut into for two-level running sums.
-ORDER_CELLS = 256
-TIME_CELLS = 8192
 
-
-def targets_by_weight(sources: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): shares of ``share`` times the total size.
+def targets_by_weight(sources: DataFrame, weights: Sequence[int], share: float, most: int) -> DataFrame:
+    """(source, source_size, start, target) from (source, source_size): shares of ``share`` times the total size.
 
     Sources in the order of their code points, null last, get ``weights`` in turn. No target exceeds ``most`` times
     its source's size; what is cut off is shared again by weight among the rest. With sources in the order of
     size per weight, exactly a first part of them is capped: source k is capped if its cap per weight is at most
     what the rest would get per weight after all caps before it. That is two running sums over the sources, of
-    which there is a row each: one task orders them, no task sees a source's documents.
+    which there is a row each; they are range-sorted, so there may be many. ``start`` is the size of all sources before.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.encode(F.col("source"), "UTF-8"))
-    weight = F.get(F.array(*[F.lit(w) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights)).cast("double")
-    cap = F.col("source_size") * F.lit(float(most))
-    ordered = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    until = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = sources.withColumn("weight", weight).withColumn("cap", cap).withColumns(
-        {
-            "caps_before": F.coalesce(F.sum("cap").over(until), F.lit(0.0)),
-            "weights_from": F.sum("weight").over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-            "budget": F.sum("source_size").over(whole) * F.lit(float(share)),
-        }
-    )
-    level = (F.col("budget") - F.col("caps_before")) / F.col("weights_from")
-    capped = F.col("cap") <= level * F.col("weight")
-    rest = sums.withColumn("capped", capped).withColumn("level", F.max(F.when(~F.col("capped"), level)).over(whole))
-    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.col("level") * F.col("weight"))
-    return rest.select("source", "source_size", target.alias("target"))
+    name = [F.col("source").isNull(), F.col("source")]
+    named = running(sources, name, ["source_size"])
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights)).cast("int")).cast("long")
+    named = named.select("source", "source_size", F.col("source_size_before").alias("start"), weight.alias("weight"))
+    named = named.withColumn("cap", F.col("source_size") * F.lit(most))
+    total, heavy = named.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    sums = running(named, [F.col("cap") / F.col("weight"), *name], ["cap", "weight"])
+    level = (F.lit(total * share) - F.col("cap_before")) / (F.lit(heavy) - F.col("weight_before"))
+    rest = sums.withColumn("level", level).withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))
+    level = rest.agg(F.max(F.when(~F.col("capped"), F.col("level")))).first()[0]
+    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.lit(level).cast("double") * F.col("weight"))
+    return rest.select("source", "source_size", "start", target.alias("target"))
 
 
 def mix_sources(
@@ -60,68 +50,42 @@ def mix_sources(
 ) -> DataFrame:
     """Per row of ``docs``: id, source, size, source_size, target, ``taken`` words and ``copies`` in the mix.
 
-    The size of a row is its number of words unless ``size`` says otherwise. The budget is ``share`` times all
-    sizes, and no row is taken more than ``rounds`` times. The row in which the budget ends is taken in part (it
-    counts as a copy); no row after it is taken. Rows of size 0 have ``copies`` 1 if their first finish
-    time lies within the budget. Null sources are one source, the last. Order and ties are fixed by hashes of the
-    id, then the id, then the size, so reruns agree; rows equal in all of these are interchangeable. An empty
-    table gives an empty table.
+    The size of a row is its number of words unless ``size`` says otherwise; texts of any length count in full. The
+    budget is ``share`` times all sizes, and no row is taken more than ``rounds`` times. The row in which the budget
+    ends is taken in part (it counts as a copy); no row after it is taken. Rows of size 0 have ``copies`` 1 if their
+    first finish time lies within the budget. Null sources are one source, the last. Order and ties are fixed by hashes
+    of the id, then the id, then the size, so reruns agree; rows equal in all of these are interchangeable. Other columns
+    are ignored, whatever their names. An empty table gives an empty table.
 
-    A source or a moment may hold most rows: running sums are made in two levels, over the sums of cells (at most
-    ORDER_CELLS a source, TIME_CELLS in all) and then within a cell.
+    A source may hold most rows: the documents of all sources are range-sorted by source and shuffled place, all
+    finish times are range-sorted, and running sums add up those of partitions. A source's numbers reach its rows by a
+    join that adaptive execution can split.
     """
     rows = docs.select(
         F.col(id_col).alias("doc"),
         F.col(source_col).alias("source"),
         (word_count(F.col("text")) if size is None else size).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("order"),
-    ).withColumn("cell", F.pmod("order", F.lit(ORDER_CELLS)))
-    rows = written(rows, "sizes")
-    cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
-    in_source = Window.partitionBy("source").orderBy("cell")
-    cells = cells.select(
-        "source",
-        "cell",
-        (F.sum("cell_size").over(in_source) - F.col("cell_size")).alias("before"),
-        F.sum("cell_size").over(Window.partitionBy("source")).alias("source_size"),
-    )
-    targets = targets_by_weight(cells.groupBy("source").agg(F.first("source_size").alias("source_size")), weights, share, float(rounds))
-    cells = written(
-        cells.drop("source_size").alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source")).select("c.*", "source_size", "target"), "cells"
     )
-    in_cell = Window.partitionBy("source", "cell").orderBy("order", F.col("doc"), "size")
-    sent = rows.withColumn("within", F.sum("size").over(in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("r")
-    sent = sent.join(cells.alias("c"), F.expr("r.source <=> c.source AND r.cell = c.cell")).select(
-        "r.doc", "r.source", "r.size", "r.order", "source_size", "target", (F.col("before") + F.col("within")).alias("sent")
-    )
-    sent = written(sent.withColumn("row", F.monotonically_increasing_id()), "sent")
+    rows = written(rows, "sizes")
+    per_source = written(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    key = F.struct("source").alias("key")  # null is a source like any other
+    targets = written(targets_by_weight(per_source, weights, share, rounds).withColumn("key", key), "targets")
+    budget = int((per_source.agg(F.sum("source_size")).first()[0] or 0) * share)
+    sent = running(rows, [F.col("source").isNull(), "source", "order", "doc", "size"], ["size"]).withColumn("key", key)
+    sent = sent.join(targets.drop("source"), "key")
+    upto = F.col("size_before") - F.col("start") + F.col("size")
+    sent = written(sent.select("rank", "doc", "source", "size", "order", "source_size", "target", upto.alias("sent")), "sent")
 
-    # One row for every time that a document can be sent; times up to rounds * source_size / target.
-    times = sent.select("row", "doc", "source", "size", "order", "source_size", "target", "sent", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    finish = F.try_divide(F.col("round") * F.col("source_size") + F.col("sent"), F.col("target"))
-    # All finish times up to 1 fit the budget, and past it each source adds one document at most before time 2.
-    times = times.withColumn("finish", F.coalesce(finish, F.lit(0.0)))
-    times = times.withColumn("moment", F.least(F.floor(F.col("finish") * (TIME_CELLS // 2)), F.lit(TIME_CELLS - 1)))
-    total = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    moments = times.groupBy("moment").agg(F.sum("size").alias("moment_size"))
-    moments = moments.select(
-        "moment",
-        "moment_size",
-        (F.sum("moment_size").over(Window.orderBy("moment")) - F.col("moment_size")).alias("before"),
-        F.floor(F.sum("moment_size").over(total) * F.lit(float(share) / rounds)).alias("budget"),
-    )
-    timed = times.join(F.broadcast(moments), "moment")
-    # Moments that lie before or after the one in which the budget ends need no order.
-    full = F.col("before") + F.col("moment_size") <= F.col("budget")
-    settled = timed.where(full | (F.col("before") > F.col("budget"))).withColumn("got", F.when(full, F.col("size")).otherwise(F.lit(0)))
-    settled = settled.withColumn("copy", full.cast("int"))
-    in_moment = Window.partitionBy("moment").orderBy("finish", F.col("source").isNull(), "source", "order", "doc", "size", "round")
-    last = timed.where(~full & (F.col("before") <= F.col("budget")))
-    last = last.withColumn("end", F.col("before") + F.sum("size").over(in_moment.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    got = F.greatest(F.lit(0), F.least("size", F.col("budget") - F.col("end") + F.col("size")))
-    last = last.withColumn("got", got).withColumn("copy", ((F.col("got") > 0) | ((F.col("size") == 0) & (F.col("end") <= F.col("budget")))).cast("int"))
-    columns = ["row", "got", "copy", "size", "round"]
-    both = settled.select(*columns).unionByName(last.select(*columns))
+    # One row for every time that a document can be sent.
+    times = sent.select("rank", "size", "order", "source_size", "target", "sent", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    finish = F.coalesce(F.try_divide(F.col("round") * F.col("source_size") + F.col("sent"), F.col("target")), F.lit(0.0))
+    times = times.select(F.col("rank").alias("row"), "size", finish.alias("finish"), "round")
+    queue = running(times, ["finish", "row", "round"], ["size"])
+    got = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(budget) - F.col("size_before")))
+    copy = (F.col("got") > 0) | ((F.col("size") == 0) & (F.col("size_before") <= budget))
+    queue = queue.withColumn("got", got).withColumn("copy", copy.cast("int"))
     copies = F.when(F.max("size") == 0, F.max("copy")).otherwise(F.sum("copy"))
-    taken = both.groupBy("row").agg(F.sum("got").cast("long").alias("taken"), copies.cast("int").alias("copies"))
-    return sent.join(taken, "row").select(F.col("doc").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "copies")
+    taken = queue.groupBy(F.col("row").alias("rank")).agg(F.sum("got").cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    forget(rows, per_source)
+    return sent.join(taken, "rank").select(F.col("doc").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "copies")
