@@ -15,7 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from stratalog.llm.common import in_small_batches, small_batches
+
+
+#: Features behind the hashed n-grams: one word two, three and four times in a row.
+REPEATS = 3
 
 
 @dataclass(frozen=True)
@@ -29,6 +34,10 @@ class QualityParams:
     cut: float = 0.3  # a score of this or more predicts class 1
     seed: int = 17
 
+    @property
+    def features(self) -> int:
+        return (1 << self.buckets_bits) + REPEATS
+
 
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)
 _BLOCK = 1 << 20
@@ -37,12 +46,12 @@ _BLOCK = 1 << 20
 class Grams:
     """Distinct hashed n-grams of a whole text, as sorted feature numbers.
 
-    They are the byte n-grams, and the word n-grams (two to four words) of one word said again and again, with the
-    word itself left out: features 0 to 2.
+    They are the byte n-grams, and behind them the word n-grams (two to four words) of one word said again and again,
+    with the word itself left out.
     """
 
     def __init__(self, p: QualityParams) -> None:
-        self.p, self.seen = p, np.zeros(1 << p.buckets_bits, bool)
+        self.p, self.seen = p, np.zeros(p.features, bool)
 
     def __call__(self, data: bytes | None) -> np.ndarray:
         self.seen[:] = False
@@ -60,7 +69,7 @@ class Grams:
                     self.seen[(h * _FACTORS[5]) >> shift] = True
         words = data.split() if data else []
         again = bytes(map(eq, words, words[1:]))
-        self.seen[:3] = [b"\1" * n in again for n in (1, 2, 3)]
+        self.seen[-REPEATS:] = [b"\1" * n in again for n in range(1, REPEATS + 1)]
         return np.flatnonzero(self.seen).astype(np.int32)
 
 
@@ -129,7 +138,7 @@ class QualityModel:
 
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, p: QualityParams) -> tuple[np.ndarray, np.ndarray, float, float]:
-    size = 1 << p.buckets_bits
+    size = p.features
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1.0) / (len(y) + 2.0)  # nothing to tell apart: every score is this share
         return np.zeros(size), np.zeros(size + 1), 1.0, float(np.log(share / (1 - share)))
@@ -161,6 +170,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     the bounded sample. With one class or no rows every score is the smoothed share of class 1.
     """
     p = params or QualityParams()
+    in_small_batches(docs.sparkSession)
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
     marked = marked.orderBy(F.xxhash64(F.lit(p.seed), id_col), id_col).limit(p.max_rows)
     sample = docs.select(id_col, F.encode(text_col, "UTF-8").alias("text")).join(F.broadcast(marked), id_col).select(
@@ -169,7 +179,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(p)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             rows = [grams(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], names=["at", "grams", "y"])
 
@@ -188,24 +198,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1; higher: class 1 is likelier) and ``predicted`` (1 from the model's cut on).
 
-    Whole texts are scored, from their n-grams alone; a null or empty text has the score of the bias. Input columns
-    named like the new ones are replaced; all others, whatever their names, are kept. An empty table gives an
-    empty table.
+    Whole texts are scored, whatever their length, from their n-grams alone; a null or empty text has the score of the
+    bias. Repeated rows get equal scores. Input columns named like the new ones are replaced; all others, whatever their
+    names, are kept. An empty table gives an empty table. Only texts go to Python, and only scores come back.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, grams = model.params, Grams(model.params)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            margins = np.array([margin(grams(t), model.scale, model.weights) for t in texts], np.float64)
-            score = 1.0 / (1.0 + np.exp(-np.clip(model.a * margins + model.b, -700, 700)))
-            made = [pa.array(score), pa.array((score >= p.cut).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "score", "predicted"])
-
-    rows = docs.select(*kept, F.encode(F.col(text_col), "UTF-8").alias("text as bytes"))
-    made = T.StructType.fromDDL("score double, predicted int")
-    return rows.mapInArrow(run, T.StructType([*rows.schema[:-1], *made]))
+    in_small_batches(docs.sparkSession)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        grams = Grams(model.params)
+        for column in columns:
+            parts = small_batches([pa.RecordBatch.from_arrays([column], names=["text"])], 0)
+            margins = [margin(grams(t), model.scale, model.weights) for part in parts for t in part.column(0).to_pylist()]
+            yield pa.array(1.0 / (1.0 + np.exp(-np.clip(model.a * np.array(margins, np.float64) + model.b, -700, 700))))
+
+    score = F.arrow_udf(run, "double").asNondeterministic()(F.encode(F.col(text_col), "UTF-8"))  # so that it runs once
+    scored = docs.select(*[F.col(f"`{c}`") for c in kept], score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= model.params.cut).cast("int"))
 
 
 def is_held_out(id_col: str = "doc_id"):
