@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import written
+from stratalog.llm.common import running, written
 
 
 def _rotate_left(x: int, by: int, n: int) -> int:
@@ -96,11 +96,12 @@ def hilbert_shards(
 
     Each dimension is quantised into 2**bits cells at its own quantiles, so that skewed values use the whole
     curve; null lies in the lowest cell. Rows of one cell are ordered by ``ties``; rows equal in all of them are
-    interchangeable. Returns ``keep``, the curve index ``cell``, ``shard`` from 0 and ``slot``, gapless from 0.
-    An empty table gives an empty table.
+    interchangeable. Returns ``keep``, the curve index ``cell``, ``shard`` from 0 and ``slot``, gapless from 0; columns
+    that are kept must have other names than these. Repeated rows are rows of their own. An empty table gives an empty
+    table.
 
-    The sort is one range shuffle of the kept columns. Its result is written, as range bounds are drawn anew
-    whenever a plan runs; row numbers then come from each partition's count, a table with a row per partition.
+    The sort is one range shuffle of the kept columns, which holds no text of any length; row numbers then come from
+    each partition's count.
     """
     numbers = _as_number(rows, dims)
     levels = 1 << bits
@@ -116,25 +117,12 @@ def hilbert_shards(
     key = ["cell", *ties]
     # Written before the sort, as drawing range bounds reads its input once more: texts behind it are read once.
     along = written(rows.withColumn("cell", hilbert_index(cells, bits)).select(*dict.fromkeys([*keep, *key])), "cells")
-    place = F.monotonically_increasing_id()
-    laid = written(along.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("place", place), "hilbert")
-    part, within = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        laid.groupBy(part.alias("part"))
-        .agg(F.count("*").alias("n"))
-        .select(
-            "part",
-            F.coalesce(F.sum("n").over(everything), F.lit(0)).alias("before"),
-            F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
-        )
-    )
-    ranked = laid.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + within)
-    shard = F.expr(f"(rank * {shards}) div total")
+    total = along.count()
+    ranked = running(along, key)
+    shard = F.expr(f"(rank * {shards}) div {max(total, 1)}")
+    first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
     return ranked.withColumn("shard", shard.cast("int")).select(
-        *[c for c in along.columns if c in keep or c == "cell"],
-        "shard",
-        (F.col("rank") - F.expr(f"(shard * total + {shards - 1}) div {shards}")).cast("long").alias("slot"),
+        *[c for c in along.columns if c in keep or c == "cell"], "shard", (F.col("rank") - first).cast("long").alias("slot")
     )
 
 
