@@ -41,6 +41,8 @@ def path_of(url: Column) -> Column:
 
 def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """The longest rule that fits (host and path together; then the longer host, then the smaller string), or null."""
+    if not rules:
+        return F.lit(None).cast("struct<order:int,host_order:int,rule:string,verdict:string>")
     fits = F.filter(
         F.array(
             *[
