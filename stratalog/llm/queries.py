@@ -134,16 +134,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dup": r"""
+        WITH RECURSIVE w AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0b\x0c\r]+') AS ws
+            FROM documents
+        ), s AS (
+            SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' '))) END AS sh
+            FROM w
+        ), x AS (SELECT r, len(sh) AS n, unnest(sh) AS sh FROM s
+        ), common AS (SELECT a.r AS a, b.r AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS c FROM x a JOIN x b ON a.sh = b.sh AND a.r < b.r GROUP BY 1, 2
+        ), half AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (n - c)
+        ), link AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half
+        ), reach AS (
+            SELECT r AS at, r AS from_r FROM s UNION SELECT l.b, t.from_r FROM reach t JOIN link l ON l.a = t.at
+        ), least AS (SELECT from_r AS r, min(doc_id) AS component_id FROM reach JOIN s ON s.r = reach.at GROUP BY 1)
+        SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON least.r = s.r""",
     "op5_kd_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+            SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r
         ), ranked AS (
-            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+            SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op9_quality_rules": r"""
@@ -161,17 +178,17 @@ ORACLE_SQL: dict[str, str] = {
         ), covered AS (
             SELECT r, count(DISTINCT i + k) AS n FROM twice, range(0, 5) AS t(k) GROUP BY r
         ), l AS (
-            SELECT r, source, text, unnest(lines) AS line FROM m
+            SELECT r, doc_id, source, unnest(lines) AS line FROM m
         ), lw AS (
-            SELECT r, source, text, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0b\x0c\r]+') AS ws FROM l
+            SELECT r, doc_id, source, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0b\x0c\r]+') AS ws FROM l
         ), worded AS (
-            SELECT r, source, text, line, array_to_string(ws, ' ') AS normal, len(ws) AS n FROM lw WHERE len(ws) > 0
+            SELECT r, doc_id, source, line, array_to_string(ws, ' ') AS normal, len(ws) AS n FROM lw WHERE len(ws) > 0
         ), repeats AS (
             SELECT r, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY r
         ), common AS (
-            SELECT c.source, normal FROM (SELECT source, normal, count(DISTINCT text) AS n FROM worded GROUP BY 1, 2) c
-            JOIN (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY 1) h ON h.source IS NOT DISTINCT FROM c.source
-            WHERE n > 20 AND n > 0.02 * docs
+            SELECT c.source, normal FROM (SELECT source, normal, count(DISTINCT doc_id) AS n FROM worded GROUP BY 1, 2) c
+            JOIN (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY 1) h ON h.source IS NOT DISTINCT FROM c.source
+            WHERE n > 5 AND n > 0.02 * docs
         ), removed AS (
             SELECT r, CAST(sum(n) AS BIGINT) AS n FROM worded x JOIN common c ON c.source IS NOT DISTINCT FROM x.source AND c.normal = x.normal GROUP BY r
         ), counts AS (

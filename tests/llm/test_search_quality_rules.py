@@ -14,9 +14,9 @@ from tests.llm.fixtures import documents, frame, words
 def brute_top(rows, k):
     live = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in live:
+    for at, (q, a) in enumerate(live):
         if q % 5 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in live if i != q)
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for n, (i, b) in enumerate(live) if n != at)
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -36,6 +36,26 @@ def test_top_k_as_brute_force(spark):
     assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 7)
 
 
+def test_regions_and_boxes_save_visits():
+    """Points in tight clusters: a query sees the leaves of few of them, and a floor saves more."""
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-1000, 1000, (16, 5))
+    points = np.repeat(centres, 64, axis=0) + rng.integers(-5, 6, (1024, 5))
+    dims, values = topk.region_tree(points[::3], 3)
+    regions = topk.regions_of(points, dims, values)
+    assert set(regions) <= set(range(8)) and len(set(regions)) > 4
+    tree = topk.build_tree(np.arange(1024), np.arange(1024), points, 32)
+    search = topk.Search(np.arange(0, 1024, 100), points[::100], 5)
+    search.visit(tree)
+    for i, (scores, _) in enumerate(search.best):
+        column = np.sort(np.delete(points @ points[100 * i], 100 * i))[::-1][:5]
+        assert scores.tolist() == column.tolist()
+    assert search.visited < 0.5 * search.leaves
+    again = topk.Search(np.arange(0, 1024, 100), points[::100], 5, np.array([s[-1] for s, _ in search.best]))
+    again.visit(tree)
+    assert again.visited <= search.visited and [s.tolist() for s, _ in again.best] == [s.tolist() for s, _ in search.best]
+
+
 def test_top_k_of_few_and_of_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.5]), (1, [0.25, 1.0])], schema)
@@ -127,11 +147,45 @@ def test_common_lines_of_a_host_deplete_its_documents(spark):
     rows += [(200 + i, f"{banner}\n{words(rng, 5)}", "en", "b", 1) for i in range(10)]  # too few documents of this host
     copy = f"{words(rng, 40)}\n{words(rng, 20)}"
     rows += [(300 + i, copy, "en", "c", 1) for i in range(50)]  # copies of one text: its lines aren't common
-    got = {r.doc_id: r for r in rules.judge_documents(frame(spark, rows)).collect()}
+    params = rules.RuleParams(min_line_docs=20, of_texts=True)
+    got = {r.doc_id: r for r in rules.judge_documents(frame(spark, rows), params=params).collect()}
     assert {got[i].kept for i in range(30)} == {False} and {got[i].removed_words for i in range(30)} == {30}
     assert all(got[i].kept for i in (*range(100, 105), *range(200, 210), *range(300, 350)))
 
 
+def test_cleaned_documents_as_brute_force(spark):
+    """Lines in more than five documents of a host, and in more than a fiftieth of them, go; the rest stays as it was."""
+    rng = random.Random(5)
+    common = [words(rng, 8) for _ in range(3)]
+    rows = []
+    for i in range(60):
+        own = [words(rng, rng.randint(6, 12)) for _ in range(rng.randint(1, 4))]
+        host = rng.choice(["a", "b", None])
+        rows.append((i, "\n".join([rng.choice(common), *own, "", "  " + rng.choice(common).upper() + " \t"]), "en", host, 1))
+    rows += [(100, None, "en", "a", 1), (101, "", "en", "b", 1), (None, common[0], "en", "a", 1), (5, rows[5][1], "en", rows[5][3], 1)]
+    holders, hosts = {}, {}
+    for i, text, _, host, _ in rows:
+        hosts.setdefault(host, set()).add(i)
+        for line in (text or "").split("\n"):
+            if line.split():
+                holders.setdefault((host, " ".join(line.lower().split())), set()).add(i)
+    gone = {k for k, v in holders.items() if len(v) > 5 and len(v) > 0.02 * len(hosts[k[0]])}
+    assert gone
+    want = Counter()
+    for i, text, lang, host, n in rows:
+        lines = (text or "").split("\n")
+        left = [x for x in lines if (host, " ".join(x.lower().split())) not in gone]
+        total, kept = len((text or "").split()), sum(len(x.split()) for x in left)
+        if total >= 10 and 100 * brute_measures(text)[4] <= 20 * total and 100 * kept >= 30 * total:
+            want[(i, "\n".join(left), lang, host, n)] += 1
+    got = rules.clean_documents(frame(spark, rows, extra=True))
+    assert got.columns == frame(spark, rows, extra=True).columns
+    assert Counter(tuple(r)[:5] for r in got.collect()) == want
+    judged = rules.judge_documents(frame(spark, rows)).collect()
+    assert sum(r.removed_words for r in judged) > 0 and Counter(r.doc_id for r in judged if r.kept) == Counter(w[0] for w in want.elements())
+    assert rules.clean_documents(frame(spark, [])).collect() == []
+
+
 def test_gear_hash_depends_on_near_bytes_only():
     table = substring.gear_table(5)
     data = np.random.default_rng(1).integers(0, 256, 200).astype(np.uint8)
