@@ -17,10 +17,10 @@ def _smallest(edges: DataFrame) -> DataFrame:
 
 
 def _stars(edges: DataFrame) -> bool:
-    """Whether every u has one edge, and no v is a u."""
-    twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-    both = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u").distinct(), "u", "left_semi")
-    return twice.unionByName(both).isEmpty()
+    """Whether every u has one edge, and no v is a u: one aggregation over the ends of the edges."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("u")), F.struct(F.col("v").alias("node"), F.lit(0).alias("u")))).alias("e"))
+    counts = ends.groupBy("e.node").agg(F.sum("e.u").alias("n"), F.min("e.u").alias("least"))
+    return counts.where("n > 1 OR (n = 1 AND least = 0)").isEmpty()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Both steps join edges with one aggregated row per node. What a step gives is written, which cuts the lineage.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while not _stars(edges):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         around = _smallest(both)
         large = both.join(around, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -40,5 +40,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         after = written(small.where("u <> v").distinct(), "edges")
         forget(edges, around, large, below)
         edges = after
+        if _stars(edges):
+            break
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

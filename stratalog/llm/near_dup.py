@@ -26,8 +26,6 @@ from stratalog.llm.components import connected_components
 from stratalog.llm.shingles import MinHash, WordHashes, odd_numbers, shingle_set
 
 
-#: Turns in which members of a bucket meet two others, before the exact comparison of what is left.
-TURNS = 1
 #: Pairs that share a shingle and are made in one task, at most.
 PAIRS_A_TASK = 1_000_000
 
@@ -98,7 +96,9 @@ def _full_sets(texts: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame, p: NearDupParams) -> DataFrame:
-    """(bucket, node): members of table keys that at least two sets share.
+    """(bucket, node, n, lo, hi): members of table keys that n sets share, two at least, with two of these.
+
+    The two are the first and the last in an order by hash. They are aggregates, so no task sees a whole bucket.
 
     A half-key that only one set has can't be part of a shared table key, so it is dropped before the two
     collections are multiplied: only sets that share half-keys on both sides get table keys at all.
@@ -117,23 +117,26 @@ def _buckets(nodes: DataFrame, p: NearDupParams) -> DataFrame:
         "node", F.explode(F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b))))).alias("bucket")
     )
     keys = written(keys, "keys")
-    shared = written(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
-    live = written(keys.join(shared, "bucket", "left_semi"), "buckets")
+    own = F.struct(F.xxhash64("node"), "node")
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min(own).alias("lo"), F.max(own).alias("hi")).where("n > 1")
+    shared = written(shared.select("bucket", "n", F.col("lo.node").alias("lo"), F.col("hi.node").alias("hi")), "shared")
+    live = written(keys.join(shared, "bucket"), "buckets")
     forget(often, keys, shared)
     return live
 
 
-def _meetings(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of different components: each member of a bucket with the bucket's first and last member.
+def _meetings(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): members of a bucket with its first and last member.
 
-    The order within a bucket is another one each turn. First and last are aggregates, so no task sees a whole bucket.
-    The pairs are twice as many as the members at most; in buckets of three members they are all pairs.
+    In buckets of up to three members these are all pairs. Of its larger buckets a member meets the first of all first
+    members and the last of all last ones only: two pairs a member, as large groups share most of their buckets.
     """
-    own = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "component")
-    ends = members.groupBy("bucket").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
-    ends = written(ends.select("bucket", F.array("lo", "hi").alias("ends")), "ends")
-    met = members.join(ends, "bucket").select("node", "component", F.explode("ends").alias("m")).where("m.component <> component")
-    return met.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+    small = members.where("n <= 3").select("node", F.explode(F.array("lo", "hi")).alias("m"))
+    by_hash = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    large = members.where("n > 3").groupBy("node").agg(F.min(by_hash("lo")).alias("first"), F.max(by_hash("hi")).alias("last"))
+    large = large.select("node", F.explode(F.array("first.lo", "last.hi")).alias("m"))
+    met = small.unionByName(large).where("m <> node")
+    return met.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
 
 
 def _by_rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
@@ -226,24 +229,19 @@ def _linked(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: Ne
     slim = nodes.select("node", "n_shingles", "sketch")
 
     parts = None
-    members = live.withColumn("component", F.col("node"))
-    for turn in range(TURNS):
-        links = _confirmed(_meetings(members, turn), slim, sets, p)
-        if links.isEmpty():
-            break
+    links = _confirmed(_meetings(live), slim, sets, p)
+    members = live.select("bucket", "node", F.col("node").alias("component"))
+    if not links.isEmpty():
         parts = _merged(parts, links)
         members = live.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        # In a turn, buckets of three or fewer members are compared in full; so are buckets in one component.
-        mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        mixed = written(mixed.where("n > 3 AND lo <> hi").select("bucket"), "mixed")
-        members = written(members.join(mixed, "bucket", "left_semi"), "open")
-        if members.isEmpty():
-            break
-    left = members.select("node", "component").distinct()
+    # Buckets of three or fewer members have been compared in full; those in one component need no comparison.
+    mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = written(mixed.where("n > 3 AND lo <> hi").select("bucket"), "mixed")
+    left = written(members.join(mixed, "bucket", "left_semi").select("node", "component").distinct(), "open")
     links = _confirmed(_by_rare_shingles(sets.join(left, "node"), p.percent), slim, sets, p)
     if not links.isEmpty():
         parts = _merged(parts, links)
-    forget(sets, live)
+    forget(sets, live, mixed, left)
     return spark.createDataFrame([], "node long, component long") if parts is None else parts
 
 
@@ -259,8 +257,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     empty table gives an empty table.
 
     Equal sets are collapsed first (with map-side combining), so a group of exact copies is one node. Buckets are
-    never expanded into all pairs: for a few turns each member meets its bucket's first and last member, in an order
-    that changes, which makes large groups fall into one component. What is then still apart within a bucket is
+    never expanded into all pairs: each member meets its bucket's first and last member in an order by hash, which makes
+    large groups fall into one component. What is then still apart within a bucket is
     compared where sets of different components share one of their rarest shingles, which loses no link. Where many
     rows may share a key, the other side of the join is an aggregated table that is written first, and nothing above
     the join depends on its partitioning: adaptive execution then splits the rows of such a key over several tasks.
