@@ -131,8 +131,13 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int, rows: int = 25
 
 
 def packed(df: DataFrame, apart: Sequence[str] = ()) -> Column:
-    """All columns of ``df`` but those ``apart`` as one struct, so that no name of theirs meets a name used inside."""
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in apart], F.lit(0).alias("and no more"))
+    """All columns of ``df`` but those ``apart`` as one struct, so that no name of theirs meets a name used inside.
+
+    A struct must have a field; the one added here is named as no column is."""
+    spare = "and no more"
+    while spare in {c.lower() for c in df.columns}:
+        spare += " still"
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in apart], F.lit(0).alias(spare))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat, mixing, near_dup, packing, quality, rules, sharding, substring, topk, url_filter
+from stratalog.llm import chat, infill, merkle, mixing, near_dup, packing, quality, rules, secret_scan, sharding, substring, topk, url_filter
+from stratalog.llm.common import ascii_lower
+from stratalog.llm.secret_seeds import labelled_strings
 from stratalog.llm.url_seeds import labelled_urls
 
 
@@ -120,6 +122,48 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeated_passages(docs)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, group root, root and proof of every document; a third of them are tampered with, which their proofs show."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0, F.lit(False))
+    leaves = docs.select(
+        "doc_id", "lang", merkle.field_digest(*head, F.col("text")).alias("leaf"), F.when(tampered, merkle.field_digest(*head, ascii_lower(F.col("text")))).alias("changed")
+    )
+    proved = merkle.merkle_manifest(leaves, "leaf", "lang", ["doc_id"], keep=["doc_id", "changed"])
+    proved = proved.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    sha = F.sha2(merkle.proof_text(F.col("proof")), 256)
+    return proved.select("doc_id", "leaf", "subroot", "root", sha.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and the text rebuilt from that."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    formed = infill.fill_in_middle(docs)
+    return formed.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: those of the patterns, and strings that look random."""
+    model = secret_scan.fit_markov(labelled_strings(spark))
+    found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k.name) for k in secret_scan.KINDS],
+        F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.span_text(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dup": op1_minhash_near_dup,
     "op2_url_filter": op2_url_filter,
@@ -131,6 +175,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -216,4 +263,60 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(text_chars + CASE WHEN before = role THEN 11 ELSE 12 + role_chars + 10 + 11 END) AS BIGINT) AS formatted_chars
         FROM escaped GROUP BY conv_id""",
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+        ), f AS (
+            SELECT r, doc_id, lang, low, text,
+                   coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                       lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) AS crc
+            FROM d
+        ), leaves AS (
+            SELECT r, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   CASE WHEN doc_id IS NOT NULL AND crc % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS changed FROM f
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+                   dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaves
+        ), up AS (
+            SELECT 0 AS level, tree, i, n, leaf AS digest FROM placed
+            UNION ALL
+            SELECT level + 1, tree, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY level, tree, i // 8, n
+        ), subroots AS (
+            SELECT tree, level AS height, digest AS subroot, count(*) OVER () AS n FROM up WHERE n = 1
+        ), over AS (
+            SELECT 0 AS level, tree AS i, n, subroot AS digest FROM subroots
+            UNION ALL
+            SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM over WHERE n > 1 GROUP BY level, i // 8, n
+        ), steps AS (
+            SELECT p.r, u.level, coalesce(string_agg(u.digest, '' ORDER BY u.i) FILTER (WHERE u.i < p.i // CAST(8 ** u.level AS BIGINT)), '') AS before,
+                   coalesce(string_agg(u.digest, '' ORDER BY u.i) FILTER (WHERE u.i > p.i // CAST(8 ** u.level AS BIGINT)), '') AS after
+            FROM placed p JOIN up u ON u.tree = p.tree AND u.n > 1 AND u.i // 8 = p.i // CAST(8 ** (u.level + 1) AS BIGINT) GROUP BY p.r, u.level
+            UNION ALL
+            SELECT p.r, 1000 + u.level, coalesce(string_agg(u.digest, '' ORDER BY u.i) FILTER (WHERE u.i < p.tree // CAST(8 ** u.level AS BIGINT)), ''),
+                   coalesce(string_agg(u.digest, '' ORDER BY u.i) FILTER (WHERE u.i > p.tree // CAST(8 ** u.level AS BIGINT)), '')
+            FROM placed p JOIN over u ON u.n > 1 AND u.i // 8 = p.tree // CAST(8 ** (u.level + 1) AS BIGINT) GROUP BY p.r, u.level
+        ), proofs AS (
+            SELECT r, sha256(string_agg(before || after, '' ORDER BY level)) AS proof_sha256, list(before || '|' || after ORDER BY level) AS path FROM steps GROUP BY r
+        ), done AS (
+            SELECT p.doc_id, p.leaf, s.subroot, (SELECT digest FROM over WHERE n = 1) AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256,
+                   list_reduce(list_prepend(coalesce(p.changed, p.leaf), coalesce(q.path, [])), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+            FROM placed p JOIN subroots s ON s.tree = p.tree LEFT JOIN proofs q ON q.r = p.r
+        )
+        SELECT *, folded_root = root AS verified FROM done""",
+    "op12_fill_in_middle": r"""
+        WITH h AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t FROM documents
+        ), d AS (
+            SELECT *, len(t) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(t) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(t) + 1) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+                        WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+        ), c AS (
+            SELECT *, array_to_string(t[1:least(a, b)], '') AS p, array_to_string(t[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(t[greatest(a, b) + 1:n], '') AS s FROM d
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256 FROM c""",
 }
