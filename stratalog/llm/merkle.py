@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import running, written
+from stratalog.llm.common import running, spare_name, written
 
 _STEP = "struct<before:string,after:string>"
 
@@ -93,7 +93,7 @@ def merkle_manifest(rows: DataFrame, digest: str, group: str, order: Sequence[st
     Rows are range-sorted once to get their ranks and shuffled once by groups of ``fan``; levels shrink by ``fan``, and
     every join key has ``fan`` rows at most, so groups of any size and a group of a third of all rows make no hot task.
     """
-    held = F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias(_spare(keep)))
+    held = F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias(spare_name(keep)))
     order_by = [F.col(f"`{c}`").alias(f"by{i}") for i, c in enumerate(order)]
     flat = rows.select(held.alias("held"), F.col(f"`{group}`").alias("group"), *order_by, F.col(f"`{digest}`").alias("digest"))
     flat = written(flat, "leaves")  # bounds of ranges are drawn from it: the input is read and digested once
@@ -123,13 +123,6 @@ def merkle_manifest(rows: DataFrame, digest: str, group: str, order: Sequence[st
     )
 
 
-def _spare(names: Sequence[str]) -> str:
-    spare = "and no more"
-    while spare in {c.lower() for c in names}:
-        spare += " still"
-    return spare
-
-
 def proof_text(proof: Column) -> Column:
     """All sibling digests of a proof in a row, level by level, from left to right."""
     return F.array_join(F.transform(proof, lambda s: F.concat(s.before, s.after)), "")
