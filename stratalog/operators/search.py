@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.functions import text as X
+from stratalog.operators import trigram_index
 
 LARGEST_PAGE = 500
 
@@ -59,6 +60,7 @@ def ranked_search(
     after: tuple | None = None,
     limit: int = 50,
     least: float = 0.3,
+    index: trigram_index.TrigramIndex | None = None,
 ) -> DataFrame:
     """Modules that contain the query or are similar to it, with every snapshot and application that refers to them.
 
@@ -84,8 +86,21 @@ def ranked_search(
     return named.orderBy(F.desc("sim"), F.desc("captured_at"), "module_id").limit(clamp_limit(limit))
 
 
-def similar_page(rows: DataFrame, query: str, text: str, at: str, id_col: str, limit: int, after: tuple | None = None, least: float = 0.3) -> DataFrame:
-    """A page of rows similar to the query, by (similarity desc, at desc, id asc), from behind ``after``."""
+def _narrowed(rows: DataFrame, id_col: str, index: trigram_index.TrigramIndex | None, query: str, least: float) -> DataFrame:
+    named = trigram_index.candidates(index, rows.sparkSession, query, least) if index else None
+    return rows if named is None else rows.join(named.withColumnRenamed("id", id_col), id_col, "left_semi")
+
+
+def similar_page(
+    rows: DataFrame, query: str, text: str, at: str, id_col: str, limit: int, after: tuple | None = None, least: float = 0.3, index: trigram_index.TrigramIndex | None = None
+) -> DataFrame:
+    """A page of rows similar to the query, by (similarity desc, at desc, id asc), from behind ``after``.
+
+    With an ``index`` of the text by id only the rows that it names are looked at.
+    """
+    if index and least > 0:
+        named = trigram_index.similar_ids(index, rows.sparkSession, query, least).withColumnRenamed("id", id_col)
+        rows = rows.join(named, id_col, "left_semi")
     scored = rows.withColumn("similarity", X.trigram_similarity(F.col(text), F.lit(query))).where(F.col("similarity") >= least)
     if after is not None:
         sim, moment, last = after

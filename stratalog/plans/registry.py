@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.plans import catalog_queries, event_queries, extension_queries, ingest_queries, json_queries, search_queries, shape_queries, text_queries
+from stratalog.plans import (
+    catalog_queries,
+    event_queries,
+    extension_queries,
+    index_queries,
+    ingest_queries,
+    json_queries,
+    search_queries,
+    shape_queries,
+    text_queries,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (catalog_queries, event_queries, text_queries, json_queries, search_queries, shape_queries, ingest_queries, extension_queries):
+for _module in (
+    catalog_queries, event_queries, text_queries, json_queries, search_queries, shape_queries, ingest_queries, extension_queries, index_queries,
+):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
