@@ -10,6 +10,7 @@ from stratalog.plans import (
     catalog_queries,
     event_queries,
     extension_queries,
+    finding_queries,
     index_queries,
     ingest_queries,
     json_queries,
@@ -22,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 for _module in (
-    catalog_queries, event_queries, text_queries, json_queries, search_queries, shape_queries, ingest_queries, extension_queries, index_queries,
+    catalog_queries, event_queries, text_queries, json_queries, search_queries, shape_queries, ingest_queries, extension_queries, index_queries, finding_queries,
 ):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
