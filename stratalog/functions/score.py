@@ -133,3 +133,20 @@ def is_noise(symbols: Column) -> Column:
 def diff_identifier(category: Column, name: Column) -> Column:
     """What identifies a change of a category: digests are cut to sixteen characters, a risk has one name."""
     return F.when(category == "risk", "risk-score").when(category.isin("cert", "module", "file"), F.substring(name, 1, 16)).otherwise(name)
+
+
+def release_number(version: Column) -> Column:
+    """A long in the order of release versions (``go1.21rc2``, ``1.20``, ``1.21.3-x``); -1 for what is none, below all others.
+
+    What follows a hyphen doesn't count. Of one minor version betas come first, then candidates, then patches. A version
+    without a patch is its patch 0 up to minor 20, and from 21 on comes before its betas.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.trim(version), "^go", ""), "-.*$", "")
+    shape = r"^([0-9]{1,6})(?:\.([0-9]{1,6})(?:(beta|rc)([0-9]{1,6})|\.([0-9]{1,6}))?)?$"
+    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(plain, shape, i), F.lit("")).cast("long"), F.lit(0))
+    named = F.regexp_extract(plain, shape, 3)
+    bare = F.regexp_extract(plain, shape, 5) == ""
+    later = (part(1) > 1) | (part(2) > 20)
+    kind = F.when(named == "beta", 1).when(named == "rc", 2).when(bare & later, 0).otherwise(3)
+    number = ((part(1) * 1_000_000 + part(2)) * 4 + kind) * 1_000_000 + F.when(named != "", part(4)).otherwise(part(5))
+    return F.when(plain.rlike(shape), number).otherwise(F.lit(-1)).cast("long")

@@ -15,6 +15,7 @@ from stratalog.plans import (
     index_queries,
     ingest_queries,
     json_queries,
+    match_queries,
     search_queries,
     shape_queries,
     text_queries,
@@ -24,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 for _module in (
-    catalog_queries, event_queries, text_queries, json_queries, search_queries, shape_queries, ingest_queries, extension_queries, index_queries, finding_queries, bundle_queries,
+    catalog_queries, event_queries, text_queries, json_queries, search_queries, shape_queries, ingest_queries, extension_queries, index_queries, finding_queries, bundle_queries, match_queries,
 ):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
