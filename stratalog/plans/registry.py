@@ -14,6 +14,7 @@ from stratalog.plans import (
     finding_queries,
     index_queries,
     ingest_queries,
+    job_queries,
     json_queries,
     match_queries,
     search_queries,
@@ -25,7 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 for _module in (
-    catalog_queries, event_queries, text_queries, json_queries, search_queries, shape_queries, ingest_queries, extension_queries, index_queries, finding_queries, bundle_queries, match_queries,
+    catalog_queries, event_queries, text_queries, json_queries, search_queries, shape_queries, ingest_queries, extension_queries, index_queries, finding_queries, bundle_queries, match_queries, job_queries,
 ):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
