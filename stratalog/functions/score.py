@@ -121,13 +121,20 @@ NAME_KINDS = ("methods", "functions", "classes", "types")
 
 
 def is_noise(symbols: Column) -> Column:
-    """Whether a JSON object of lists of symbols says nothing: no JSON, all lists empty, a keyword for a name, or a
-    class of characters (``[a-z]``) in any list."""
-    lists = F.from_json(symbols, "map<string,array<string>>")
-    bad = lambda k, xs: F.exists(F.coalesce(xs, F.array().cast("array<string>")), lambda x: x.rlike(CHARACTER_CLASS) | (k.isin(*NAME_KINDS) & F.lower(x).isin(*KEYWORDS)))
-    entries = F.map_entries(lists)
-    noisy = F.exists(entries, lambda e: bad(e["key"], e["value"])) | F.forall(entries, lambda e: F.coalesce(F.size(e["value"]) == 0, F.lit(False)))
-    return F.coalesce(noisy, F.lit(True))
+    """Whether a JSON object of lists of symbols says nothing: blank, no object, without fields, all fields empty lists, a
+    keyword for a name, or a class of characters (``[a-z]``) in any list.
+
+    Fields that are no list of strings (nulls in it count as empty strings, null is an empty list) are no noise, and say
+    that there is something.
+    """
+    fields = F.map_entries(F.try_variant_get(F.try_parse_json(symbols), "$", "map<string,variant>"))
+    kind = lambda e: F.schema_of_variant(e["value"])
+    a_list = lambda e: kind(e).isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID")
+    strings = lambda e: F.coalesce(F.try_variant_get(e["value"], "$", "array<string>"), F.array().cast("array<string>"))
+    bad = lambda name, x: x.rlike(CHARACTER_CLASS) | (name.isin(*NAME_KINDS) & F.lower(x).isin(*KEYWORDS))
+    telling = F.exists(fields, lambda e: a_list(e) & F.exists(strings(e), lambda x: F.coalesce(bad(e["key"], x), F.lit(False))))
+    empty = F.forall(fields, lambda e: a_list(e) & (F.size(strings(e)) == 0))
+    return F.coalesce(telling | empty, F.lit(True))
 
 
 def diff_identifier(category: Column, name: Column) -> Column:

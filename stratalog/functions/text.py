@@ -113,6 +113,15 @@ def error_class(message: Column) -> Column:
     )
 
 
-def looks_minified(text: Column, most: int = 500) -> Column:
-    """Average line longer than ``most`` characters."""
-    return F.length(text) / (F.length(text) - F.length(F.translate(text, "\n", "")) + 1) > most
+# Bytes below which nothing is minified, bytes that are looked at, the longest line from which a text is,
+# and line ends a byte below which it is.
+MINIFIED_LEAST, MINIFIED_SEEN, MINIFIED_LINE, MINIFIED_ENDS = 512, 1 << 16, 2000, 0.002
+
+
+def looks_minified(text: Column) -> Column:
+    """A very long line and few line ends among the bytes that are looked at. False for short texts and null."""
+    head = F.decode(F.substring(F.encode(text, "UTF-8"), 1, MINIFIED_SEEN), "ISO-8859-1")  # a character a byte
+    lines = F.split(head, "\n", -1)
+    longest = F.array_max(F.transform(lines, lambda x: F.length(x)))
+    sparse = (F.size(lines) - 1) / F.length(head) < MINIFIED_ENDS
+    return F.coalesce((F.octet_length(text) >= MINIFIED_LEAST) & (longest >= MINIFIED_LINE) & sparse, F.lit(False))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalog.operators.work import running, written
+
 
 def fact_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """added, removed and modified keys with both values; keys that agree (nulls are equal) are left out."""
@@ -100,3 +102,20 @@ def running_budget(rows: DataFrame, group: str, order: Sequence, cost: str, budg
     near = placed.join(live, F.col(group).eqNullSafe(F.col("live group")) & (F.col("cell") == F.col("live cell")), "left_semi").drop("cell")
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return near.withColumn("running", F.sum(cost).over(w)).where(F.col("running") <= budget)
+
+
+def ranked_within_budget(
+    rows: DataFrame, signal: str, size: str, ref: str, source_length: str, most_bytes: int = 0, most_rows: int = 0, most_tokens: int = 0
+) -> DataFrame:
+    """The best rows that fit: by signal and size, largest first, then ``ref``; with ``place`` from 1 and ``tokens`` so far.
+
+    Rows of more than ``most_bytes`` are left out, and ``most_rows`` are taken at most. A row costs a quarter of its
+    source's length in whole tokens; the first row that would exceed ``most_tokens`` ends the list. 0 is no limit. One range
+    sort with running sums over all rows, whatever the budget.
+    """
+    small = rows.where(F.col(size) <= most_bytes) if most_bytes > 0 else rows
+    cost = small.withColumn("tokens here", F.floor(F.coalesce(F.col(source_length), F.lit(0)) / 4).cast("long"))
+    ranked = running(written(cost, "candidates"), [F.desc(signal), F.desc(size), F.col(ref)], ["tokens here"])
+    out = ranked.select(*rows.columns, (F.col("rank") + 1).alias("place"), (F.col("tokens here_before") + F.col("tokens here")).alias("tokens"))
+    out = out.where(F.col("place") <= most_rows) if most_rows > 0 else out
+    return out.where(F.col("tokens") <= most_tokens) if most_tokens > 0 else out

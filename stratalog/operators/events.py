@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import score as S
+from stratalog.operators.work import running, written
 
 
 def rollup(events: DataFrame, group: Sequence[str], kind: str, kinds: dict[str, str]) -> DataFrame:
@@ -78,24 +79,31 @@ def file_category(kind: Column) -> Column:
 
 
 def merged(streams: Sequence[DataFrame], ts: str, ties: Sequence[str]) -> DataFrame:
-    """Several streams as one, with ``day`` and ``number``: the place within the day, by time and then ``ties``.
+    """Several streams as one, with ``day`` and ``number``: the place within the day from 1, by time and then ``ties``.
 
-    A number within the day and not over all time, so that no task orders more than a day.
+    One range sort of all rows; a day's numbers are ranks less the day's first one, so no task orders a day.
     """
     both = functools.reduce(DataFrame.unionByName, streams).withColumn("day", F.to_date(ts))
-    return both.withColumn("number", F.row_number().over(Window.partitionBy("day").orderBy(ts, *ties)))
+    ranked = running(written(both, "merged"), ["day", ts, *ties])
+    first = ranked.groupBy("day").agg(F.min("rank").alias("first"))
+    placed = ranked.join(first.withColumnRenamed("day", "of"), F.col("day").eqNullSafe(F.col("of")))
+    return placed.select(*both.columns, (F.col("rank") - F.col("first") + 1).cast("int").alias("number"))
+
+
+#: Rows in a row of which one task looks back at the row before.
+LOOK_BACK = 100_000
 
 
 def changes_of_all(events: DataFrame, ts: str, order: str, value: str) -> DataFrame:
     """Events whose value differs from the one before, in one order of all events; the first is a change.
 
-    Each day is ordered on its own. The first event of a day meets the last value of the day before that has events: a
-    table with a row a day.
+    One range sort gives ranks; blocks of LOOK_BACK ranks look back within themselves, and the first of a block at the last
+    of the block before, which a join on the block's number finds.
     """
-    rows = events.withColumn("day", F.to_date(ts))
-    last = rows.groupBy("day").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(ts, order)).alias("last"))
-    last = last.select("day", F.lag("last").over(Window.orderBy("day")).alias("before day"))
-    w = Window.partitionBy("day").orderBy(ts, order)
-    before = F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(w), F.col("before day"))
-    both = rows.join(F.broadcast(last), "day").withColumn("before", before)
+    ranked = running(written(events, "events"), [ts, order]).withColumn("block", F.expr(f"rank div {LOOK_BACK}"))
+    own = F.struct(F.col(value).alias("v"))
+    last = ranked.where((F.col("rank") + 1) % LOOK_BACK == 0).select((F.col("block") + 1).alias("block"), own.alias("before block"))
+    w = Window.partitionBy("block").orderBy("rank")
+    before = F.coalesce(F.lag(own).over(w), F.col("before block"))
+    both = ranked.join(last, "block", "left").withColumn("before", before)
     return both.where(F.col("before").isNull() | ~F.col("before.v").eqNullSafe(F.col(value))).select(*events.columns)

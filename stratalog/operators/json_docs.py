@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.functions import score as S
+from stratalog.operators.work import written
 
 _FACT = "array<struct<category:string,key:string,value:string>>"
 
@@ -66,29 +67,36 @@ def risk(v: Column) -> Column:
     )
 
 
-def facts_of(v: Column) -> Column:
+_LISTS = (
+    "$.dependencies", "$.uwp_analyze.capabilities", "$.android_manifest.permissions", "$.urls", "$.endpoints", "$.network.endpoints",
+    "$.certificates", "$.auth.providers", "$.auth.schemes",
+)
+
+
+def facts_of(v: Column, lists: dict[str, Column], scored: Column) -> Column:
     """Facts (category, key, value) of a document: framework, dep, capability, url, cert, risk and auth.
 
-    Strings stand for themselves; of objects the name is the key and their JSON text the value. Elements without a name,
-    and values of other kinds, are no facts.
+    ``lists`` has the array at each path of _LISTS as structs (text, object), ``scored`` the risk. Strings stand for
+    themselves; of objects the name is the key and their JSON text the value. Elements without a name, and values of other
+    kinds, are no facts.
     """
     fact = lambda c, k, x: F.struct(F.lit(c).alias("category"), k.alias("key"), x.alias("value"))
     text = lambda x, name: string_of(part(x, f"$.{name}"))
     filled = lambda x: F.nullif(x, F.lit(""))
 
     def strings(c: str, path: str, key=lambda s: s) -> Column:
-        found = F.filter(F.transform(items(v, path), lambda x: filled(string_of(x))), lambda s: s.isNotNull())
-        return F.transform(found, lambda s: fact(c, key(s), s))
+        found = F.filter(lists[path], lambda x: filled(x["text"]).isNotNull())
+        return F.transform(found, lambda x: fact(c, key(x["text"]), x["text"]))
 
     def objects(c: str, path: str, key, value=F.to_json) -> Column:
-        return F.filter(F.transform(objects_of(v, path), lambda x: fact(c, key(x), value(x))), lambda f: f.key.isNotNull())
+        found = F.filter(lists[path], lambda x: x["object"].isNotNull())
+        return F.filter(F.transform(found, lambda x: fact(c, key(x["object"]), value(x["object"]))), lambda f: f.key.isNotNull())
 
     name = lambda x: filled(text(x, "name"))
     version = lambda x: F.coalesce(F.concat(text(x, "name"), F.lit("@"), filled(text(x, "version"))), F.to_json(x))
     spaced = lambda x: F.concat(F.coalesce(F.concat(filled(text(x, "namespace")), F.lit(":")), F.lit("")), name(x))
     print_of = lambda x: F.substr(F.coalesce(filled(text(x, "fingerprint")), filled(text(x, "subject"))), F.lit(1), F.lit(16))
     single = lambda c, k, x: F.when(x.isNotNull(), F.array(fact(c, F.lit(k), x))).otherwise(F.expr(f"cast(array() as {_FACT})"))
-    scored = risk(v)
     parts = [
         single("framework", "name", filled(string_of(part(v, "$.framework")))),
         strings("dep", "$.dependencies"),
@@ -106,16 +114,26 @@ def facts_of(v: Column) -> Column:
 
 
 def extract_facts(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, category, key, value) of every document; text that isn't JSON has no facts. No shuffle."""
-    found = rows.select(id_col, F.explode(facts_of(F.try_parse_json(F.col(json_col)))).alias("f"))
-    return found.select(id_col, "f.category", "f.key", "f.value")
+    """(id, category, key, value) of every document; text that isn't JSON has no facts. No shuffle.
+
+    A document is parsed once, each of its arrays is read once, and the kind of an element is told once: each in a
+    projection of its own, which the facts then share.
+    """
+    parsed = rows.select(F.col(id_col).alias("id of it"), F.try_parse_json(F.col(json_col)).alias("v"))
+    names = {path: f"list{i}" for i, path in enumerate(_LISTS)}
+    read = parsed.select("id of it", "v", risk(F.col("v")).alias("scored"), *[items(F.col("v"), path).alias(n) for path, n in names.items()])
+    told = lambda x: F.struct(string_of(x).alias("text"), F.when(kind(x).startswith("OBJECT"), x).alias("object"))
+    read = read.select("id of it", "v", "scored", *[F.transform(n, told).alias(n) for n in names.values()])
+    found = read.select("id of it", F.explode(facts_of(F.col("v"), {path: F.col(n) for path, n in names.items()}, F.col("scored"))).alias("f"))
+    return found.select(F.col("id of it").alias(id_col), "f.category", "f.key", "f.value")
 
 
 def pieces(rows: DataFrame, id_col: str, json_col: str, most: int = 0) -> DataFrame:
     """(id, path, value): objects are taken apart until their JSON text has at most ``most`` characters.
 
     Names of a path are joined by `` > ``; the document itself is ``(root)``. Arrays stay whole. With ``most`` 0 these are
-    the leaves. One narrow step a level of nesting, as many as the documents need; an empty object is a leaf.
+    the leaves. One narrow step a level of nesting, as many as the documents need; an empty object is a leaf. What is open
+    after a step is written, so a step reads its own level alone.
     """
     level = rows.select(id_col, F.lit("").alias("path"), F.try_parse_json(F.col(json_col)).alias("v")).where("v IS NOT NULL")
     out = None
@@ -124,12 +142,11 @@ def pieces(rows: DataFrame, id_col: str, json_col: str, most: int = 0) -> DataFr
         named = F.when(F.col("path") == "", "(root)").otherwise(F.col("path"))
         done = level.where(~nested).select(id_col, named.alias("path"), F.to_json("v").alias("value"))
         out = done if out is None else out.unionByName(done)
-        deeper = level.where(nested)
-        if deeper.isEmpty():
-            return out
         inner = F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("k", "v")
-        deeper = deeper.select(id_col, "path", inner)
-        level = deeper.select(id_col, F.concat_ws(" > ", F.nullif("path", F.lit("")), "k").alias("path"), "v")
+        deeper = level.where(nested).select(id_col, "path", inner)
+        level = written(deeper.select(id_col, F.concat_ws(" > ", F.nullif("path", F.lit("")), "k").alias("path"), "v"), "pieces")
+        if level.isEmpty():
+            return out
 
 
 def overlay_leaves(static: DataFrame, live: DataFrame, id_col: str, json_col: str) -> DataFrame:

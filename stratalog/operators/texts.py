@@ -7,6 +7,8 @@ import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,51 +85,62 @@ def triage(body: Column, name: Column | None = None, least: int = LEAST_BODY) ->
 
 @dataclass(frozen=True)
 class ComponentRule:
-    """Fits where all given parts fit: patterns of path and name, and a keyword of the lower-cased text."""
+    """Fits where all given parts fit: patterns of path and name, and any of the keywords in the lower-cased text.
+
+    Of two components the one with the lower priority number comes first. A rule without a part fits nothing.
+    """
 
     component: str
     confidence: float
     priority: int
-    keyword: str | None = None
+    keyword: str | Sequence[str] | None = None
     path: str | None = None
     name: str | None = None
     suppress: bool = False
 
-    def fits(self, text: Column, path: Column | None, name: Column | None) -> Column:
-        parts = [text.contains(self.keyword)] if self.keyword is not None else []
+    def fits(self, low: Column, path: Column | None, name: Column | None) -> Column:
+        words = [self.keyword] if isinstance(self.keyword, str) else list(self.keyword or ())
+        parts = [functools.reduce(operator.or_, [low.contains(w.lower()) for w in words])] if words else []
         parts += [path.rlike(self.path)] if self.path is not None else []
         parts += [name.rlike(self.name)] if self.name is not None else []
-        return functools.reduce(operator.and_, parts)
+        return F.coalesce(functools.reduce(operator.and_, parts), F.lit(False)) if parts else F.lit(False)
+
 
+def with_component(rows: DataFrame, rules: Sequence[ComponentRule], text: Column, path: Column | None = None, name: Column | None = None) -> DataFrame:
+    """``rows`` with ``component`` and ``confidence`` of the best rule that fits.
 
-def best_component(rules: Sequence[ComponentRule], text: Column, path: Column | None = None, name: Column | None = None) -> Column:
-    """(component, confidence) of the best rule that fits.
+    A suppressing rule that fits removes its component. Of the others the highest confidence wins, then the component's
+    priority, then the rule that was given first. Where the two best are of different components and equal in both, the
+    row is ambiguous: that, and no fit at all, give ``other`` with confidence 1.0.
 
-    A suppressing rule that fits removes its component; of the rest the highest confidence wins, then the lowest
-    priority number; equal best components are ambiguous and give ``other``. A rule set is code: every rule is an
-    expression of the row, so there is no join and no shuffle.
+    Confidence and priority are the rules' own, so rules are ordered once and for all; a row computes which of them fit,
+    once, in a projection of its own, and looks for the first two. There is no join and no shuffle.
     """
-    low = F.lower(text)
-    kind = "array<struct<rank:double,priority:int,component:string,confidence:double>>"
-    hit = lambda r: F.struct(F.lit(-r.confidence).alias("rank"), F.lit(r.priority).alias("priority"), F.lit(r.component).alias("component"), F.lit(r.confidence).alias("confidence"))
-    fits = [F.when(F.coalesce(r.fits(low, path, name), F.lit(False)), hit(r)) for r in rules if not r.suppress]
-    gone = [F.when(F.coalesce(r.fits(low, path, name), F.lit(False)), F.lit(r.component)) for r in rules if r.suppress]
-    found = F.filter(F.array(*fits), lambda x: x.isNotNull()).cast(kind)
-    gone = F.array(*gone) if gone else F.array().cast("array<string>")
-    found = F.array_sort(F.filter(found, lambda x: ~F.coalesce(F.array_contains(F.array_compact(gone), x.component), F.lit(False))))
-    # The best confidence and priority of a component decide, whichever of its rules they come from.
-    per = F.transform(
-        F.array_distinct(F.transform(found, lambda x: x.component)),
-        lambda c: F.struct(
-            F.array_min(F.transform(F.filter(found, lambda x: x.component == c), lambda x: x["rank"])).alias("rank"),
-            F.array_min(F.transform(F.filter(found, lambda x: x.component == c), lambda x: x.priority)).alias("priority"),
-            c.alias("component"),
-        ),
+    plain = sorted((r for r in rules if not r.suppress), key=lambda r: (-r.confidence, r.priority))
+    gone = [r for r in rules if r.suppress]
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("component", "confidence")]
+    given = {"low": F.lower(text), "path": F.lit(None).cast("string") if path is None else path, "name": F.lit(None).cast("string") if name is None else name}
+    at = rows.select(F.struct(*kept).alias("row"), *[v.alias(k) for k, v in given.items()])
+    fits = lambda r: r.fits(F.col("low"), F.col("path"), F.col("name"))
+    hits = at.select("row", F.array(*[fits(r) for r in plain]).alias("hits"), F.array(F.lit(False), *[fits(r) for r in gone]).alias("gone"))
+    if gone:
+        of = {r.component: [i for i, g in enumerate(gone, 1) if g.component == r.component] for r in plain}
+        free = lambda r: functools.reduce(operator.and_, [~F.get("gone", F.lit(i)) for i in of[r.component]], F.lit(True))
+        hits = hits.select("row", F.array(*[F.get("hits", F.lit(i)) & free(r) for i, r in enumerate(plain)]).alias("hits"))
+    first = hits.select("row", "hits", F.array_position("hits", True).alias("one"))
+    size = max(len(plain), 1)
+    rest = F.slice("hits", F.least(F.col("one") + 1, F.lit(size)).cast("int"), F.when(F.col("one") < size, size).otherwise(0))
+    two = first.select("row", F.col("one").cast("int"), F.when(F.col("one") > 0, F.col("one") + F.nullif(F.array_position(rest, True), F.lit(0))).cast("int").alias("two"))
+    rank = [sorted({(-r.confidence, r.priority) for r in plain}).index((-r.confidence, r.priority)) for r in plain]
+    of_rule = lambda values, place: F.get(F.array(*[F.lit(v) for v in values]) if values else F.array(F.lit(None).cast("string")), F.col(place) - 1)
+    names, sure = [r.component for r in plain], [float(r.confidence) for r in plain]
+    tied = (of_rule(rank, "one") == of_rule(rank, "two")) & (of_rule(names, "one") != of_rule(names, "two"))
+    clear = (F.col("one") > 0) & ~F.coalesce(tied, F.lit(False))
+    return two.select(
+        *[F.col("row")[c].alias(c) for c in rows.columns if c not in ("component", "confidence")],
+        F.when(clear, of_rule(names, "one")).otherwise("other").alias("component"),
+        F.when(clear, of_rule(sure, "one").cast("double")).otherwise(F.lit(1.0)).alias("confidence"),
     )
-    best = F.array_min(per)
-    tied = F.size(F.filter(per, lambda x: (x["rank"] == best["rank"]) & (x.priority == best.priority)))
-    named = F.when(tied == 1, best.component).otherwise("other")
-    return F.struct(named.alias("component"), F.coalesce(-best["rank"], F.lit(0.0)).alias("confidence"))
 
 
 #: A rule table is read up to this number of rules.
@@ -135,7 +148,7 @@ MOST_RULES = 2000
 
 
 def apply_rules(rows: DataFrame, rules: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``best_component`` by a table of rules (component, pattern, confidence, priority, suppress); other without any fit.
+    """``with_component`` by a table of rules (component, pattern, confidence, priority, suppress).
 
     The rules are read by the driver, MOST_RULES of them at most, and become expressions.
     """
@@ -143,13 +156,21 @@ def apply_rules(rows: DataFrame, rules: DataFrame, id_col: str, text: str) -> Da
     if len(read) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
     made = [ComponentRule(r.component, float(r.confidence), r.priority, keyword=r.pattern, suppress=r.suppress) for r in read]
-    best = rows.select(id_col, best_component(made, F.col(text)).alias("b"))
-    return best.select(id_col, F.coalesce("b.component", F.lit("other")).alias("component"), "b.confidence")
+    return with_component(rows.select(id_col, text), made, F.col(text)).select(id_col, "component", "confidence")
 
 
 def shannon_entropy(rows: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Bits per character of each text; 0 for an empty or null one. Characters are counted within the row."""
-    return rows.select(id_col, S.entropy(F.col(text)).alias("entropy"))
+    """Bits per character of each text; 0 for an empty or null one. Texts are counted where they are, in Arrow batches."""
+    bits = F.pandas_udf(_bits, "double").asNondeterministic()  # so that it runs once
+    return rows.select(id_col, bits(F.coalesce(F.col(text), F.lit(""))).alias("entropy"))
+
+
+def _bits(texts: pd.Series) -> pd.Series:
+    def of(text: str) -> float:
+        counts = np.unique(np.frombuffer(text.encode("utf-32-le"), "<u4"), return_counts=True)[1]
+        return float(np.log2(len(text)) - (counts * np.log2(counts)).sum() / len(text)) if text else 0.0
+
+    return texts.map(of).astype("float64")
 
 
 def postings(rows: DataFrame, key: str, value: str, block: int, name: str) -> DataFrame:
@@ -159,7 +180,8 @@ def postings(rows: DataFrame, key: str, value: str, block: int, name: str) -> Da
 
 
 def code_chunks(rows: DataFrame, id_col: str, body: str, lines: int = 50, overlap: int = 5) -> DataFrame:
-    """Windows of ``lines`` lines that overlap by ``overlap``: chunk number, first line (from 1), text."""
+    """Windows of ``lines`` lines that overlap by ``overlap``: chunk number, first line (from 1), text. Null has none."""
+    rows = rows.where(F.col(body).isNotNull())
     split = F.split(F.col(body), "\n")
     step = lines - overlap
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(split) - overlap - 1), F.lit(step))
@@ -188,15 +210,18 @@ def multiset_similarity(a: DataFrame, b: DataFrame, group: str, token: str) -> D
     return both.groupBy(group).agg((F.sum(F.least("n_a", "n_b")) / F.sum(F.greatest("n_a", "n_b"))).alias("similarity"))
 
 
-def markdown_sections(rows: DataFrame, id_col: str, body: str, levels: int = 6) -> DataFrame:
-    """Sections of a Markdown body: number, heading path (``A > B``), text below the heading.
+def markdown_sections(rows: DataFrame, id_col: str, body: str, levels: int = 4) -> DataFrame:
+    """Sections of a Markdown body: number from 0, title (the path of headings, ``A > B``), text, and whether it has code.
 
-    A heading ends all sections of its level and below. The stack of open headings is a running last value per level,
-    so no row of Python is needed; lines before the first heading have an empty path.
+    Headings of up to ``levels`` signs begin a section, which their line is part of; one ends all sections of its level and
+    below. Text before the first heading is titled ``Intro``, and so is a section whose headings are blank. Blank edges
+    are cut off, and sections that are blank are dropped. Code is a part between two fences. The stack of open headings is a
+    running last value per level, so no row of Python is needed.
     """
+    blank, shape = " \t\r\n\f\x0b", f"^(#{{1,{levels}}})[ \\t\\f\\r]+(.+)$"
     lines = rows.select(id_col, F.posexplode(F.split(F.col(body), "\n")).alias("i", "line"))
-    level = F.length(F.regexp_extract("line", "^(#{1,6}) ", 1))
-    lines = lines.withColumn("level", F.when(level > 0, level)).withColumn("title", F.trim(F.regexp_replace("line", "^#{1,6} ", "")))
+    level = F.length(F.regexp_extract("line", shape, 1))
+    lines = lines.withColumn("level", F.when(level > 0, level)).withColumn("title", F.btrim(F.regexp_extract("line", shape, 2), F.lit(blank)))
     w = Window.partitionBy(id_col).orderBy("i")
     opened = {f"at{k}": F.last(F.when(F.col("level") == k, F.col("i")), ignorenulls=True).over(w) for k in range(1, levels + 1)}
     titles = {f"title{k}": F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(w) for k in range(1, levels + 1)}
@@ -206,6 +231,8 @@ def markdown_sections(rows: DataFrame, id_col: str, body: str, levels: int = 6)
         above = F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(f"at{j}", F.lit(-1)) for j in range(1, k)])
         parts.append(F.when(F.col(f"at{k}") > above, F.col(f"title{k}")))
     path = F.concat_ws(" > ", *parts)
-    text = F.when(F.col("level").isNull(), F.struct("i", "line"))
-    grouped = lines.withColumn("path", path).groupBy(id_col, "section").agg(F.first("path").alias("path"), F.sort_array(F.collect_list(text)).alias("ls"))
-    return grouped.select(id_col, F.col("section").cast("int").alias("section"), "path", F.array_join(F.col("ls.line"), "\n").alias("text"))
+    grouped = lines.withColumn("path", path).groupBy(id_col, "section").agg(F.first("path").alias("path"), F.sort_array(F.collect_list(F.struct("i", "line"))).alias("ls"))
+    text = F.btrim(F.array_join(F.col("ls.line"), "\n"), F.lit(blank))
+    filled = grouped.select(id_col, "section", F.when(F.col("path") == "", "Intro").otherwise(F.col("path")).alias("title"), text.alias("text")).where("text <> ''")
+    number = F.row_number().over(Window.partitionBy(id_col).orderBy("section")) - 1
+    return filled.select(id_col, number.alias("section"), "title", "text", F.col("text").rlike("(?s)```.*?```").alias("has_code"))

@@ -190,6 +190,13 @@ def token_budget(spark, sf_dir):
     return changes.running_budget(rows, "app", ["body_size", "id"], "body_size", 200_000)
 
 
+def token_ranking(spark, sf_dir):
+    """The best modules within bounds: labelled ones first, then the largest; 6000 bytes a module, 300 modules, 60,000 tokens."""
+    rows = modules(spark, sf_dir).select("id", F.coalesce("quality", F.lit(-1)).alias("signal"), F.octet_length("body").alias("size"), F.length("body").alias("chars"))
+    found = changes.ranked_within_budget(rows, "signal", "size", "id", "chars", most_bytes=6000, most_rows=300, most_tokens=60_000)
+    return found.select("id", "signal", "size", "place", "tokens")
+
+
 def fingerprint(spark, sf_dir):
     """Stable keys of catalogue entries from their names and segments."""
     rows = table(spark, sf_dir, "customer")
@@ -235,7 +242,7 @@ QUERIES = {
         pending_with_enriched_sibling, orphan_rows, fk_violations, latest_snapshot, latest_nested, evolution_delta,
         series_summary, retention_gc, empty_snapshots, timeline_counts, timeline_payload, body_reuse, capture_summary,
         fact_diff_fullouter, consecutive_diff_all, diff_roles, app_unique, app_common_count, overlay_provenance,
-        token_budget, fingerprint, risk_level_ladder, scorecard_mean10, weighted_bucket_risk, precision_gate,
+        token_budget, token_ranking, fingerprint, risk_level_ladder, scorecard_mean10, weighted_bucket_risk, precision_gate,
     )
 }
 
@@ -341,6 +348,9 @@ ORACLE_SQL = {
             SELECT doc_id AS id, source AS app, n_chars AS body_size,
                    CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running
             FROM documents) WHERE running <= 200000""",
+    "token_ranking": """WITH m AS (SELECT d.doc_id AS id, coalesce(quality, -1) AS signal, CAST(strlen(text) AS INTEGER) AS size, length(text) // 4 AS t FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE strlen(text) <= 6000
+        ), r AS (SELECT id, signal, size, row_number() OVER w AS place, CAST(sum(t) OVER w AS BIGINT) AS tokens FROM m WINDOW w AS (ORDER BY signal DESC, size DESC, id ROWS UNBOUNDED PRECEDING))
+        SELECT * FROM r WHERE place <= 300 AND tokens <= 60000""",
     "fingerprint": r"""WITH s AS (SELECT *, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM customer)
         SELECT c_custkey, slug, substr(sha256(slug || '|' || lower(c_mktsegment)), 1, 16) AS kb_id FROM s""",
     "risk_level_ladder": """WITH s AS (SELECT least(floor(o_totalprice / 5000), 100) AS score FROM orders)

@@ -161,10 +161,19 @@ def changes_of_all(spark, sf_dir):
 
 
 def noise_flag(spark, sf_dir):
-    """Modules whose symbols are noise: nothing in them, keywords for names, or classes of characters of a pattern."""
-    which = (F.col("p_partkey") % 6 + 1).cast("int")
-    kinds = ('{"methods":["run"]}', '{"methods":["While"],"urls":["u"]}', '{"urls":["while"]}', '{"methods":[],"urls":[]}', "no json", '{"urls":["[a-z]"]}')
-    return table(spark, sf_dir, "part").select("p_partkey", S.is_noise(F.element_at(F.array(*[F.lit(k) for k in kinds]), which)).alias("noisy"))
+    """Symbol lists of every order and whether they say nothing: lists of its lines' flags and parts in fields of all kinds."""
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    word = F.element_at(F.array(*[F.lit(w) for w in ("run", "While", "[a-z]", "go", "open")]), (F.col("l_partkey") % 5 + 1).cast("int"))
+    flags = F.array_join(F.sort_array(F.collect_set(quoted("l_returnflag"))), ",")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        flags.alias("flags"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("l_linenumber") > 4, quoted(word)))), ",").alias("names"), F.max("l_linenumber").alias("n")
+    )
+    k, names = F.col("l_orderkey"), F.col("names")
+    field = F.element_at(F.array(*[F.lit(f) for f in ("methods", "urls", "types", "classes")]), (k % 4 + 1).cast("int"))
+    extra = F.element_at(F.array(*[F.lit(f) for f in ('"x":[]', '"x":{"y":1}', '"x":3', '"x":[1]', '"x":null', '"x":["a",null]', '"x":["[0-9]",7]')]), (k % 7 + 1).cast("int"))
+    lists = F.concat(F.lit('{"'), field, F.lit('":['), names, F.lit("],"), extra, F.lit("}"))
+    symbols = F.when(k % 11 == 0, F.lit(" ")).when(k % 11 == 1, F.lit("{}")).when(k % 11 == 2, F.concat(F.lit("["), names, F.lit("]"))).when(k % 11 == 3, F.concat(F.lit('{"functions":['), "flags", F.lit("]}"))).otherwise(lists)
+    return lines.select("l_orderkey", S.is_noise(symbols).alias("noisy"))
 
 
 def diff_identifiers(spark, sf_dir):
@@ -229,7 +238,18 @@ ORACLE_SQL = {
             UNION ALL SELECT o_orderdate, 'fs', o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'create' WHEN '2-HIGH' THEN 'modify' WHEN '5-LOW' THEN 'delete' END FROM orders)
         SELECT CAST(ts AS DATE) AS day, CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, stream, seq) AS INTEGER) AS number, stream, seq, type FROM u WHERE type IS NOT NULL""",
     "changes_of_all": """SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER (ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type""",
-    "noise_flag": "SELECT p_partkey, p_partkey % 6 IN (1, 3, 4, 5) AS noisy FROM part",
+    "noise_flag": r"""WITH w AS (SELECT *, '"' || (['run', 'While', '[a-z]', 'go', 'open'])[l_partkey % 5 + 1] || '"' AS word FROM lineitem
+        ), g AS (SELECT l_orderkey AS k, coalesce(string_agg(DISTINCT word, ',' ORDER BY word) FILTER (WHERE l_linenumber > 4), '') AS names, string_agg(DISTINCT '"' || l_returnflag || '"', ',' ORDER BY '"' || l_returnflag || '"') AS flags FROM w GROUP BY 1
+        ), s AS (SELECT k, CASE k % 11 WHEN 0 THEN ' ' WHEN 1 THEN '{}' WHEN 2 THEN '[' || names || ']' WHEN 3 THEN '{"functions":[' || flags || ']}'
+              ELSE '{"' || (['methods', 'urls', 'types', 'classes'])[k % 4 + 1] || '":[' || names || '],' || (['"x":[]', '"x":{"y":1}', '"x":3', '"x":[1]', '"x":null', '"x":["a",null]', '"x":["[0-9]",7]'])[k % 7 + 1] || '}' END AS j FROM g
+        ), o AS (SELECT k, CASE WHEN json_valid(j) AND json_type(j) = 'OBJECT' THEN CAST(j AS JSON) END AS j FROM s
+        ), f AS (SELECT k, unnest(json_keys(j)) AS name, j FROM o WHERE j IS NOT NULL
+        ), t AS (SELECT k, name, json_type(j, '$.' || name) AS kind, from_json(json_extract(j, '$.' || name), '["JSON"]') AS xs FROM f WHERE json_type(j, '$.' || name) = 'ARRAY'
+            UNION ALL SELECT k, name, json_type(j, '$.' || name), [] FROM f WHERE json_type(j, '$.' || name) <> 'ARRAY'
+        ), l AS (SELECT k, name, kind = 'NULL' OR (kind = 'ARRAY' AND len(list_filter(xs, lambda x: json_type(x) NOT IN ('VARCHAR', 'NULL'))) = 0) AS listed, list_transform(xs, lambda x: json_extract_string(x, '$')) AS xs FROM t
+        ), n AS (SELECT k, bool_or(listed AND len(list_filter(xs, lambda x: regexp_matches(x, '^\[[\^]?[A-Za-z0-9\\.\-_^$|?*+(){}\[\]]{1,20}\]$') OR (name IN ('methods', 'functions', 'classes', 'types') AND lower(x) IN ('while', 'go')))) > 0)
+                   OR bool_and(listed AND len(xs) = 0) AS noisy FROM l GROUP BY 1)
+        SELECT o.k AS l_orderkey, coalesce(noisy, true) AS noisy FROM o LEFT JOIN n ON n.k = o.k""",
     "diff_identifiers": """WITH c AS (SELECT *, CAST(l_partkey % 6 AS INTEGER) AS w, sha256(CAST(l_partkey AS VARCHAR)) AS d FROM lineitem)
         SELECT l_orderkey, l_linenumber, l_partkey, ['dep', 'cert', 'risk', 'module', 'capability', 'file'][w + 1] AS category,
                CASE w WHEN 0 THEN 'd' || l_partkey WHEN 2 THEN 'risk-score' WHEN 4 THEN 'uap:' || l_partkey ELSE substr(d, 1, 16) END AS identifier FROM c""",

@@ -54,7 +54,7 @@ def json_risk(spark, sf_dir):
 
 def json_pieces(spark, sf_dir):
     """Documents in pieces of at most 120 characters, but for arrays, counted by path."""
-    found = J.pieces(documents(spark, sf_dir).where("id % 4 <> 3"), "id", "doc", 120)
+    found = J.pieces(documents(spark, sf_dir), "id", "doc", 120)
     return found.groupBy("path").agg(F.count("*").alias("n"))
 
 
@@ -109,9 +109,9 @@ ORACLE_SQL = {
         SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 3 THEN CAST({_SCORE} AS BIGINT) END AS score,
                CASE WHEN o_orderkey % 4 = 3 THEN 'unknown' WHEN o_orderkey % 8 = 0 THEN 'odd' ELSE {_LEVEL} END AS level FROM o""",
     "json_pieces": f"""WITH {_ORDERS}, c AS (SELECT o_orderkey AS k, {_SCORE} AS score, (SELECT sum(length('"https://s' || (l_suppkey % 7) || '.example.com/p/' || l_partkey || '?q=1"') + 1) - 1
-                   FROM lineitem WHERE l_orderkey = o_orderkey) AS urls FROM o WHERE o_orderkey % 4 <> 3), p AS (
+                   FROM lineitem WHERE l_orderkey = o_orderkey) AS urls FROM o), p AS (
             SELECT unnest(['certificates', 'framework', 'dependencies', CASE WHEN urls + 16 > 120 THEN 'network > endpoints' ELSE 'network' END]) AS path FROM c
-            UNION ALL SELECT 'security' FROM c WHERE k % 4 = 1 UNION ALL SELECT 'android_manifest' FROM c WHERE k % 4 = 2
+            UNION ALL SELECT 'security' FROM c WHERE k % 4 IN (1, 3) UNION ALL SELECT 'auth' FROM c WHERE k % 4 = 3 UNION ALL SELECT 'android_manifest' FROM c WHERE k % 4 = 2
             UNION ALL SELECT CASE WHEN length('{{"capabilities":[{{"name":"net","namespace":"uap"}},"raw",{{"name":"cam"}},7],"score":{{"level":"' || CASE WHEN k % 8 = 0 THEN 'odd' ELSE '' END || '","value":' || score || '}}}}') > 120
                                   THEN 'split' ELSE 'uwp_analyze' END FROM c WHERE k % 4 = 0)
         SELECT path, count(*) AS n FROM p GROUP BY path""",

@@ -147,8 +147,9 @@ _RULES = (
 def component_rules(spark, sf_dir):
     rules = [texts.ComponentRule(c, conf, prio, keyword=p, suppress=gone) for c, p, conf, prio, gone in _RULES]
     rules.append(texts.ComponentRule("site", 0.95, 1, keyword="released", path="^src1", name="^(en|de)$"))
-    best = texts.best_component(rules, F.col("text"), F.col("source"), F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", best.alias("b")).select("doc_id", F.coalesce("b.component", F.lit("other")).alias("component"), "b.confidence")
+    rules.append(texts.ComponentRule("listed", 0.8, 2, keyword=("Unter", "sous ", "bajo ")))
+    found = texts.with_component(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), rules, F.col("text"), F.col("source"), F.col("lang"))
+    return found.select("doc_id", "component", "confidence")
 
 
 _BUCKETS = (("^https?://(www|blog|m)\\.", "site"), ("/(en|de)/", "germanic"), ("/(fr|es)/", "romance"))
@@ -231,7 +232,7 @@ def registry_materialize(spark, sf_dir):
     cats = spark.sql("SELECT * FROM VALUES ('auth', array(0, 1)), ('crypto', array(0, 2, 3)), ('ui', NULL) AS t(category, regions)")
     every = table(spark, sf_dir, "region").agg(F.sort_array(F.collect_list("r_regionkey")).alias("every"))
     rows = cats.join(F.broadcast(every)).select("category", F.explode(F.coalesce("regions", "every")).alias("n_regionkey"))
-    return table(spark, sf_dir, "nation").join(F.broadcast(rows), "n_regionkey").select("n_name", "category")
+    return table(spark, sf_dir, "nation").join(matching.small(rows), "n_regionkey").select("n_name", "category")
 
 
 def code_chunks(spark, sf_dir):
@@ -251,7 +252,7 @@ def hierarchy_depth(spark, sf_dir):
 def dependency_resolution(spark, sf_dir):
     """Ids of the nations that customers name within the region of their own nation."""
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("grp"))
-    named = table(spark, sf_dir, "customer").join(F.broadcast(nations.select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "grp")), "c_nationkey")
+    named = table(spark, sf_dir, "customer").join(matching.small(nations.select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "grp")), "c_nationkey")
     edges = named.select("c_custkey", "n_name", F.when(F.col("c_custkey") % 7 == 0, F.col("grp") + 1).otherwise(F.col("grp")).alias("grp"))
     return graph.resolve_names(edges, nations, "grp", "n_name", "n_nationkey").select("c_custkey", "to_id")
 
@@ -270,7 +271,21 @@ def sections(spark, sf_dir):
     reports = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("ls"))
     text = F.concat(F.lit("intro\n# Order "), "l_orderkey", F.lit("\n"), F.array_join(F.transform("ls", lambda x: x.t), "\n"))
     found = texts.markdown_sections(reports.select("l_orderkey", text.alias("report")), "l_orderkey", "report")
-    return found.select("l_orderkey", "section", "path", "text")
+    return found.select("l_orderkey", "section", "title", "text", "has_code")
+
+
+def document_sections(spark, sf_dir):
+    """Sections of all documents, whose lines are headings and fences here and there."""
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.when((F.length(x) + i) % 5 == 0, F.concat(F.repeat(F.lit("#"), F.length(x) % 6), F.lit(" "), x)).when((F.length(x) + i) % 7 == 0, F.concat(F.lit("```"), x)).otherwise(x))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_join(line, "\n").alias("t"))
+    found = texts.markdown_sections(rows, "doc_id", "t")
+    return found.select("doc_id", "section", "title", F.md5("text").alias("text_md5"), "has_code")
+
+
+def minified_flag(spark, sf_dir):
+    """Documents that look minified: as they are, and with all line ends taken out of every other one."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.translate("text", "\n", " ")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.looks_minified(text).alias("minified"))
 
 
 def source_chunks(spark, sf_dir):
@@ -292,7 +307,8 @@ QUERIES = {
         group_by_origin, domain_type_counts, endpoint_dedup, low_signal_urls, host_match, inverted_index,
         version_posture_range_join, outdated_by, alias_merge, topic_derive, component_rules, bucket_classify, vendored_flag,
         triage, symbol_extract, entropy, threat_score, typosquat, multiset_jaccard, hamming_severity, css_last_wins,
-        registry_materialize, code_chunks, hierarchy_depth, dependency_resolution, summary_lines, canonical_groups, sections, source_chunks,
+        registry_materialize, code_chunks, hierarchy_depth, dependency_resolution, summary_lines, canonical_groups, sections, document_sections, source_chunks,
+        minified_flag,
     )
 }
 
@@ -315,7 +331,7 @@ _VENDORED = r"""vend AS (
                    OR contains(body, 'clerk.com') OR contains(body, 'Clerk: ') OR contains(body, '@clerk/') OR contains(body, 'mermaid')
                    OR contains(stripped, '(function(global,factory)') OR contains(stripped, 'typeofexports==="object"&&typeofmodule!=="undefined"')
                    OR contains(replace(stripped, chr(39), '`'), 'typeofexports===`object`&&typeofmodule!==`undefined`')
-                   OR regexp_matches(body, '(?:from|require\(|import)\s*\(?\s*["'']@[a-z0-9][\w.-]*/[\w.-]+')
+                   OR regexp_matches(body, '(?:require\(|from\s+|import\s+)["'']@[a-z0-9][a-z0-9._-]*/[a-z0-9][a-z0-9._/-]*["'']')
                    OR (contains(body, '"scopeName"') AND (contains(body, '"patterns"') OR contains(body, '"repository"'))) AS vendored
             FROM (SELECT doc_id, source AS app, text AS body, regexp_replace(text, '[ \t\n\r\f\v]', '', 'g') AS stripped FROM documents))"""
 _TOPIC = " ".join(
@@ -378,16 +394,15 @@ ORACLE_SQL = {
         FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""",
     "topic_derive": f"""SELECT CASE {_TOPIC} WHEN turn % 3 = 0 THEN 'auth' ELSE 'other' END AS topic, count(*) AS n
         FROM (SELECT turn, lower(coalesce(role, '') || ' ' || coalesce(substr(text, 1, 60), '')) AS low FROM conversations) GROUP BY 1""",
-    "component_rules": """WITH r AS (SELECT * FROM (VALUES ('licence', 'licensed under', 0.9, 1, false), ('licence', 'released under', 0.8, 2, false), ('prose', 'the', 0.5, 5, false),
-            ('prose', '###', 0.5, 5, true), ('french', 'eau', 0.6, 3, false), ('spanish', 'ción', 0.6, 3, false), ('german', 'keit', 0.6, 3, false)) t(component, pattern, confidence, priority, suppress)
-        ), m AS (SELECT doc_id, component, confidence, priority, suppress FROM documents JOIN r ON contains(lower(text), pattern)
-            UNION ALL SELECT doc_id, 'site', 0.95, 1, false FROM documents WHERE contains(lower(text), 'released') AND source LIKE 'src1%' AND lang IN ('en', 'de')
-        ), p AS (SELECT doc_id, component, max(confidence) AS confidence, min(priority) AS priority FROM m GROUP BY 1, 2 HAVING NOT bool_or(suppress)
-        ), k AS (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY confidence DESC, priority) AS place FROM p), b AS (
-            SELECT doc_id, CASE WHEN count(*) = 1 THEN min(component) ELSE 'other' END AS component, max(confidence) AS confidence
-            FROM k WHERE place = 1 GROUP BY 1)
-        SELECT d.doc_id, coalesce(component, 'other') AS component, coalesce(CAST(confidence AS DOUBLE), 0.0) AS confidence
-        FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id""",
+    "component_rules": """WITH r AS (SELECT * FROM (VALUES (1, 'licence', 'licensed under', 0.9, 1, false), (2, 'licence', 'released under', 0.8, 2, false), (3, 'prose', 'the', 0.5, 5, false),
+            (4, 'prose', '###', 0.5, 5, true), (5, 'french', 'eau', 0.6, 3, false), (6, 'spanish', 'ción', 0.6, 3, false), (7, 'german', 'keit', 0.6, 3, false)) t(i, component, pattern, confidence, priority, suppress)
+        ), m AS (SELECT doc_id, i, component, confidence, priority, suppress FROM documents JOIN r ON contains(lower(text), pattern)
+            UNION ALL SELECT doc_id, 8, 'site', 0.95, 1, false FROM documents WHERE contains(lower(text), 'released') AND source LIKE 'src1%' AND lang IN ('en', 'de')
+            UNION ALL SELECT doc_id, 9, 'listed', 0.8, 2, false FROM documents WHERE contains(lower(text), 'unter') OR contains(lower(text), 'sous ') OR contains(lower(text), 'bajo ')
+        ), k AS (SELECT doc_id, component, confidence, priority, row_number() OVER w AS place, lead(component) OVER w AS next, lead(confidence) OVER w AS next_confidence, lead(priority) OVER w AS next_priority
+            FROM m WHERE NOT suppress AND (doc_id, component) NOT IN (SELECT (doc_id, component) FROM m WHERE suppress) WINDOW w AS (PARTITION BY doc_id ORDER BY confidence DESC, priority, i)
+        ), b AS (SELECT doc_id, component, CAST(confidence AS DOUBLE) AS confidence FROM k WHERE place = 1 AND NOT coalesce(next <> component AND next_confidence = confidence AND next_priority = priority, false))
+        SELECT d.doc_id, coalesce(component, 'other') AS component, coalesce(confidence, 1.0) AS confidence FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id""",
     "bucket_classify": """SELECT page_id, CASE {} ELSE 'unknown' END AS bucket FROM pages""".format(
         " ".join(f"WHEN regexp_matches(url, '{p}') THEN '{b}'" for p, b in _BUCKETS)
     ),
@@ -435,8 +450,22 @@ ORACLE_SQL = {
                ELSE (SELECT min(m.n_nationkey) FROM nation m WHERE m.n_name = n.n_name AND m.n_regionkey = n.n_regionkey) END AS to_id
         FROM customer JOIN nation n ON n.n_nationkey = c_nationkey""",
     "sections": """WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_partkey AS p, CAST(l_quantity AS INTEGER) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS i FROM lineitem)
-        SELECT l_orderkey, CAST(i + 1 AS INTEGER) AS section, 'Order ' || l_orderkey || ' > Line ' || n AS path, 'part ' || p || chr(10) || chr(10) || 'qty ' || q AS text FROM l
-        UNION ALL SELECT DISTINCT l_orderkey, 1, 'Order ' || l_orderkey, '' FROM l UNION ALL SELECT DISTINCT l_orderkey, 0, '', 'intro' FROM l""",
+        SELECT l_orderkey, CAST(i + 1 AS INTEGER) AS section, 'Order ' || l_orderkey || ' > Line ' || n AS title, '## Line ' || n || chr(10) || 'part ' || p || chr(10) || chr(10) || 'qty ' || q AS text, false AS has_code FROM l
+        UNION ALL SELECT DISTINCT l_orderkey, 1, 'Order ' || l_orderkey, '# Order ' || l_orderkey, false FROM l UNION ALL SELECT DISTINCT l_orderkey, 0, 'Intro', 'intro', false FROM l""",
+    "document_sections": r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL
+        ), l AS (SELECT doc_id, i, CASE WHEN (length(x) + i) % 5 = 0 THEN repeat('#', length(x) % 6) || ' ' || x WHEN (length(x) + i) % 7 = 0 THEN '```' || x ELSE x END AS line FROM x
+        ), h AS (SELECT *, nullif(length(regexp_extract(line, '^(#{1,4})[ \t\f\r]+(.+)$', 1)), 0) AS level, trim(regexp_extract(line, '^(#{1,4})[ \t\f\r]+(.+)$', 2), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM l
+        ), s AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM h
+        ), heads AS (SELECT doc_id, s, level, t FROM s WHERE level IS NOT NULL
+        ), stack AS (SELECT a.doc_id, a.s, string_agg(b.t, ' > ' ORDER BY b.s) AS title FROM heads a JOIN heads b ON b.doc_id = a.doc_id AND b.s <= a.s
+            WHERE NOT EXISTS (SELECT 1 FROM heads c WHERE c.doc_id = a.doc_id AND c.s > b.s AND c.s <= a.s AND c.level <= b.level) GROUP BY 1, 2
+        ), g AS (SELECT doc_id, s, trim(string_agg(line, chr(10) ORDER BY i), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM s GROUP BY 1, 2)
+        SELECT g.doc_id, CAST(row_number() OVER (PARTITION BY g.doc_id ORDER BY g.s) - 1 AS INTEGER) AS section, coalesce(nullif(title, ''), 'Intro') AS title, md5(text) AS text_md5, regexp_matches(text, '(?s)```.*?```') AS has_code
+        FROM g LEFT JOIN stack ON stack.doc_id = g.doc_id AND stack.s = g.s WHERE text <> ''""",
+    "minified_flag": """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), ' ') ELSE text END AS text FROM documents
+        ), h AS (SELECT doc_id, strlen(text) AS n, encode(text)[1:65536] AS head FROM t
+        ), f AS (SELECT doc_id, n, string_split(regexp_replace(regexp_replace(hex(head), '(..)', '\\1 ', 'g'), '0A ', chr(10), 'g'), chr(10)) AS ls, octet_length(head) AS seen FROM h)
+        SELECT doc_id, coalesce(n >= 512 AND list_max(list_transform(ls, lambda x: length(x) // 3)) >= 2000 AND (len(ls) - 1) / seen < 0.002, false) AS minified FROM f""",
     "source_chunks": """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE strlen(text) > 4096), c AS (
             SELECT doc_id, l, unnest(range(0, greatest(0, len(l) - 3) + 1, 6)) AS start FROM s)
         SELECT doc_id, CAST(start // 6 AS INTEGER) AS chunk, 'Lines ' || (start + 1) || '-' || least(start + 8, len(l)) AS title,

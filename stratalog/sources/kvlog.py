@@ -1,56 +1,12 @@
-"""Key-value logs: one JSON object a line.
-
-``key_value_log`` reads them with Spark's text reader, from any file system and with large files split. The data source
-``kvlog`` opens files itself, one a partition: it is for files that every machine has, such as those of a test.
-"""
+"""Key-value logs: one JSON object a line, read by Spark's text reader, from any file system and with large files split."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 
 def key_value_log(spark: SparkSession, *paths: str) -> DataFrame:
     """origin (the file's name), key, value, sequence, type; lines that don't parse, or lack one of these but value, are skipped."""
     lines = spark.read.text(list(paths)).select(F.col("_metadata.file_name").alias("origin"), F.from_json("value", "key string, value string, sequence bigint, type string").alias("e"))
     return lines.select("origin", "e.*").where("key IS NOT NULL AND sequence IS NOT NULL AND type IS NOT NULL")
-
-
-class KeyValueLog(DataSource):
-    """``spark.read.format("kvlog").option("paths", "a,b")``: origin, key, value, sequence, type.
-
-    Lines that don't parse are skipped. A file's name is its origin.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "kvlog"
-
-    def schema(self) -> str:
-        return "origin string, key string, value string, sequence bigint, type string"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return KeyValueReader(self.options)
-
-
-class KeyValueReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.paths = [p for p in options["paths"].split(",") if p]
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path = partition.value
-        with open(path, encoding="utf-8", errors="replace") as lines:
-            for line in lines:
-                try:
-                    entry = json.loads(line)
-                    yield path.rsplit("/", 1)[-1], str(entry["key"]), entry.get("value"), int(entry["sequence"]), str(entry["type"])
-                except (ValueError, KeyError, TypeError):
-                    continue

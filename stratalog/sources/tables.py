@@ -1,45 +1,13 @@
-"""Catalogue tables as Parquet folders: merges written as a new version, and exports in a fixed order."""
+"""Catalogue tables as JSON lines in a fixed order; ``operators.export`` writes whole exports with a checksum."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-class VersionedTable:
-    """A table whose versions are folders ``v=N`` below a path; a reader sees the newest whole one.
-
-    A merge writes the next folder from the last one. A job that dies leaves a folder without ``_SUCCESS``, which
-    readers pass over, so a table is either before or after a merge.
-    """
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _versions(self) -> list[int]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(int(n.getName()[2:]) for n in names if n.getName().startswith("v=") and fs.exists(path(n, "_SUCCESS")))
-
-    def read(self) -> DataFrame | None:
-        versions = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v={versions[-1]}") if versions else None
-
-    def merge(self, new: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-        """Write ``how(old, new)`` as the next version; the first version is ``new`` merged into an empty table."""
-        versions = self._versions()
-        old = self.read() if versions else new.limit(0)
-        target = f"{self.path}/v={versions[-1] + 1 if versions else 0}"
-        how(old, new).write.mode("overwrite").parquet(target)
-        return self.spark.read.parquet(target)
-
-
 def export_jsonl(df: DataFrame, path: str, order: Sequence[str]) -> None:
     """One JSON object a line with its fields sorted by name; files and lines in the given order."""
     fields = F.to_json(F.struct(*sorted(df.columns)))

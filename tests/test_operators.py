@@ -8,8 +8,7 @@ from stratalog.functions import text as X
 from stratalog.functions.canonical import canonical_hash
 from stratalog.operators import changes, events, graph, keys, matching, search, texts
 from stratalog.sources import files
-from stratalog.sources.kvlog import KeyValueLog
-from stratalog.sources.tables import VersionedTable, export_jsonl, import_jsonl
+from stratalog.sources.tables import export_jsonl, import_jsonl
 
 
 def values(df, *order):
@@ -148,9 +147,73 @@ def test_near_names_as_all_pairs(spark):
 
 def test_component_rules(spark):
     rules = spark.createDataFrame([("auth", "login", 0.9, 1, False), ("ui", "render", 0.9, 1, False), ("ui", "mock", 0.1, 9, True)], "component string, pattern string, confidence double, priority int, suppress boolean")
-    rows = spark.createDataFrame([(1, "LOGIN page"), (2, "login render"), (3, "login render mock"), (4, "")], "id int, t string")
-    got = {r.id: r.component for r in texts.apply_rules(rows, rules, "id", "t").collect()}
-    assert got == {1: "auth", 2: "other", 3: "auth", 4: "other"}
+    rows = spark.createDataFrame([(1, "LOGIN page"), (2, "login render"), (3, "login render mock"), (4, ""), (5, None)], "id int, t string")
+    got = {r.id: (r.component, r.confidence) for r in texts.apply_rules(rows, rules, "id", "t").collect()}
+    assert got == {1: ("auth", 0.9), 2: ("other", 1.0), 3: ("auth", 0.9), 4: ("other", 1.0), 5: ("other", 1.0)}
+
+
+def brute_component(rules, text, path, name):
+    import re
+
+    def fits(r):
+        words = [r.keyword] if isinstance(r.keyword, str) else list(r.keyword or ())
+        parts = [any(w.lower() in text.lower() for w in words)] if words else []
+        parts += [bool(re.search(r.path, path))] if r.path else []
+        parts += [bool(re.search(r.name, name))] if r.name else []
+        return bool(parts) and all(parts)
+
+    gone = {r.component for r in rules if r.suppress and fits(r)}
+    found = sorted((r for r in rules if not r.suppress and r.component not in gone and fits(r)), key=lambda r: (-r.confidence, r.priority))
+    if not found:
+        return "other", 1.0
+    if len(found) > 1 and (found[0].confidence, found[0].priority) == (found[1].confidence, found[1].priority) and found[0].component != found[1].component:
+        return "other", 1.0
+    return found[0].component, found[0].confidence
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_component_rules_as_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = ["alpha", "Beta", "gamma", "delta"]
+    part = lambda: rng.choice([None, None, "^a", "b$"])
+    rules = [
+        texts.ComponentRule(rng.choice("xyz"), rng.choice([0.5, 0.9]), rng.choice([1, 2]), keyword=rng.choice([None, "alpha", ("Beta", "gamma"), ("delta",)]), path=part(), name=part(), suppress=rng.random() < 0.2)
+        for _ in range(rng.randint(0, 9))
+    ]
+    rows = [(i, " ".join(rng.sample(words, rng.randint(0, 4))), rng.choice(["ab", "b", "a"]), rng.choice(["ab", "c"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, t string, p string, n string").withColumn("hits", F.lit("mine")).withColumn("component", F.lit("old"))
+    got = texts.with_component(df, rules, F.col("t"), F.col("p"), F.col("n")).collect()
+    want = {i: brute_component(rules, t, p, n) for i, t, p, n in rows}
+    assert {r.id: (r.component, r.confidence) for r in got} == want and all(r.hits == "mine" for r in got)
+
+
+def test_noise(spark):
+    clean = ['{"methods":["run"]}', '{"urls":["while"]}', '{"a":{"x":1},"methods":["run"]}', '{"n":3,"methods":["run"]}', '{"methods":["run",null]}', '{"a":{}}', '{"a":[1]}', '{"methods":["a[b]"]}', '{"a":"[a-z]"}']
+    noisy = ["", "  ", None, "no json", "[]", "{}", "null", '{"methods":["While"]}', '{"types":["go"]}', '{"urls":["[a-z]"]}', '{"x":["[^0-9]"],"methods":["run"]}', '{"methods":[],"urls":[]}', '{"methods":null}', '{"a":1,"functions":["return"]}']
+    df = spark.createDataFrame([(s, w) for w, xs in ((False, clean), (True, noisy)) for s in xs], "s string, want boolean")
+    assert [r.s for r in df.where(S.is_noise(F.col("s")) != F.col("want")).collect()] == []
+
+
+def test_minified(spark):
+    cases = [("x" * 3000, True), ("x" * 511, False), ("x" * 1999, False), ("x" * 2000, True), ("a\n" * 50 + "x" * 3000, False), ("a\n" + "x" * 3000, True), ("é" * 1000, True), ("é" * 999, False), (None, False), ("", False), ("ok\n" * 30000 + "x" * 5000, False)]
+    df = spark.createDataFrame(cases, "t string, want boolean")
+    assert df.where(X.looks_minified(F.col("t")) != F.col("want")).count() == 0
+
+
+def test_scoped_imports(spark):
+    yes = ["require('@a/b')", 'from "@scope/pkg"', "import  '@x/y-z/w'", "from\t'@a.b/c'"]
+    no = ["require('@A/b')", "import('@a/b')", "from '@a/b", "require( '@a/b')", "from'@a/b'", "'@a/b'"]
+    df = spark.createDataFrame([(s, w) for w, xs in ((True, yes), (False, no)) for s in xs], "s string, want boolean")
+    assert df.where(texts.is_vendored(F.col("s")) != F.col("want")).count() == 0
+
+
+def test_ranking_within_budget(spark):
+    rows = [(1, 5, 10, "a", 40), (2, 5, 20, "b", 81), (3, 9, 900, "c", 4), (4, 9, 5, "d", 7), (5, 1, 1, "e", None), (6, 5, 10, "A", 12)]
+    df = spark.createDataFrame(rows, "id int, signal int, size int, ref string, n int")
+    take = lambda **k: [(r.id, r.place, r.tokens) for r in changes.ranked_within_budget(df, "signal", "size", "ref", "n", **k).orderBy("place").collect()]
+    assert take() == [(3, 1, 1), (4, 2, 2), (2, 3, 22), (6, 4, 25), (1, 5, 35), (5, 6, 35)]
+    assert take(most_bytes=100) == [(4, 1, 1), (2, 2, 21), (6, 3, 24), (1, 4, 34), (5, 5, 34)]
+    assert take(most_rows=2) == [(3, 1, 1), (4, 2, 2)] and take(most_tokens=24) == [(3, 1, 1), (4, 2, 2), (2, 3, 22)]
 
 
 def test_entropy_and_chunks(spark):
@@ -176,8 +239,13 @@ def test_markdown_sections(spark):
     rows = spark.createDataFrame([(1, body), (2, "plain")], "id int, t string")
     got = [tuple(r) for r in texts.markdown_sections(rows, "id", "t").orderBy("id", "section").collect()]
     assert got == [
-        (1, 0, "", "intro"), (1, 1, "A", "text"), (1, 2, "A > B", "b1\nb2"), (1, 3, "A > B > C", ""), (1, 4, "A > D", "d"),
-        (1, 5, "E", "#no heading"), (2, 0, "", "plain"),
+        (1, 0, "Intro", "intro", False), (1, 1, "A", "# A\ntext", False), (1, 2, "A > B", "## B\nb1\nb2", False), (1, 3, "A > B > C", "### C", False),
+        (1, 4, "A > D", "## D\nd", False), (1, 5, "E", "# E\n#no heading", False), (2, 0, "Intro", "plain", False),
+    ]
+    more = [(3, "\n \n# A\n\n##### five\n```x\ny```\n\n"), (4, "#  \nrest"), (5, " \n\t"), (6, None), (7, "#### d\n# a\n### c"), (8, "``` open")]
+    got = [tuple(r) for r in texts.markdown_sections(spark.createDataFrame(more, "id int, t string"), "id", "t").orderBy("id", "section").collect()]
+    assert got == [
+        (3, 0, "A", "# A\n\n##### five\n```x\ny```", True), (4, 0, "Intro", "#  \nrest", False), (7, 0, "d", "#### d", False), (7, 1, "a", "# a", False), (7, 2, "a > c", "### c", False), (8, 0, "Intro", "``` open", False),
     ]
 
 
@@ -188,18 +256,10 @@ def test_levels_with_a_cycle(spark, tmp_path):
     assert got == {"c": 0, "b": 1, "a": 2, "x": None, "y": None, "z": None}
 
 
-def test_versioned_table_and_jsonl(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"))
-    assert table.read() is None
-    first = spark.createDataFrame([(1, 1, "a")], "k int, version int, v string")
-    merge = lambda old, new: keys.upsert_latest(old, new, ["k"], "version")
-    table.merge(first, merge)
-    table.merge(spark.createDataFrame([(1, 2, "b"), (2, 1, "c")], "k int, version int, v string"), merge)
-    assert values(table.read()) == [(1, 2, "b"), (2, 1, "c")]
-    (tmp_path / "t" / "v=7").mkdir()  # a merge that died
-    assert values(table.read()) == [(1, 2, "b"), (2, 1, "c")]
-    export_jsonl(table.read(), str(tmp_path / "out"), ["k"])
-    assert values(import_jsonl(spark, str(tmp_path / "out"), "k int, version int, v string")) == values(table.read())
+def test_jsonl(spark, tmp_path):
+    df = spark.createDataFrame([(2, 1, "c"), (1, 2, "b")], "k int, version int, v string")
+    export_jsonl(df, str(tmp_path / "out"), ["k"])
+    assert values(import_jsonl(spark, str(tmp_path / "out"), "k int, version int, v string")) == values(df)
 
 
 def test_file_sources(spark, tmp_path):
@@ -216,10 +276,3 @@ def test_file_sources(spark, tmp_path):
     assert [r.event_type for r in files.usage_events(spark, str(tmp_path / "u.jsonl")).collect()] == ["a"]
     (tmp_path / "s.json").write_text(json.dumps({"session": "s1", "events": [{"seq": 1, "type": "dom", "data": "{}"}, {"seq": 2, "type": "net"}]}))
     assert [(r.session, r.seq) for r in files.capture_sessions(spark, str(tmp_path / "s.json")).collect()] == [("s1", 1), ("s1", 2)]
-
-
-def test_key_value_source(spark, tmp_path):
-    (tmp_path / "one.log").write_text('{"key": "a", "value": "1", "sequence": 1, "type": "put"}\n{broken\n{"key": "a", "sequence": 2, "type": "delete"}\n')
-    spark.dataSource.register(KeyValueLog)
-    df = spark.read.format("kvlog").option("paths", str(tmp_path / "one.log")).load()
-    assert values(df.select("origin", "key", "value", "sequence", "type"), "sequence") == [("one.log", "a", "1", 1, "put"), ("one.log", "a", None, 2, "delete")]
