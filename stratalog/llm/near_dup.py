@@ -28,6 +28,8 @@ from stratalog.llm.shingles import MinHash, WordHashes, odd_numbers, shingle_set
 
 #: Pairs that share a shingle and are made in one task, at most.
 PAIRS_A_TASK = 1_000_000
+#: Large buckets in which a member meets others, and the members of a cell of such a bucket on average.
+PICKS, CELL = 12, 5
 
 
 @dataclass(frozen=True)
@@ -126,17 +128,23 @@ def _buckets(nodes: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def _meetings(members: DataFrame) -> DataFrame:
-    """Pairs (a, b): members of a bucket with its first and last member.
+    """Pairs (a, b): members of a bucket that meet before the exact comparison.
 
-    In buckets of up to three members these are all pairs. Of its larger buckets a member meets the first of all first
-    members and the last of all last ones only: two pairs a member, as large groups share most of their buckets.
+    In buckets of up to three members these are all pairs. Of its larger buckets a member takes PICKS, the smallest, the
+    largest and some by hash, and meets those that a hash deals into the same cell of one of them. A cell has CELL
+    members on average, however large the bucket, so pairs grow with the members alone; and as the company is a random
+    one each time, a group of many links falls into one component but for a few members.
     """
-    small = members.where("n <= 3").select("node", F.explode(F.array("lo", "hi")).alias("m"))
-    by_hash = lambda c: F.struct(F.xxhash64(c), F.col(c))
-    large = members.where("n > 3").groupBy("node").agg(F.min(by_hash("lo")).alias("first"), F.max(by_hash("hi")).alias("last"))
-    large = large.select("node", F.explode(F.array("first.lo", "last.hi")).alias("m"))
-    met = small.unionByName(large).where("m <> node")
-    return met.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
+    small = members.where("n <= 3").select("node", F.explode(F.array("lo", "hi")).alias("m")).where("m <> node")
+    small = small.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b"))
+    by_hash = lambda t: F.min(F.struct(F.xxhash64(F.lit(t), "bucket").alias("h"), "n", "bucket"))
+    size = F.struct(F.lit(0).cast("long").alias("h"), "n", "bucket")
+    picks = [F.min(size), F.max(size), *[by_hash(t) for t in range(PICKS - 2)]]
+    taken = members.where("n > 3").groupBy("node").agg(F.array(*picks).alias("picks")).select("node", F.posexplode("picks").alias("pick", "p"))
+    cell = F.pmod(F.xxhash64("pick", "node"), F.ceil(F.col("p.n") / CELL))
+    company = taken.groupBy("pick", "p.bucket", cell.alias("cell")).agg(F.sort_array(F.collect_list("node")).alias("ns")).where("size(ns) > 1")
+    every = F.flatten(F.transform("ns", lambda a: F.transform(F.filter("ns", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return small.unionByName(company.select(F.explode(every).alias("pair")).select("pair.a", "pair.b")).distinct()
 
 
 def _by_rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
@@ -187,21 +195,24 @@ def _attached(pairs: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFra
     return pairs
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
-    """The distinct pairs (a, b) that are links: sizes and sketches allow it, and the full sets are similar enough.
+def _likely(pairs: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    sized = _attached(pairs, nodes)
+    possible = 100 * F.least("a_n_shingles", "b_n_shingles") >= p.percent * F.greatest("a_n_shingles", "b_n_shingles")
+    return sized.where(possible).where(_agreeing(F.col("a_sketch"), F.col("b_sketch")) >= p.least_agreeing).select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
+    """The distinct pairs (a, b) that are links: their full sets are similar enough.
 
     Nothing above these joins asks for their partitioning, so that Spark may split the pairs of a hub.
     """
     pairs = written(pairs, "pairs")
-    sized = _attached(pairs, nodes)
-    possible = 100 * F.least("a_n_shingles", "b_n_shingles") >= p.percent * F.greatest("a_n_shingles", "b_n_shingles")
-    likely = sized.where(possible).where(_agreeing(F.col("a_sketch"), F.col("b_sketch")) >= p.least_agreeing)
-    likely = written(likely.select("a", "b"), "likely")
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
     union = F.size("a_shingles") + F.size("b_shingles") - F.col("common")
-    both = _attached(likely, sets).withColumn("common", common)
+    both = _attached(pairs, sets).withColumn("common", common)
     links = written(both.where(100 * F.col("common") >= p.percent * union).select("a", "b"), "links")
-    forget(pairs, likely)
+    forget(pairs)
     return links
 
 
@@ -229,7 +240,8 @@ def _linked(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: Ne
     slim = nodes.select("node", "n_shingles", "sketch")
 
     parts = None
-    links = _confirmed(_meetings(live), slim, sets, p)
+    met = written(_meetings(live), "met")
+    links = _confirmed(_likely(met, slim, p), sets, p)
     members = live.select("bucket", "node", F.col("node").alias("component"))
     if not links.isEmpty():
         parts = _merged(parts, links)
@@ -238,10 +250,10 @@ def _linked(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: Ne
     mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = written(mixed.where("n > 3 AND lo <> hi").select("bucket"), "mixed")
     left = written(members.join(mixed, "bucket", "left_semi").select("node", "component").distinct(), "open")
-    links = _confirmed(_by_rare_shingles(sets.join(left, "node"), p.percent), slim, sets, p)
+    links = _confirmed(_by_rare_shingles(sets.join(left, "node"), p.percent), sets, p)  # of these pairs sketches tell nothing new
     if not links.isEmpty():
         parts = _merged(parts, links)
-    forget(sets, live, mixed, left)
+    forget(sets, live, met, mixed, left)
     return spark.createDataFrame([], "node long, component long") if parts is None else parts
 
 
@@ -257,9 +269,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     empty table gives an empty table.
 
     Equal sets are collapsed first (with map-side combining), so a group of exact copies is one node. Buckets are
-    never expanded into all pairs: each member meets its bucket's first and last member in an order by hash, which makes
-    large groups fall into one component. What is then still apart within a bucket is
-    compared where sets of different components share one of their rarest shingles, which loses no link. Where many
+    never expanded into all pairs: each member meets a few others that a hash deals it, which makes large groups fall
+    into one component. What is then still apart within a bucket is compared where sets of different components share one of their rarest shingles, which loses no link. Where many
     rows may share a key, the other side of the join is an aggregated table that is written first, and nothing above
     the join depends on its partitioning: adaptive execution then splits the rows of such a key over several tasks.
     """
