@@ -20,13 +20,14 @@ def fact_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], value: s
     return both.where(changed).select(*keys, "old_value", "new_value", "change_type")
 
 
-def consecutive_diff(facts: DataFrame, group: str, epoch: str, keys: Sequence[str], value: str) -> DataFrame:
+def consecutive_diff(facts: DataFrame, group: str, epoch: str, keys: Sequence[str], value: str, last: DataFrame | None = None) -> DataFrame:
     """``fact_diff`` of each epoch of each group with the epoch before; ``epoch`` is the later one.
 
     Every fact counts once as new in its epoch and once as old in the next one, so one aggregation makes all diffs. The
-    last epoch of a group has no next one: that is a second, small aggregation.
+    last epoch of a group has no next one: that is a second, small aggregation, unless ``last`` (group, last_epoch) is
+    given, as where a last epoch can be without facts.
     """
-    last = facts.groupBy(group).agg(F.max(epoch).alias("last_epoch"))
+    last = facts.groupBy(group).agg(F.max(epoch).alias("last_epoch")) if last is None else last
     sides = F.explode(F.array(F.struct(F.lit(0).alias("age"), F.col(epoch).alias("to")), F.struct(F.lit(1).alias("age"), (F.col(epoch) + 1).alias("to"))))
     both = facts.select(group, *keys, F.col(value).alias("value"), sides.alias("s")).where("s.to > 1")
     pick = lambda age: F.max(F.when(F.col("s.age") == age, F.struct("value")))

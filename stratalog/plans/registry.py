@@ -17,8 +17,10 @@ from stratalog.plans import (
     job_queries,
     json_queries,
     match_queries,
+    risk_queries,
     search_queries,
     shape_queries,
+    snapshot_queries,
     text_queries,
 )
 
@@ -26,7 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 for _module in (
-    catalog_queries, event_queries, text_queries, json_queries, search_queries, shape_queries, ingest_queries, extension_queries, index_queries, finding_queries, bundle_queries, match_queries, job_queries,
+    catalog_queries, event_queries, text_queries, json_queries, search_queries, shape_queries, ingest_queries, extension_queries, index_queries, finding_queries, bundle_queries, match_queries, job_queries, snapshot_queries, risk_queries,
 ):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
