@@ -29,6 +29,7 @@ class TopKParams:
     shard_rows: int = 8192  # mean points of a tree; a region with more than twice as many is dealt over several
     block_rows: int = 8192  # queries that go from tree to tree together, at most
     leaf_rows: int = 256
+    cell_trees: int = 8  # mean trees that one task visits with a block; with the block they lie in its memory
     sample_rows: int = 16384  # points that the regions are drawn from, about; they decide on speed alone
 
 
@@ -191,9 +192,9 @@ def top_inner_products(
     with zeros. A query row that is repeated is answered as often, and repeated candidates are listed so. Other columns
     are ignored, whatever their names. An empty table gives an empty table.
 
-    In memory are a tree and a block. Blocks are as large as memory allows, so that points are copied to few of them:
-    once each up to ``block_rows`` queries. Few blocks share the trees among several tasks each, whose best lists are
-    merged. Where boxes bound nothing, as with vectors that lie evenly in many dimensions, the work is queries times rows.
+    In memory are a block and some trees, ``cell_trees`` on average. Blocks are as large as memory allows, so that points are
+    copied to few of them: once each up to ``block_rows`` queries. A block's trees are dealt over cells, whose best lists are
+    merged; a block is sent to a cell once, so what is shuffled are the trees and a ``cell_trees``-th of as many blocks. Where boxes bound nothing, as with vectors that lie evenly in many dimensions, the work is queries times rows.
     """
     p, spark = params or TopKParams(), vectors.sparkSession
     in_small_batches(spark)
@@ -255,25 +256,25 @@ def top_inner_products(
         F.min(F.coalesce("floor", F.lit(-(1 << 63)))).alias("lowest"),
     )
     floors = written(floors, "floors")
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    groups = max(1, -(-forest.count() // p.cell_trees))
     left = near.join(first, ["block", "tree_id"], "left_anti").join(floors.select("block", "lowest"), "block").where("bound >= lowest")
-    left = left.select("block", "tree_id", "bound", F.pmod("tree_id", F.lit(groups)).alias("of"))
-    cells = left.join(forest.select("tree_id", "tree"), "tree_id").join(queries.join(floors.select("block", "floors"), "block"), "block")
-    # Sorted, so that the best trees of a cell come first; results don't depend on it.
-    cells = cells.select("block", "of", "bound", "tree", "rows", "ids", "v", "floors").repartition("block", "of").sortWithinPartitions("block", "of", F.desc("bound"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = ids = None
-        for batch in batches:  # of one cell, tree after tree
-            for _, _, _, tree, rows, names, v, floors in zip(*batch.columns, strict=True):
-                if search is None:
-                    own, ids, known = numbers(rows), numbers(names), dict(floors.as_py())
-                    least = np.array([known.get(r, -(1 << 63)) for r in own.tolist()], np.int64)
-                    search = Search(own, numbers(v).reshape(len(own), -1), p.k, least)
-                search.visit(Tree.load(tree.as_py()))
-        yield search.results(ids)
-
-    rest = cells.groupBy("block", "of").applyInArrow(run, found)
+    left = written(left.select("block", "tree_id", "bound", F.pmod(F.xxhash64("tree_id"), F.lit(groups)).alias("of")), "left")
+    # A cell is some trees and a block, each sent to it once: trees on one side, the block on the other.
+    trees = left.join(forest.select("tree_id", "tree"), "tree_id").select("block", "of", "bound", "tree")
+    asks = left.select("block", "of").distinct().join(queries.join(floors.select("block", "floors"), "block"), "block")
+    asks = asks.select(F.col("block").alias("for block"), F.col("of").alias("for of"), "rows", "ids", "v", "floors")
+
+    def run(trees: pa.Table, asks: pa.Table) -> pa.Table:
+        own, ids, v = (numbers(asks.column(c)[0]) for c in ("rows", "ids", "v"))
+        known = dict(asks.column("floors")[0].as_py())
+        least = np.array([known.get(r, -(1 << 63)) for r in own.tolist()], np.int64)
+        search = Search(own, v.reshape(len(own), -1), p.k, least)
+        trees = trees.sort_by([("bound", "descending")])  # the best first; results don't depend on it
+        for tree in trees.column("tree"):
+            search.visit(Tree.load(tree.as_py()))
+        return pa.Table.from_batches([search.results(ids)])
+
+    rest = trees.groupBy("block", "of").cogroup(asks.groupBy("for block", "for of")).applyInArrow(run, found)
     best = F.struct((-F.col("score")).alias("score"), F.col("vec_id"))
     merged = home.unionByName(rest).groupBy("query", "query_id").agg(F.slice(F.sort_array(F.collect_list(best)), 1, p.k).alias("best"))
     forget(rows)
