@@ -51,3 +51,8 @@ def _hashes(texts: pd.Series) -> pd.Series:
 
 def canonical_hash(text: Column) -> Column:
     return F.pandas_udf(_hashes, "string")(text)
+
+
+def is_bypassed(text: Column) -> Column:
+    """Whether a text is too large for its canonical form, so that its hash is that of the text as it is. False for null."""
+    return F.coalesce(F.length(text) > LARGEST, F.lit(False))

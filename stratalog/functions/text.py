@@ -48,6 +48,16 @@ def snippet(text: Column, needle: str, before: int = 16, width: int = 64) -> Col
     return F.substr(text, F.greatest(F.lit(1), at - before), F.lit(width))
 
 
+def snippet_around(text: Column, needle: str, width: int = 200) -> Column:
+    """``width`` characters around the first match, which begins in their middle, line ends as blanks; at the text's end the
+    last ones. Without a match the first ones as they are; empty for null."""
+    text = F.coalesce(text, F.lit(""))
+    at = F.instr(F.lower(text), needle.lower()) - 1
+    start = F.greatest(at - width // 2, F.lit(0))
+    start = F.when(start + width > F.length(text), F.greatest(F.length(text) - width, F.lit(0))).otherwise(start)
+    return F.when(at < 0, F.substr(text, F.lit(1), F.lit(width))).otherwise(F.translate(F.substr(text, (start + 1).cast("int"), F.lit(width)), "\n", " "))
+
+
 def slug(text: Column) -> Column:
     """Lower case, other characters than letters and digits as single hyphens, none at the ends."""
     return F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
