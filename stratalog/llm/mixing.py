@@ -54,7 +54,9 @@ def mix_sources(
     budget is ``share`` times all sizes, and no row is taken more than ``rounds`` times. The row in which the budget
     ends is taken in part (it counts as a copy); no row after it is taken. Rows of size 0 have ``copies`` 1 if their
     first finish time lies within the budget. Null sources are one source, the last. Order and ties are fixed by hashes
-    of the id, then the id, then the size, so reruns agree; rows equal in all of these are interchangeable. Other columns
+    of the id, then the id, then the size, so reruns agree; rows equal in all of these are interchangeable. A source's
+    words in the mix are within one document of it from its target, the largest one at most, as its finish times grow by a
+    document's share at a time; the source in which the budget ends is within two. Other columns
     are ignored, whatever their names. An empty table gives an empty table.
 
     A source may hold most rows: the documents of all sources are range-sorted by source and shuffled place, all

@@ -37,7 +37,8 @@ def tokenized_pieces(
 
     A document's ids are those of its text and ``end_id``; a null or empty text has ``end_id`` alone. Only documents
     longer than ``capacity`` are cut, every ``capacity`` ids. Ids are little-endian unsigned 32-bit numbers.
-    Null ids, repeated rows and other columns are no matter: each row is a document.
+    Null ids, repeated rows and other columns are no matter: each row is a document. Texts of any length are encoded whole,
+    and one document's ids are in memory at a time beside a batch. An empty table gives an empty table.
     """
     path = path or tokenizer_path()
     in_small_batches(docs.sparkSession)

@@ -128,7 +128,9 @@ def clean_documents(
 ) -> DataFrame:
     """The rows of ``docs`` that ``judge_documents`` keeps, without their common lines; all columns, whatever their names.
 
-    The lines that stay are as they were, with the same line ends between them. Texts are shuffled once.
+    The lines that stay are as they were, with the same line ends between them. Null, blank and short texts fail the base rules
+    and go; repeated rows stay repeated; texts of any length are cleaned whole. An empty table gives an empty table. Texts are
+    shuffled once.
     """
     judged = _judged(docs, id_col, text_col, host_col, params or RuleParams()).where("kept")
     judged = judged.select("doc", "host", "text_hash", "gone").dropDuplicates(["doc", "host", "text_hash"])  # rows can be repeated

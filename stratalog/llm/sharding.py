@@ -97,8 +97,9 @@ def hilbert_shards(
     Each dimension is quantised into 2**bits cells at its own quantiles, so that skewed values use the whole
     curve; null lies in the lowest cell. Rows of one cell are ordered by ``ties``; rows equal in all of them are
     interchangeable. Returns ``keep``, the curve index ``cell``, ``shard`` from 0 and ``slot``, gapless from 0; columns
-    that are kept must have other names than these. Repeated rows are rows of their own. An empty table gives an empty
-    table.
+    that are kept must have other names than these. Repeated rows are rows of their own, and equal texts have no bond: under
+    a law of equal counts the border of a run can fall between rows that are equal in everything but their ids. Texts take
+    no part but by what the caller makes of them, so their length is no matter. An empty table gives an empty table.
 
     The sort is one range shuffle of the kept columns, which holds no text of any length; row numbers then come from
     each partition's count.

@@ -94,7 +94,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], model: PipelineModel, ur
 
     The longest fitting rule decides; without one the model blocks at a score of ``cut``. A null url, or one
     without ``://``, has empty host and path and is judged by the model on these. Columns of ``pages`` with one of
-    the new names are replaced. Repeated rows are judged alike. An empty table gives an empty table.
+    the new names are replaced. Repeated rows are judged alike. Urls of any length are judged whole: the work grows with
+    their characters, the features do not. An empty table gives an empty table.
     """
     new = ("host", "path", "rule", "block_score", "verdict")
     kept = [c for c in pages.columns if c not in new]

@@ -92,8 +92,10 @@ def test_mix_query(spark, docs):
         taken[docs[r.doc_id].source] += r.taken
         assert 0 <= r.taken <= 2 * r["size"]
     assert sum(taken.values()) == int(1.5 * sum(words.values()))
-    largest = max(words.values())
-    assert all(abs(taken[s] - t) <= largest for s, t in target.items())
+    for s, t in target.items():  # within a document of the source; where the budget ends, two
+        largest = max(n for i, n in words.items() if docs[i].source == s)
+        assert abs(taken[s] - t) <= 2 * largest
+    assert sum(abs(taken[s] - t) > max(n for i, n in words.items() if docs[i].source == s) for s, t in target.items()) <= 1
 
 
 def test_quality_query(spark, docs):

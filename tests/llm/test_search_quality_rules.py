@@ -245,3 +245,34 @@ def test_passages_of_awkward_rows(spark):
     assert sorted(r.doc_id for r in copies if r.text == "") == list(range(2000, 2008))  # the near copies before them have all of it
     assert {r.doc_id for r in got if r.doc_id == 4006 and r.removed_words == 0} == {4006}
     assert substring.drop_repeated_passages(frame(spark, [])).collect() == []
+
+
+def test_top_k_with_clashing_names(spark):
+    """Columns named like those used inside come to no harm."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 6)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    params = topk.TopKParams(k=4, shard_rows=20, block_rows=8, leaf_rows=4, cell_trees=2)
+    want = sorted(map(tuple, topk.top_inner_products(df, F.col("vec_id") % 5 == 0, params=params).collect()))
+    for name in ("id", "v", "q", "row", "shard", "part", "block", "of", "tree", "tree_id", "bound", "score", "rank", "place", "within"):
+        df = df.withColumn(name, F.lit("mine"))
+    assert sorted(map(tuple, topk.top_inner_products(df, F.col("vec_id") % 5 == 0, params=params).collect())) == want
+
+
+def test_passages_are_found(spark):
+    """Of the windows of thirty words that an earlier document has, nearly all go."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+
+    def windows(rows):
+        seen, repeated = set(), 0
+        for _, text in sorted(rows):
+            w = (text or "").lower().split()
+            own = {" ".join(w[i : i + 30]) for i in range(len(w) - 29)}
+            repeated += len(own & seen)
+            seen |= own
+        return repeated
+
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    cut = [(r.doc_id, r.text) for r in substring.drop_repeated_passages(df).select("doc_id", "text").collect()]
+    before, after = windows(docs), windows(cut)
+    assert before > 500 and after <= 0.03 * before
