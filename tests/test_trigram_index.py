@@ -65,5 +65,18 @@ def test_ranked_search_is_the_same(spark, tmp_path, query):
     catalogue = search_queries._catalogue(spark, SF_DIR)
     index = trigram_index.build(catalogue[0], "module_id", "search_text", f"file://{tmp_path}/i")
     for least in (0.05, 0.35):
-        with_index = search.ranked_search(*catalogue, query, limit=200, least=least, index=index).collect()
+        found = search.ranked_search(*catalogue, query, limit=200, least=least, index=index)
+        if "ring" in query:  # else nothing is named, and the plan is empty, or everything is
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert "LeftSemi" in plan and re.search(r"gram#\d+ IN|gram#\d+ =", plan)
+        with_index = found.collect()
         assert with_index == search.ranked_search(*catalogue, query, limit=200, least=least).collect()
+
+
+def test_page_is_the_same(spark, rows, tmp_path):
+    index = trigram_index.build(rows, "id", "text", f"file://{tmp_path}/i")
+    dated = rows.withColumn("at", F.col("id") % 7)
+    for after in (None, (0.5, 3, 10)):
+        page = lambda **k: search.similar_page(dated, "red ring", "text", "at", "id", 20, after=after, **k)  # noqa: B023, E731
+        with_index = page(index=index)
+        assert "LeftSemi" in with_index._jdf.queryExecution().optimizedPlan().toString() and with_index.collect() == page().collect()
