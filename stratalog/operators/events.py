@@ -107,3 +107,31 @@ def changes_of_all(events: DataFrame, ts: str, order: str, value: str) -> DataFr
     before = F.coalesce(F.lag(own).over(w), F.col("before block"))
     both = ranked.join(last, "block", "left").withColumn("before", before)
     return both.where(F.col("before").isNull() | ~F.col("before.v").eqNullSafe(F.col(value))).select(*events.columns)
+
+
+def storage_category(path: Column) -> Column:
+    """What an application keeps in a file, by its path; ``unknown`` for anything else."""
+    folder, base = F.regexp_extract(path, "^(.*?)/*[^/]*$", 1), F.element_at(F.split(path, "/"), -1)
+    return (
+        F.when(folder.contains("Local Storage"), "localstorage")
+        .when(folder.contains("leveldb"), "leveldb")
+        .when(base.endswith(".ldb") | base.endswith(".log"), "unknown")
+        .when(base.isin("Cookies", "Cookies-journal"), "cookies")
+        .when(base.isin("Preferences", "Secure Preferences"), "preferences")
+        .when(base.endswith(".sqlite") | base.endswith(".db"), "sqlite")
+        .otherwise("unknown")
+    )
+
+
+def storage_events(changes: DataFrame, path: str, operation: str, size: str, root: str) -> DataFrame:
+    """Changes of files as events: type, path below ``root``, operation, category, size_delta (0 for deletions).
+
+    Operations other than create, modify and delete, and files of no known category, are dropped. Every step is a
+    projection or a filter, so it works on a stream as on a table.
+    """
+    kept = changes.where(F.col(operation).isin("create", "modify", "delete")).withColumn("category", storage_category(F.col(path))).where("category <> 'unknown'")
+    head = root.rstrip("/") + "/"
+    below = F.when(F.col(path).startswith(head), F.substr(F.col(path), F.lit(len(head) + 1))).otherwise(F.col(path))
+    gone = F.col(operation) == "delete"
+    made = {"type": F.when(gone, "storage.delete").otherwise("storage.write"), path: below, "size_delta": F.when(gone, 0).otherwise(F.coalesce(F.col(size), F.lit(0))).cast("long")}
+    return kept.withColumns(made)

@@ -162,13 +162,23 @@ def event_deltas(spark, sf_dir):
     return changes.deltas(rows, ["user_id"], ["ts", "event_id"], ["cost"]).select("event_id", "user_id", "cost_delta")
 
 
+def storage_events(spark, sf_dir):
+    """Changes of files that usage events stand for, as events of an application's storage."""
+    rows = table(spark, sf_dir, "events")
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("/app/Local Storage/", "/app/x/leveldb/", "/app/", "/app/deep/er/", "/other/")]), (F.col("user_id") % 5 + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("Cookies", "000003.ldb", "Preferences", "state.sqlite", "note.txt", "x.log", "Secure Preferences", "main.db")]), (F.col("event_id") % 8 + 1).cast("int"))
+    operation = F.when(F.col("event_type") == "click", "create").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "modify").otherwise("chmod")
+    changes = rows.select("event_id", F.concat(folder, name).alias("path"), operation.alias("operation"), F.col("value").cast("long").alias("size"))
+    return events.storage_events(changes, "path", "operation", "size", "/app").drop("size")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         command_rollup, window_rollup, goal_quantiles, failure_topk, drift_metrics, drift_compare, cost_rollup,
         cost_remainder_split, stance_status_summary, last_failure_per_entity, stale_runs, resumable_runs,
         sliding_failure_guard, session_timeout, change_only_emit, verdict_flips, latest_wins_tombstone, error_classes,
-        event_deltas,
+        event_deltas, storage_events,
     )
 }
 
@@ -239,4 +249,11 @@ ORACLE_SQL = {
         FROM usage WHERE event_type = 'error' GROUP BY 1""",
     "event_deltas": """WITH c AS (SELECT *, CAST(floor(value * 100) AS BIGINT) AS cost FROM events)
         SELECT event_id, user_id, cost - lag(cost) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cost_delta FROM c""",
+    "storage_events": """WITH c AS (SELECT event_id, (['/app/Local Storage/', '/app/x/leveldb/', '/app/', '/app/deep/er/', '/other/'])[user_id % 5 + 1] AS d,
+               (['Cookies', '000003.ldb', 'Preferences', 'state.sqlite', 'note.txt', 'x.log', 'Secure Preferences', 'main.db'])[event_id % 8 + 1] AS b,
+               CASE event_type WHEN 'click' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'view' THEN 'modify' ELSE 'chmod' END AS operation, trunc(value) AS size FROM events
+        ), k AS (SELECT *, CASE WHEN contains(d, 'Local Storage') THEN 'localstorage' WHEN contains(d, 'leveldb') THEN 'leveldb' WHEN b IN ('Cookies', 'Cookies-journal') THEN 'cookies'
+               WHEN b IN ('Preferences', 'Secure Preferences') THEN 'preferences' WHEN suffix(b, '.sqlite') OR suffix(b, '.db') THEN 'sqlite' END AS category FROM c)
+        SELECT event_id, CASE WHEN starts_with(d, '/app/') THEN substr(d || b, 6) ELSE d || b END AS path, operation, category, CASE WHEN operation = 'delete' THEN 'storage.delete' ELSE 'storage.write' END AS type,
+               CASE WHEN operation = 'delete' THEN 0 ELSE CAST(size AS BIGINT) END AS size_delta FROM k WHERE category IS NOT NULL AND operation <> 'chmod'""",
 }

@@ -276,3 +276,20 @@ def test_file_sources(spark, tmp_path):
     assert [r.event_type for r in files.usage_events(spark, str(tmp_path / "u.jsonl")).collect()] == ["a"]
     (tmp_path / "s.json").write_text(json.dumps({"session": "s1", "events": [{"seq": 1, "type": "dom", "data": "{}"}, {"seq": 2, "type": "net"}]}))
     assert [(r.session, r.seq) for r in files.capture_sessions(spark, str(tmp_path / "s.json")).collect()] == [("s1", 1), ("s1", 2)]
+
+
+def test_storage_events(spark, tmp_path):
+    paths = {
+        "/r/Local Storage/x": "localstorage", "/r/Local Storage/leveldb/1.ldb": "localstorage", "/r/leveldb/2.log": "leveldb", "/r/a.ldb": None, "/r/a.log": None, "/r/Cookies": "cookies",
+        "/r/Cookies-journal": "cookies", "/r/Secure Preferences": "preferences", "/r/x.sqlite": "sqlite", "/r/x.db": "sqlite", "/r/leveldb": None, "/r/x.txt": None, "Cookies": "cookies", "/q/Cookies": "cookies",
+    }
+    rows = [(p, op, 7) for p in paths for op in ("create", "modify", "delete", "rename")]
+    df = spark.createDataFrame(rows, "path string, op string, size long")
+    want = [(p.removeprefix("/r/"), op, c, "storage.delete" if op == "delete" else "storage.write", 0 if op == "delete" else 7) for p, c in paths.items() if c for op in ("create", "modify", "delete")]
+    got = [(r.path, r.op, r.category, r.type, r.size_delta) for r in events.storage_events(df, "path", "op", "size", "/r").collect()]
+    assert sorted(got) == sorted(want)
+    df.write.parquet(str(tmp_path / "in"))
+    stream = events.storage_events(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "path", "op", "size", "/r")
+    query = stream.writeStream.format("memory").queryName("stored").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "point")).start()
+    query.awaitTermination(120)
+    assert spark.table("stored").count() == len(want)
