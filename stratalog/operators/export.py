@@ -113,3 +113,49 @@ def read_bundle(spark: SparkSession, path: str, schemas: dict[str, str], orders:
             raise ValueError(f"table {name} is not what was exported")
         out[name] = df
     return out
+
+
+# Files of a knowledge folder, the section that must be there, what they hold, and whether an empty one is left out.
+SECTIONS = (
+    ("knowledge.json", "$", "$", False),
+    ("communication/endpoints.json", "$.communication", "$.communication.endpoints", False),
+    ("auth/methods.json", "$.auth", "$.auth.methods", False),
+    ("ui/framework.json", "$.ui", "$.ui", False),
+    ("ui/routes.json", "$.ui", "$.ui.routes", False),
+    ("ipc/channels.json", "$.ipc", "$.ipc.channels", False),
+    ("security/config.json", "$.security", "$.security.settings", False),
+    ("stealth/features.json", "$.stealth", "$.stealth", False),
+    ("telemetry/services.json", "$.telemetry", "$.telemetry.services", False),
+    ("npm/metadata.json", "$.npm", "$.npm", False),
+    ("npm/api-calls.json", "$.npm", "$.npm.network_calls", True),
+    ("android/secrets.json", "$.android", "$.android.secrets", True),
+    ("android/native-libs.json", "$.android", "$.android.native_libs", True),
+    ("gobinary/metadata.json", "$.go_binary", "$.go_binary", False),
+    ("packaging/metadata.json", "$.packaging", "$.packaging", False),
+)
+
+
+def knowledge_files(docs: DataFrame, app: str, knowledge: str) -> DataFrame:
+    """(app, file, content): the files of a knowledge folder, by the sections that a JSON document has.
+
+    A section that is null or missing gives no file, a part that is missing ``null``. Text that isn't JSON gives none.
+    Documents are parsed once; there is no shuffle. Reports in Markdown are left to callers.
+    """
+    parsed = docs.select(F.col(app).alias("app"), F.try_parse_json(F.col(knowledge)).alias("v")).where("v IS NOT NULL")
+    part = lambda path: F.try_variant_get("v", path, "variant")
+    there = lambda path: part(path).isNotNull() & ~F.is_variant_null(part(path)) if path != "$" else F.lit(True)
+    filled = lambda path: ~F.coalesce(F.to_json(part(path)), F.lit("null")).isin("null", "[]", "{}")
+    files = [
+        F.when(there(section) & (filled(path) if skip else F.lit(True)), F.struct(F.lit(name).alias("file"), F.coalesce(F.to_json(part(path)), F.lit("null")).alias("content")))
+        for name, section, path, skip in SECTIONS
+    ]
+    return parsed.select("app", F.explode(F.array_compact(F.array(*files))).alias("f")).select("app", "f.file", "f.content")
+
+
+def write_knowledge(docs: DataFrame, app: str, knowledge: str, path: str) -> None:
+    """Write the knowledge files below ``path``, a folder ``app=A/file=F`` for each, the slash of a file's name escaped.
+
+    Rows are dealt by application and file, so that a folder is one file however many tasks there are.
+    """
+    files = knowledge_files(docs, app, knowledge)
+    files.repartition("app", "file").write.partitionBy("app", "file").text(path)

@@ -126,3 +126,24 @@ ORACLE_SQL = {
         SELECT DISTINCT ON (from_id, to_name) * FROM d ORDER BY from_id, to_name, to_id NULLS FIRST""",
     "export_digests": _export_sql(),
 }
+
+
+def knowledge_folders(spark, sf_dir):
+    """Files of the knowledge folders of orders: which there are, and what they hold."""
+    lines = table(spark, sf_dir, "lineitem")
+    k, number = F.col("l_orderkey"), F.sort_array(F.collect_list("l_partkey"))
+    parts = lines.groupBy("l_orderkey").agg(F.to_json(number).alias("ps"), F.count("*").alias("n"))
+    doc = F.concat(
+        F.lit('{"communication":'), F.when(k % 3 == 0, "null").otherwise(F.concat(F.lit('{"endpoints":'), F.col("ps"), F.lit("}"))), F.when(k % 2 == 0, F.concat(F.lit(',"ui":{"routes":'), F.col("n"), F.lit("}"))).otherwise(""),
+        F.when(k % 5 == 0, ',"npm":{"network_calls":[]}').when(k % 5 == 1, F.concat(F.lit(',"npm":{"network_calls":'), F.col("ps"), F.lit("}"))).otherwise(""), F.lit("}"),
+    )
+    return export.knowledge_files(parts.select("l_orderkey", doc.alias("doc")), "l_orderkey", "doc")
+
+
+QUERIES["knowledge_folders"] = knowledge_folders
+ORACLE_SQL["knowledge_folders"] = """WITH p AS (SELECT l_orderkey AS k, '[' || string_agg(l_partkey, ',' ORDER BY l_partkey) || ']' AS ps, count(*) AS n FROM lineitem GROUP BY 1
+    ), d AS (SELECT k, ps, n, '{"communication":' || CASE WHEN k % 3 = 0 THEN 'null' ELSE '{"endpoints":' || ps || '}' END AS c, CASE k % 5 WHEN 0 THEN ',"npm":{"network_calls":[]}' WHEN 1 THEN ',"npm":{"network_calls":' || ps || '}' ELSE '' END AS m,
+        CASE WHEN k % 2 = 0 THEN ',"ui":{"routes":' || n || '}' ELSE '' END AS u FROM p)
+    SELECT k AS app, 'knowledge.json' AS file, c || m || u || '}' AS content FROM d UNION ALL SELECT k, 'communication/endpoints.json', ps FROM d WHERE k % 3 <> 0
+    UNION ALL SELECT k, 'ui/framework.json', '{"routes":' || n || '}' FROM d WHERE k % 2 = 0 UNION ALL SELECT k, 'ui/routes.json', CAST(n AS VARCHAR) FROM d WHERE k % 2 = 0
+    UNION ALL SELECT k, 'npm/metadata.json', CASE k % 5 WHEN 0 THEN '{"network_calls":[]}' ELSE '{"network_calls":' || ps || '}' END FROM d WHERE k % 5 < 2 UNION ALL SELECT k, 'npm/api-calls.json', ps FROM d WHERE k % 5 = 1"""

@@ -130,3 +130,17 @@ def test_closure_follows_aliases(spark):
 
 
 ORDERS_OF_NINE = job_queries.ORDERS
+
+
+def test_knowledge_folders(spark, tmp_path):
+    docs = [("a/b", '{"auth":{"methods":["x"]},"ui":null,"android":{"secrets":[],"native_libs":["l.so"]},"ipc":{}}'), ("c", "broken"), ("d", None), ("e", "{}"), ("f", "[1]")]
+    df = spark.createDataFrame(docs, "app string, doc string")
+    want = [
+        ("a/b", "android/native-libs.json", '["l.so"]'), ("a/b", "auth/methods.json", '["x"]'), ("a/b", "ipc/channels.json", "null"),
+        ("a/b", "knowledge.json", '{"android":{"native_libs":["l.so"],"secrets":[]},"auth":{"methods":["x"]},"ipc":{},"ui":null}'), ("e", "knowledge.json", "{}"), ("f", "knowledge.json", "[1]"),
+    ]
+    assert sorted(map(tuple, export.knowledge_files(df, "app", "doc").collect())) == want
+    export.write_knowledge(df.repartition(3), "app", "doc", f"file://{tmp_path}/k")
+    back = spark.read.text(f"file://{tmp_path}/k", wholetext=True)
+    assert sorted((r.app, r.file, r.value.rstrip("\n")) for r in back.collect()) == want
+    assert len(list((tmp_path / "k").rglob("part-*"))) == len(want)
