@@ -68,17 +68,25 @@ def fingerprint(*parts: Column, length: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, length)
 
 
+_BLANK = " \t\r\n\f\x0b"
+# Names that only hold a place.
+PLACEHOLDER_NAME = r"^teams_module_[0-9]+\z"
+
+
+def _trimmed(text: Column) -> Column:
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANK))
+
+
 def display_name(name: Column, synthetic: Column) -> Column:
-    """The synthetic name where the name is only a placeholder (hexadecimal digits or numbers)."""
-    placeholder = name.rlike("^[0-9a-f]{8,}$") | name.rlike("^module_[0-9]+$")
-    return F.when(placeholder & (F.coalesce(synthetic, F.lit("")) != ""), synthetic).otherwise(name)
+    """The synthetic name, without blanks around it, where there is one and the name only holds a place."""
+    return F.when((_trimmed(synthetic) != "") & name.rlike(PLACEHOLDER_NAME), _trimmed(synthetic)).otherwise(name)
 
 
 def summary_line(summary: Column, role: Column, tags: Column) -> Column:
-    """``[role] summary {tags}``, each part only where it is there."""
-    head = F.when(F.coalesce(role, F.lit("")) != "", F.concat(F.lit("["), role, F.lit("] "))).otherwise(F.lit(""))
-    tail = F.when(F.coalesce(tags, F.lit("")) != "", F.concat(F.lit(" {"), tags, F.lit("}"))).otherwise(F.lit(""))
-    return F.concat(head, F.coalesce(summary, F.lit("")), tail)
+    """``[role] summary {tags}``, each part without blanks around it, and role and tags only where they are there."""
+    head = F.when(_trimmed(role) != "", F.concat(F.lit("["), _trimmed(role), F.lit("] "))).otherwise(F.lit(""))
+    tail = F.when(_trimmed(tags) != "", F.concat(F.lit(" {"), _trimmed(tags), F.lit("}"))).otherwise(F.lit(""))
+    return F.concat(head, _trimmed(summary), tail)
 
 
 def url_host(url: Column) -> Column:

@@ -296,7 +296,8 @@ def source_chunks(spark, sf_dir):
 
 def summary_lines(spark, sf_dir):
     rows = modules(spark, sf_dir)
-    name = X.display_name(F.substring("body_sha256", 1, 8), F.concat(F.lit("module of "), "app"))
+    given = F.when(F.col("id") % 4 == 0, F.concat(F.lit("teams_module_"), "id")).otherwise(F.substring("body_sha256", 1, 8))
+    name = X.display_name(given, F.when(F.col("id") % 3 == 0, F.lit(" \t")).otherwise(F.concat(F.lit(" module of "), "app", F.lit("\n"))))
     return rows.select("id", X.summary_line(name, F.col("lang"), F.when(F.col("toxic") == 1, "toxic")).alias("line"))
 
 
@@ -472,5 +473,6 @@ ORACLE_SQL = {
                CAST(length(array_to_string(l[start + 1 : start + 8], chr(10))) AS INTEGER) AS chars FROM c
         UNION ALL SELECT doc_id, 0, 'Source', CAST(length(text) AS INTEGER) FROM documents WHERE strlen(text) <= 4096""",
     "summary_lines": f"""WITH {MODULES_SQL}
-        SELECT id, coalesce(CASE WHEN lang <> '' THEN '[' || lang || '] ' END, '') || 'module of ' || app || CASE WHEN toxic = 1 THEN ' {{toxic}}' ELSE '' END AS line FROM modules""",
+        SELECT id, coalesce(CASE WHEN lang <> '' THEN '[' || lang || '] ' END, '') || CASE WHEN id % 4 = 0 AND id % 3 <> 0 THEN 'module of ' || app WHEN id % 4 = 0 THEN 'teams_module_' || id ELSE substr(body_sha256, 1, 8) END
+               || CASE WHEN toxic = 1 THEN ' {{toxic}}' ELSE '' END AS line FROM modules""",
 }

@@ -165,3 +165,12 @@ def test_conditions(spark):
     paths = spark.createDataFrame([("/r/app.asar",), ("/r/lib/x.js",), ("/r/lib/x.js",)], "path string")
     got = files.conditions_met(spark.createDataFrame(rules, "id int, c string"), "c", {"ROOT": "/r"}, paths)
     assert sorted(r.id for r in got.collect()) == [1, 2, 5, 6, 7, 8, 9]
+
+
+def test_display_names_and_lines(spark):
+    names = [("teams_module_42", "TeamsChat", "TeamsChat"), ("teams_module_42", " x\n", "x"), ("teams_module_42", " ", "teams_module_42"), ("teams_module_42", None, "teams_module_42"), ("WAWebMsg", "Other", "WAWebMsg"), ("teams_module_42x", "y", "teams_module_42x"), ("0123456789", "y", "0123456789")]
+    df = spark.createDataFrame(names, "n string, s string, want string")
+    assert df.where(X.display_name(F.col("n"), F.col("s")) != F.col("want")).count() == 0
+    lines = [("sum", "role", "a,b", "[role] sum {a,b}"), (" sum ", None, "", "sum"), (None, "r", "t", "[r]  {t}"), ("s", " ", " t ", "s {t}")]
+    df = spark.createDataFrame(lines, "s string, r string, t string, want string")
+    assert df.where(X.summary_line(F.col("s"), F.col("r"), F.col("t")) != F.col("want")).count() == 0
