@@ -91,7 +91,7 @@ def test_similarity_and_names(spark):
     assert s(X.trigram_similarity(F.lit(""), F.lit(""))) == 0.0
     assert s(X.slug(F.lit("  Some App (v2)!"))) == "some-app-v2"
     assert s(X.summary_line(F.lit("s"), F.lit("r"), F.lit("t"))) == "[r] s {t}"
-    assert s(X.display_name(F.lit("0123456789ab"), F.lit("Chat"))) == "Chat"
+    assert s(X.display_name(F.lit("teams_module_7"), F.lit("Chat"))) == "Chat" and s(X.display_name(F.lit("0123456789ab"), F.lit("Chat"))) == "0123456789ab"
     assert s(X.error_class(F.lit("rpc: context deadline exceeded"))) == "timeout"
 
 
