@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratalog.operators.work import forget, running, scratch, shared_dir, written
 
-__all__ = ["ascii_lower", "forget", "in_small_batches", "packed", "running", "scratch", "shared_dir", "small_batches", "spare_name", "word_count", "written"]
+__all__ = ["BATCH_BYTES", "ascii_lower", "forget", "in_small_batches", "packed", "running", "scratch", "shared_dir", "small_batches", "spare_name", "word_count", "written"]
 
 #: A word is a run of characters other than ASCII white space.
 SPACES = r"[ \t\n\x0B\f\r]+"

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import forget, in_small_batches, packed, running, small_batches, written
-from stratalog.llm.tokens import PieceEncoder, tokenizer_path
+from stratalog.llm.common import BATCH_BYTES, forget, in_small_batches, packed, running, small_batches, written
+from stratalog.llm.tokens import encoder, tokenizer_path
 
-#: Texts encoded at a time.
-_BATCH = 128
+#: Texts encoded at a time, if they have not more bytes than Arrow batches may have.
+_BATCH = 10_000
 
 
 def tokenized_pieces(
@@ -38,15 +38,15 @@ def tokenized_pieces(
     A document's ids are those of its text and ``end_id``; a null or empty text has ``end_id`` alone. Only documents
     longer than ``capacity`` are cut, every ``capacity`` ids. Ids are little-endian unsigned 32-bit numbers.
     Null ids, repeated rows and other columns are no matter: each row is a document. Texts of any length are encoded whole,
-    and one document's ids are in memory at a time beside a batch. An empty table gives an empty table.
+    and a batch of texts with its ids is in memory at a time. An empty table gives an empty table.
     """
     path = path or tokenizer_path()
     in_small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = PieceEncoder(path)
-        for batch in small_batches(batches, 1, _BATCH):
+        encode = encoder(path)
+        for batch in small_batches(batches, 1, _BATCH, BATCH_BYTES):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, data in enumerate(encode(batch.column(1).to_pylist())):
                 data += end

@@ -2,7 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-from stratalog.llm import mixing, packing
+from stratalog.llm import mixing, packing, tokens
 from stratalog.llm.tokens import tokenizer_path
 
 from tests.llm.fixtures import documents, frame
@@ -67,6 +67,48 @@ def test_pieces_are_the_tokenizers(spark):
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in got)
 
 
+ODD_TEXTS = ["", None, " \n ", "  ahead", "it's... x'sy 'S 'll.", "12,5 a1b2?!", "<|endoftext|> a", "a\0b \0 \0\0. c", "İ. xİ! İİ"]
+ODD_TEXTS += ["a\xa0b\u2003c \x1cd\x85e \u3000", "ΑΣ Σ. Ж.б! жЖ", "\u212a ﬁ ªº µ ẞ ŉ ǅ", "é!! É. e\u0301. E\u0301\u0300", "漢字 かな。 \U0001f600yes.", "a\u0338 <\u0338 =\u0338", "x" * 500 + "."]
+#: Capitals that compose with no mark where their small letters do: composing comes before lower-casing.
+ODD_TEXTS += ["H\u0331e t", "T\u0308x", "W\u030a", "Y\u030a a", "J\u030c", "W\u1dc2\u030a"]
+
+
+def test_ids_of_odd_texts_are_the_tokenizers():
+    encode = tokens.PieceEncoder(tokenizer_path())
+    rng = np.random.default_rng(5)
+    letters = [*map(chr, range(0x20, 0x530)), *"\0.,!' '\t\nsHTWYJ" * 40, *"\u0300\u0308\u030a\u030c\u0323\u0331\u1dc2\u2003\u1100\u1161\uac00" * 4]
+    mixed = ["".join(rng.choice(letters, 40)) for _ in range(1500)]
+    for texts in (ODD_TEXTS, ODD_TEXTS, [], [None], mixed):  # the second time the pieces are known
+        got = encode([None if t is None else t.encode() for t in texts])
+        for t, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(t or "", add_special_tokens=False).ids, ascii(t)
+
+
+def test_a_worker_encodes_pieces_together_and_once(monkeypatch):
+    """Words that differ in their ends only, also after letters beyond ASCII, cost few calls; known ones cost none in later tasks."""
+    encode = tokens.encoder(tokenizer_path())
+    assert tokens.encoder(tokenizer_path()) is encode
+    asked, ids = [], tokens.PieceEncoder._ids
+    monkeypatch.setattr(tokens.PieceEncoder, "_ids", staticmethod(lambda tokenizer, texts: asked.extend(texts) or ids(tokenizer, texts)))
+    words = [f"{a}{b}{c}é" for a in "bcdfghjklm" for b in "aeiouäöü" for c in "nprstvwxyz"]
+    text = " ".join(f"{w}{end}" for w in words for end in (".", "!!", ",", "")).encode()
+    first = encode([text])
+    assert len(asked) <= len(words) // 100
+    assert " ".join(asked).count("é") == len(words)
+    asked.clear()
+    assert encode([text]) == first and asked == []
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 4000)
+    encode = tokens.PieceEncoder(tokenizer_path())
+    for k in range(20):
+        text = " ".join(["the", "of", *(f"w{k}x{i}" for i in range(60)), "y" * 3000])
+        assert np.frombuffer(encode([text.encode()])[0], "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, encode.pieces.to_pylist())) + encode.table.nbytes <= 4000 and len(encode.pieces) <= 4000 // 32
+        assert len(encode.pieces) == len(encode.starts) == len(encode.sizes) == len(encode.met)
+
+
 def check_layout(rows, capacity):
     sequences = defaultdict(list)
     for r in rows:
