@@ -74,8 +74,7 @@ def bundle_modules(spark, sf_dir):
     call = F.concat(F.lit('__d("C'), "p_partkey", F.lit('",function(){'), "p_type", F.lit("});"))
     bundles = table(spark, sf_dir, "part").groupBy("p_brand", (F.col("p_partkey") % 50).alias("bundle")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", call.alias("call")))).alias("calls"))
     text = F.concat(F.lit("var a;"), F.array_join(F.transform("calls", lambda c: c.call), ""))
-    found = bundles.select("p_brand", "bundle", F.explode(P.modules_by_name(text)).alias("m"))
-    return found.select("p_brand", "bundle", "m.name", "m.offset", "m.size")
+    return P.modules_by_name(bundles.select("p_brand", "bundle", text.alias("body")), ["p_brand", "bundle"], "body")
 
 
 def bundle_ids(spark, sf_dir):

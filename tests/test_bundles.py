@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from stratalog.functions import shapes
 from stratalog.operators import bundles
 
 
@@ -96,3 +97,21 @@ def test_recovered(spark, tmp_path):
     got = bundles.recovered_modules(spark, f"file://{tmp_path}").collect()
     quality = {"a": "recovered_webpack", "b": "recovered_vite", "c": "raw", "d": "raw", "e": "raw"}
     assert sorted((r.bundle[-1], r.name, r["size"], r.name_quality) for r in got) == sorted((b, n, s, q) for b, q in quality.items() for n, s in (("one", 5), ("Two", 1)))
+
+
+def test_modules_by_name_in_one_pass(spark):
+    """Large bundles, odd ones, and offsets that need no array of all lengths for each module."""
+    calls = [f'__d("C{i}",function(){{{"é" * (i % 5)}}});' for i in range(3000)]
+    texts = {"big": "var a;" + "".join(calls), "none": "var b;", "open": 'x__d("never ends', "two": '__d("A",1)__d("B")', "null": None}
+    df = spark.createDataFrame([(k, 1, v) for k, v in texts.items()], "name_of string, n int, body string")
+    found = shapes.modules_by_name(df, ["name_of", "n"], "body")
+    want = []
+    for k, text in texts.items():
+        at = 0
+        for i, part in enumerate((text or "").split('__d("')):
+            if i and '"' in part:
+                want.append((k, 1, part.split('"')[0], at, len(part)))
+            at += len(part) + 5
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) == 3002
+    assert [f.dataType.simpleString() for f in found.schema.fields[3:]] == ["int", "int"]
+    assert "array_append" not in found._jdf.queryExecution().optimizedPlan().toString()
