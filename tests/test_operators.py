@@ -145,6 +145,25 @@ def test_near_names_as_all_pairs(spark):
     assert got == want
 
 
+def test_near_names_of_one_beginning(spark):
+    """Names that share all but their last digits meet those near them, not all; long ones, accents and repeats too."""
+    names = [f"Supplier#{i:09d}" for i in range(600)] + ["n" * 5000, "n" * 4999 + "m", "n" * 4998, "é", "éa", "", "b", None, "b"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    pop = spark.createDataFrame([(n,) for n in [*names[:600:10], "n" * 5000, "é", "", None, ""]], "known string")
+    got = matching.near_names(df, pop, "name", "known", 1)
+    found = {r.name: (r.known, r.distance) for r in got.collect()}
+    want = {}
+    for i in range(600):
+        near = [k for k in range(0, 600, 10) if sum(a != b for a, b in zip(f"{i:03d}", f"{k:03d}", strict=True)) == 1]
+        if near:
+            want[names[i]] = (names[min(near)], 1)
+    want |= {"n" * 4999 + "m": ("n" * 5000, 1), "éa": ("é", 1), "é": ("", 1), "b": ("", 1), "": ("é", 1)}
+    assert found == want and got.count() == len(want)
+    joined = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "left of it" in joined
+    assert matching.near_names(df, pop, "name", "known", 0).isEmpty()
+
+
 def test_component_rules(spark):
     rules = spark.createDataFrame([("auth", "login", 0.9, 1, False), ("ui", "render", 0.9, 1, False), ("ui", "mock", 0.1, 9, True)], "component string, pattern string, confidence double, priority int, suppress boolean")
     rows = spark.createDataFrame([(1, "LOGIN page"), (2, "login render"), (3, "login render mock"), (4, ""), (5, None)], "id int, t string")
