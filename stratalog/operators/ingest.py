@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalog.operators import changes, json_docs
+from stratalog.operators.work import scratch, written
 
 #: What a batch consists of. ``kind`` is snapshot (name: display name, value: knowledge as JSON), module (name, value: body)
 #: or fact (category, name: key, value).
@@ -90,10 +91,21 @@ def ingest(catalogue: Catalogue, rows: DataFrame, batch: int, depth: Sequence[st
     """
     if batch in catalogue.batches():
         return False
+    with scratch():
+        _take(catalogue, rows.where("kb_id IS NOT NULL AND binary_sha256 IS NOT NULL"), batch, depth)
+    catalogue.mark(batch)  # 9
+    return True
+
+
+def _take(catalogue: Catalogue, rows: DataFrame, batch: int, depth: Sequence[str]) -> None:
+    """Steps 1 to 8. Heads and epochs are written once. Modules and facts are read once each and shuffled once, by snapshot,
+    and what is counted by snapshot is counted there; contents are read a second time, and combined before a shuffle."""
     own = ["kb_id", "binary_sha256"]
-    rows = rows.where("kb_id IS NOT NULL AND binary_sha256 IS NOT NULL")
     # 1: what is known. 2 to 4: applications and epochs.
     heads = rows.where("kind = 'snapshot'").groupBy(*own).agg(F.min("captured_at").alias("captured_at"), F.min(F.struct("captured_at", "name", "value")).alias("first"))
+    heads = written(heads, "heads")
+    seen = heads.groupBy("kb_id").agg(F.min("captured_at").alias("first_seen_at"), F.max("captured_at").alias("last_seen_at"), F.min_by("first.name", "captured_at").alias("display_name"))
+    catalogue.write("kb_apps", batch, seen)
     known = catalogue.rows("knowledge_sources")
     fresh = heads.join(known.select(*own), own, "left_anti")
     last = known.groupBy("kb_id").agg(F.max("epoch").alias("last"))
@@ -101,35 +113,41 @@ def ingest(catalogue: Catalogue, rows: DataFrame, batch: int, depth: Sequence[st
     epochs = fresh.withColumn("number", number).join(last, "kb_id", "left").withColumn("epoch", F.coalesce("last", F.lit(0)) + F.col("number"))
     source_id = F.substring(F.sha2(F.concat_ws("|", *own), 256), 1, 16)
     taken = epochs.select(source_id.alias("source_id"), *own, F.col("epoch").cast("int").alias("epoch"), "captured_at", F.col("first.name").alias("display_name"), F.col("first.value").alias("knowledge"))
-    seen = heads.groupBy("kb_id").agg(F.min("captured_at").alias("first_seen_at"), F.max("captured_at").alias("last_seen_at"), F.min_by("first.name", "captured_at").alias("display_name"))
-    catalogue.write("kb_apps", batch, seen)
-    # 5, 6: depth, risk and counts of each snapshot; bodies, modules and references.
-    inside = rows.join(taken.select(*own, "source_id", "epoch", F.col("captured_at").alias("at")), own)
-    modules = inside.where("kind = 'module'").select("source_id", "kb_id", "at", "name", F.sha2("value", 256).alias("body_sha256"), F.col("value").alias("body"))
-    facts = inside.where("kind = 'fact'").groupBy("kb_id", "epoch", "source_id", "category", F.col("name").alias("key")).agg(F.max("value").alias("value"))
-    counts = modules.groupBy("source_id").agg(F.countDistinct("name", "body_sha256").alias("modules_indexed"), F.countDistinct("body_sha256").alias("bodies_indexed"))
-    covered = facts.where(F.col("category").isin(*depth)).groupBy("source_id").agg(F.countDistinct("category").alias("covered"))
+    taken = written(taken, "taken")
+    if taken.isEmpty():
+        for table in ("module_bodies", "modules", "module_app_refs", "app_facts", "kb_diffs", "knowledge_sources"):
+            catalogue.write(table, batch, catalogue.spark.createDataFrame([], _SCHEMAS[table]))
+        return
+    # 5, 6: bodies, modules and references; depth, risk and counts of each snapshot. Within an application, its id stands for a snapshot.
+    of = ["kb_id", "source_id"]
+    inside = rows.select("kind", "kb_id", source_id.alias("source_id"), "category", "name", "value")
+    modules = inside.where("kind = 'module'").select(*of, "name", F.unhex(F.sha2("value", 256)).alias("sha"))
+    modules = modules.join(taken.select(*of, F.col("captured_at").alias("at")), of).distinct()
+    modules = modules.groupBy(*of, "at", "sha").agg(F.count("name").alias("names"), F.min(F.struct("name"))["name"].alias("name"))
+    modules = written(modules, "modules")
+    text = lambda sha: F.lower(F.hex(sha)).alias("body_sha256")
+    catalogue.write("module_app_refs", batch, modules.select("source_id", text("sha")))
+    named = modules.groupBy("kb_id", "sha").agg(F.min_by("name", F.struct("at", "name")).alias("name"), F.max("at").alias("last_seen_at"))
+    catalogue.write("modules", batch, named.select("kb_id", text("sha"), "name", "last_seen_at"))
+    bodies = rows.where("kind = 'module'").groupBy(F.sha2("value", 256).alias("body_sha256")).agg(F.first("value").alias("body"))
+    bodies = bodies.join(catalogue.rows("module_bodies").select("body_sha256"), "body_sha256", "left_anti")
+    bodies = bodies.join(modules.select(text("sha").alias("taken")).distinct(), F.col("body_sha256").eqNullSafe(F.col("taken")), "left_semi")
+    catalogue.write("module_bodies", batch, bodies.withColumn("body_size", F.octet_length("body").cast("long")))
+    facts = inside.where("kind = 'fact'").select(*of, "category", F.col("name").alias("key"), "value").join(taken.select(*of, "epoch"), of)
+    new = catalogue.write("app_facts", batch, facts.groupBy(*of, "epoch", "category", "key").agg(F.max("value").alias("value")))
+    counts = modules.where("sha IS NOT NULL").groupBy("source_id").agg(F.sum("names").alias("modules_indexed"), F.count("sha").alias("bodies_indexed"))
+    covered = new.where(F.col("category").isin(*depth)).groupBy("kb_id", "epoch").agg(F.size(F.collect_set("category")).alias("covered"))
     risk = json_docs.risk(F.try_parse_json("knowledge"))
-    sources = taken.join(counts, "source_id", "left").join(covered, "source_id", "left").withColumn("risk", risk)
+    sources = taken.join(counts, "source_id", "left").join(covered, ["kb_id", "epoch"], "left").withColumn("risk", risk)
     sources = sources.withColumns({
         "risk_score": F.col("risk.score"), "risk_level": F.coalesce("risk.level", F.lit("unknown")), "depth_score": F.round(100 * F.coalesce("covered", F.lit(0)) / len(depth)).cast("int"),
         "modules_indexed": F.coalesce("modules_indexed", F.lit(0)), "bodies_indexed": F.coalesce("bodies_indexed", F.lit(0)),
     })
-    bodies = modules.groupBy("body_sha256").agg(F.first("body").alias("body")).join(catalogue.rows("module_bodies").select("body_sha256"), "body_sha256", "left_anti")
-    catalogue.write("module_bodies", batch, bodies.withColumn("body_size", F.octet_length("body").cast("long")))
-    named = modules.groupBy("kb_id", "body_sha256").agg(F.min_by("name", F.struct("at", "name")).alias("name"), F.max("at").alias("last_seen_at"))
-    catalogue.write("modules", batch, named)
-    catalogue.write("module_app_refs", batch, modules.select("source_id", "body_sha256").distinct())
-    # 7, 8: facts, and what they changed against the epoch before.
-    new = catalogue.write("app_facts", batch, facts)
-    before = catalogue.facts().join(taken.select("kb_id").distinct(), "kb_id", "left_semi")
-    both = new.unionByName(before)
-    newest = taken.groupBy("kb_id").agg(F.max("epoch").alias("last_epoch"))
-    diffs = changes.consecutive_diff(both, "kb_id", "epoch", ["category", "key"], "value", last=newest)
-    catalogue.write("kb_diffs", batch, diffs.join(taken.select("kb_id", "epoch").where("epoch > 1"), ["kb_id", "epoch"], "left_semi"))
     catalogue.write("knowledge_sources", batch, sources)
-    catalogue.mark(batch)  # 9
-    return True
+    # 7, 8: what facts changed against the epoch before, the last known one for the first new one; one shuffle, by application.
+    span = taken.groupBy("kb_id").agg(F.min("epoch").alias("from_epoch"), F.max("epoch").alias("last_epoch"))
+    both = new.unionByName(catalogue.rows("app_facts").drop("batch")).join(span, "kb_id").where("epoch >= from_epoch - 1")
+    catalogue.write("kb_diffs", batch, changes.epoch_changes(both, "kb_id", "epoch", ["category", "key"], "value", "from_epoch", "last_epoch"))
 
 
 def ingest_stream(stream: DataFrame, path: str, checkpoint: str):

@@ -7,23 +7,25 @@ import uuid
 from pyspark.sql import functions as F
 
 from stratalog.operators import ingest
-from stratalog.operators.work import shared_dir
+from stratalog.operators.work import scratch, shared_dir, written
 from stratalog.plans.tables import table
 
 _CUT = "1996-01-01"
 
 
-def _batch(spark, sf_dir, late: bool):
-    orders = table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit(_CUT).cast("timestamp_ntz")) == late)
-    own = [
+def _own():
+    return [
         F.col("o_custkey").cast("string").alias("kb_id"),
         F.sha2(F.concat_ws("-", "o_custkey", "o_orderpriority"), 256).alias("binary_sha256"),
         F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("captured_at"),
     ]
-    none = F.lit(None).cast("string")
+
+
+def _batch(orders, lines, late: bool):
+    orders, lines = orders.where(F.col("late") == late), lines.where(F.col("late") == late)
+    none, own = F.lit(None).cast("string"), _own()
     risk = F.concat(F.lit('{"security":{"risk_score":'), F.floor(F.col("o_totalprice") / 5000), F.lit("}}"))
     heads = orders.select(*own, F.lit("snapshot").alias("kind"), none.alias("category"), F.col("o_orderpriority").alias("name"), risk.alias("value"))
-    lines = orders.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     part = F.col("l_partkey")
     modules = lines.select(*own, F.lit("module").alias("kind"), none.alias("category"), F.concat(F.lit("m"), part).alias("name"), F.concat(F.lit("body "), part % 100).alias("value"))
     category = F.when(F.col("l_returnflag") == "R", "dep").when(F.col("l_returnflag") == "A", "url").otherwise("auth")
@@ -33,10 +35,15 @@ def _batch(spark, sf_dir, late: bool):
 
 def _ingested(spark, sf_dir):
     catalogue = ingest.Catalogue(spark, f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}")
-    for batch, late in enumerate((False, True)):
-        ingest.ingest(catalogue, _batch(spark, sf_dir, late), batch)
-    ingest.ingest(catalogue, _batch(spark, sf_dir, True), 1)  # the batch is marked: nothing is done
-    ingest.ingest(catalogue, _batch(spark, sf_dir, False), 2)  # all its contents are known
+    orders = table(spark, sf_dir, "orders").withColumn("late", F.col("o_orderdate") >= F.lit(_CUT).cast("timestamp_ntz"))
+    with scratch():
+        # All batches read the lines of orders: they are joined once.
+        lines = orders.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+        lines = written(lines.select("late", "o_custkey", "o_orderpriority", "o_orderdate", "l_partkey", "l_returnflag", "l_quantity"), "lines")
+        for batch, late in enumerate((False, True)):
+            ingest.ingest(catalogue, _batch(orders, lines, late), batch)
+        ingest.ingest(catalogue, _batch(orders, lines, True), 1)  # the batch is marked: nothing is done
+        ingest.ingest(catalogue, _batch(orders, lines, False), 2)  # all its contents are known
     return catalogue
 
 

@@ -92,3 +92,28 @@ def test_stream(spark, catalogue, tmp_path):
         assert query.exception() is None
     assert rows(catalogue.rows("knowledge_sources"), "kb_id", "epoch") == [("a", 1), ("b", 1)]
     assert catalogue.rows("app_facts").where(F.col("kb_id") == "a").count() == 3
+
+
+def test_a_batch_is_read_four_times(spark, catalogue):
+    """Once for heads, modules and facts each, and once more for contents; for heads alone where all of it is known."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    given = spark.createDataFrame(FIRST, ingest.BATCH).coalesce(1).mapInArrow(counted, ingest.BATCH)
+    assert ingest.ingest(catalogue, given, 0) and read.value <= 4 * len(FIRST)
+    before, read.value = state(catalogue), 0
+    assert ingest.ingest(catalogue, given, 1) and read.value <= len(FIRST)
+    assert state(catalogue) == before
+
+
+def test_names_and_contents_that_are_null(catalogue):
+    first = snapshot("a|b", "c", 1, [("m1", None), (None, "one"), ("m2", "one"), ("m2", "one")], [(None, "k", "1"), ("dep", None, None)])
+    first += snapshot("a", "b|c", 1, [("m3", "two")], [("dep", "k", "9")])  # its source_id is the other one's
+    assert give(catalogue, first, 0)
+    assert rows(catalogue.rows("module_bodies"), "body", "body_size") == [("one", 3), ("two", 3), (None, None)]
+    assert rows(catalogue.modules(), "kb_id", "name") == [("a", "m3"), ("a|b", "m1"), ("a|b", None)]
+    assert rows(catalogue.facts(), "kb_id", "category", "key", "value") == [("a", "dep", "k", "9"), ("a|b", "dep", None, None), ("a|b", None, "k", "1")]

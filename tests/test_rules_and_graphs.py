@@ -1,6 +1,7 @@
 """Rules, merges and graphs on small tables, with nulls and the cases that the driver's tables don't have."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,20 @@ def test_consecutive_diffs(spark):
                           ("k", 3, "x", "2", None, "removed"), ("k", 3, "z", None, None, "removed"), ("k", 4, "x", None, "2", "added")], key=str)
 
 
+def test_changes_of_some_epochs_in_one_shuffle(spark):
+    """As consecutive_diff of all epochs, from the one asked for on; facts are shuffled once."""
+    rng = random.Random(3)
+    given = [(g, e, k, rng.choice(["1", "2", None])) for g in "abc" for e in range(1, 7) for k in ("x", "y", None) if rng.random() < 0.6 and (g, e) != ("b", 4)]
+    facts = spark.createDataFrame(given, "kb string, epoch int, key string, v string")
+    span = spark.createDataFrame([("a", 1, 6), ("b", 3, 7), ("c", 5, 6)], "kb string, first int, last int")
+    every = rows(changes.consecutive_diff(facts, "kb", "epoch", ["key"], "v", last=span.select("kb", F.col("last").alias("last_epoch"))))
+    asked = facts.join(span.hint("broadcast"), "kb").where("epoch >= first - 1")
+    got = changes.epoch_changes(asked, "kb", "epoch", ["key"], "v", "first", "last")
+    first = {"a": 1, "b": 3, "c": 5}
+    assert rows(got) == [r for r in every if r[1] >= first[r[0]]] and len(rows(got)) > 10
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
 def test_guard_needs_three_failures_within_the_span(spark):
     times = ["00:00:00", "00:00:05", "00:00:10", "00:00:14.9", "00:01:00"]
     df = spark.createDataFrame([("u", f"2024-01-01 {t}", 1) for t in times], "u string, t string, code int").withColumn("t", F.col("t").cast("timestamp"))
