@@ -119,23 +119,25 @@ def _take(catalogue: Catalogue, rows: DataFrame, batch: int, depth: Sequence[str
             catalogue.write(table, batch, catalogue.spark.createDataFrame([], _SCHEMAS[table]))
         return
     # 5, 6: bodies, modules and references; depth, risk and counts of each snapshot. Within an application, its id stands for a snapshot.
-    of = ["kb_id", "source_id"]
-    inside = rows.select("kind", "kb_id", source_id.alias("source_id"), "category", "name", "value")
+    # Digests are shuffled as bytes, half as long as their digits.
+    of = ["kb_id", "sid"]
+    inside = rows.select("kind", "kb_id", F.unhex(source_id).alias("sid"), "category", "name", "value")
+    ours = taken.select("kb_id", F.unhex("source_id").alias("sid"), "epoch", F.col("captured_at").alias("at"))
     modules = inside.where("kind = 'module'").select(*of, "name", F.unhex(F.sha2("value", 256)).alias("sha"))
-    modules = modules.join(taken.select(*of, F.col("captured_at").alias("at")), of).distinct()
+    modules = modules.join(ours.drop("epoch"), of).distinct()
     modules = modules.groupBy(*of, "at", "sha").agg(F.count("name").alias("names"), F.min(F.struct("name"))["name"].alias("name"))
     modules = written(modules, "modules")
-    text = lambda sha: F.lower(F.hex(sha)).alias("body_sha256")
-    catalogue.write("module_app_refs", batch, modules.select("source_id", text("sha")))
+    digits = lambda c: F.lower(F.hex(c))
+    catalogue.write("module_app_refs", batch, modules.select(digits("sid").alias("source_id"), digits("sha").alias("body_sha256")))
     named = modules.groupBy("kb_id", "sha").agg(F.min_by("name", F.struct("at", "name")).alias("name"), F.max("at").alias("last_seen_at"))
-    catalogue.write("modules", batch, named.select("kb_id", text("sha"), "name", "last_seen_at"))
+    catalogue.write("modules", batch, named.select("kb_id", digits("sha").alias("body_sha256"), "name", "last_seen_at"))
     bodies = rows.where("kind = 'module'").groupBy(F.sha2("value", 256).alias("body_sha256")).agg(F.first("value").alias("body"))
     bodies = bodies.join(catalogue.rows("module_bodies").select("body_sha256"), "body_sha256", "left_anti")
-    bodies = bodies.join(modules.select(text("sha").alias("taken")).distinct(), F.col("body_sha256").eqNullSafe(F.col("taken")), "left_semi")
+    bodies = bodies.join(modules.select(digits("sha").alias("taken")).distinct(), F.col("body_sha256").eqNullSafe(F.col("taken")), "left_semi")
     catalogue.write("module_bodies", batch, bodies.withColumn("body_size", F.octet_length("body").cast("long")))
-    facts = inside.where("kind = 'fact'").select(*of, "category", F.col("name").alias("key"), "value").join(taken.select(*of, "epoch"), of)
+    facts = inside.where("kind = 'fact'").select(*of, "category", F.col("name").alias("key"), "value").join(ours.drop("at"), of)
     new = catalogue.write("app_facts", batch, facts.groupBy(*of, "epoch", "category", "key").agg(F.max("value").alias("value")))
-    counts = modules.where("sha IS NOT NULL").groupBy("source_id").agg(F.sum("names").alias("modules_indexed"), F.count("sha").alias("bodies_indexed"))
+    counts = modules.where("sha IS NOT NULL").groupBy(digits("sid").alias("source_id")).agg(F.sum("names").alias("modules_indexed"), F.count("sha").alias("bodies_indexed"))
     covered = new.where(F.col("category").isin(*depth)).groupBy("kb_id", "epoch").agg(F.size(F.collect_set("category")).alias("covered"))
     risk = json_docs.risk(F.try_parse_json("knowledge"))
     sources = taken.join(counts, "source_id", "left").join(covered, ["kb_id", "epoch"], "left").withColumn("risk", risk)
