@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 from stratalog.operators import ingest
+from stratalog.plans import snapshot_queries
 
 
 def snapshot(kb, sha, at, modules=(), facts=(), name="App", doc="{}"):
@@ -117,3 +118,12 @@ def test_names_and_contents_that_are_null(catalogue):
     assert rows(catalogue.rows("module_bodies"), "body", "body_size") == [("one", 3), ("two", 3), (None, None)]
     assert rows(catalogue.modules(), "kb_id", "name") == [("a", "m3"), ("a|b", "m1"), ("a|b", None)]
     assert rows(catalogue.facts(), "kb_id", "category", "key", "value") == [("a", "dep", "k", "9"), ("a|b", "dep", None, None), ("a|b", None, "k", "1")]
+
+
+def test_rows_are_counted_by_bytes_of_digests(spark):
+    refs = spark.createDataFrame([("00ff", "ab"), ("00ff", "ab"), ("00ff", "ac"), ("01ff", "ab")], "source_id string, body_sha256 string")
+    got = snapshot_queries._counted("refs", refs)
+    assert [tuple(r) for r in got.collect()] == [("refs", 4, 3)]
+    assert "unhex(source_id" in got._jdf.queryExecution().optimizedPlan().toString()
+    same = spark.createDataFrame([("a", "ab", "m", 1), ("a", "ab", "m", 2)], "kb_id string, body_sha256 string, name string, last_seen_at long")
+    assert [tuple(r) for r in snapshot_queries._counted("modules", same).collect()] == [("modules", 2, 2)]
